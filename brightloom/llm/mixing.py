@@ -24,6 +24,8 @@ BUCKET_ROWS = 128
 #: Sources up to which their table is broadcast; above, it is joined with a shuffle.
 BROADCAST_SOURCES = 10_000
 NEWTON_STEPS = 60
+#: Times that a bucket's remaining lack of words is spread over its shortest documents.
+CORRECTIONS = 2
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken: one row for each document.
 
     In a bucket, documents stand in order of size and copies are the steps of the running sum of rates, so each bucket
-    takes its expected number of documents of every length, up to one.
+    takes its expected number of documents of every length, up to one. Then short documents get or lose a copy until the
+    bucket's words lie within one such document of what its rate asks for.
     """
     sizes = saved(sized(docs), "sizes")
     sources = saved(tilted(targets(sizes, weights)), "source-rates")
@@ -75,10 +78,18 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     bucketed = joined.withColumn("_bucket", F.pmod(order, F.ceil(F.col("n") / BUCKET_ROWS)))
     if not few:
         bucketed = bucketed.repartition("source", "_bucket")
-    place = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("size", order, "doc_id"))
+    group = Window.partitionBy("source", "_bucket")
+    ordered = group.orderBy("size", order, "doc_id")
     phase = F.col("_bucket") * 0.6180339887498949 + 0.5
     phase = phase - F.floor(phase)
     upto = lambda k: F.floor(F.round(F.col("rate") * k + phase, 9))
-    return bucketed.withColumn("_place", place).select(
-        "doc_id", "size", "source_size", "target", "rate", (upto(F.col("_place")) - upto(F.col("_place") - 1)).alias("copies")
-    ).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    place = F.row_number().over(ordered)
+    out = bucketed.withColumn("copies", upto(place) - upto(place - 1))
+    for _ in range(CORRECTIONS):
+        lack = F.sum(F.col("size") * (F.col("rate") - F.col("copies"))).over(group)
+        out = out.withColumn("_lack", lack)
+        can = (F.col("size") > 0) & F.when(F.col("_lack") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
+        run = F.sum(F.when(can, F.col("size")).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("copies", F.col("copies") + F.when(can & (run <= F.abs("_lack")), F.signum("_lack")).otherwise(0).cast("long"))
+    out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
