@@ -152,7 +152,6 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score; texts are the only input of a prediction."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
 
     def predict(batches):
@@ -162,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 text = part.column("text")
-                names, score = sent.value.predict(vectors(*utf8(text)))
+                names, score = model.predict(vectors(*utf8(text)))
                 for i, t in enumerate(text):
                     if not t.is_valid or not _LETTER.search(t.as_py()):
                         names[i], score[i] = "und", 0.0
