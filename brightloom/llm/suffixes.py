@@ -30,7 +30,7 @@ STEP = 128
 SEGMENT = 1 << 20
 #: Occurrences of a core that one block takes.
 SHARE = 128
-BLOCK = 1 << 20
+BLOCK = 3 << 17
 #: Texts up to which their keys are broadcast (32 bytes each) as a filter; above, texts are joined with a shuffle.
 BROADCAST_KEYS = 500_000
 _P = 0x9E3779B97F4A7C15
