@@ -68,22 +68,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Words (bytes) to 64-bit hashes; empties itself beyond a bound, so that memory doesn't grow with the corpus."""
-
-    def __init__(self, bound: int = 400_000):
-        import xxhash
-
-        self.hash, self.bound = xxhash.xxh64_intdigest, bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        out = self[word] = self.hash(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes of white space between words, and A-Z to a-z.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """base ** i and base ** -i modulo 2 ** 64, as far as the longest text so far needs."""
+
+    def __init__(self, base: int = _BASE):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+                out = np.full(max(n, 1 << 16), base, np.uint64)
+                out[0] = 1
+                with np.errstate(over="ignore"):
+                    setattr(self, name, np.cumprod(out))
+        return self.up[:n], self.down[:n]
+
+
+def word_hashes(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some bytes, lower-cased in A-Z, and where each starts."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = powers.upto(len(data))
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def chunked(at: np.ndarray, bound: int = 1 << 20):
+    """Ranges of texts that hold at most so many bytes together, or one text."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + bound, side="right")) - 1)
+        yield a, b
+        a = b
 
 
 def ranked(df: DataFrame, by: list, name: str, what: str) -> DataFrame:

@@ -7,8 +7,9 @@ separately and the counts are summed per pair. Only pairs whose sum reaches the
 
 Groups never cause all their pairs. Equal sets are one class, of which the smallest doc_id stands for all. Candidates come in
 two rounds: first, each list of documents with an n-gram is walked in a scrambled order and neighbours are compared;
-links found contract documents into components. Then every pair of a list that lies in two components is compared,
-leaving out only pairs already known to be connected. So components are exact, whatever the groups.
+links found contract documents into components. Then every pair of a list that lies in two components is a candidate,
+leaving out only pairs already known to be connected. So components are exact, whatever the groups. Before whole sets
+travel, a pair must share enough n-grams in the prefixes to reach the threshold with all that follows them.
 
 Defined results: null or empty texts, and texts of white space, have an empty set and link with nothing; a text with fewer
 words than n is one n-gram of all its words; equal texts are linked; rows that share a doc_id are the same node; a null
@@ -17,13 +18,15 @@ doc_id gets no links. Sets are compared by 64-bit hashes of n-grams and classes
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, mixed, saved, utf8
+from .common import _SPACE, Powers, chunked, discard, mixed, saved, utf8, word_hashes
 from .components import components
 
 COUNT_BITS = 18
@@ -33,28 +36,53 @@ BROADCAST_IDS = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def shingles(text: bytes, n: int, words: WordHashes) -> np.ndarray:
-    """The distinct n-gram hashes of a whole text, in order of hash."""
-    h = words.of(text.lower().split())
-    if len(h) == 0:
-        return h
+def shingles(data: np.ndarray, at: np.ndarray, n: int, powers: Powers) -> Iterator[np.ndarray]:
+    """The distinct n-gram hashes of each whole text (bytes at[i] to at[i + 1]), in order of hash."""
+    for a, b in chunked(at):
+        h, start = word_hashes(data[at[a] : at[b]], powers)
+        # a word that runs on over the end of its text is cut there: texts that end in a word are hashed alone
+        cut = np.searchsorted(start, at[a : b + 1] - at[a])
+        inner = at[a + 1 : b] - at[a]
+        joined = inner[(inner > 0) & (inner < at[b] - at[a])]
+        part = data[at[a] : at[b]]
+        if len(joined) and (~_SPACE[part[joined - 1]] & ~_SPACE[part[joined]]).any():
+            each = [word_hashes(data[at[i] : at[i + 1]], powers)[0] for i in range(a, b)]
+            h = np.concatenate(each)
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        with np.errstate(over="ignore"):
+            total = h * _FACTORS[0]
+            for i in range(1, n):
+                total[: len(h) - i] += h[i:] * _FACTORS[i]
+            total = mixed(total)
+            for i, j in itertools.pairwise(cut.tolist()):
+                if j - i >= n:
+                    s = np.sort(total[i : j - n + 1])
+                    yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+                elif j > i:
+                    one = np.uint64(j - i)
+                    for v in h[i:j]:
+                        one = one * _FACTORS[0] + v
+                    yield mixed(np.array([one], np.uint64))
+                else:
+                    yield h[:0]
+
+
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
     with np.errstate(over="ignore"):
-        if len(h) < n:
-            total = np.uint64(len(h))
-            for i, v in enumerate(h.tolist()):
-                total = total * _FACTORS[0] + np.uint64(v) * _FACTORS[i % 8]
-            return mixed(np.array([total], np.uint64))
-        m = len(h) - n + 1
-        total = h[:m] * _FACTORS[0]
-        for i in range(1, n):
-            total = total + h[i : i + m] * _FACTORS[i]
-        return np.unique(mixed(total))
-
-
-def _texts(batch):
+        pairs = [(s.sum(dtype=np.uint64), mixed(s ^ _FACTORS[2]).sum(dtype=np.uint64)) for s in sets]
+    return np.array(pairs, np.uint64).reshape(-1, 2).astype(np.int64)
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _parts(batch, n: int, powers: Powers):
+    """(doc_id column, n-gram sets) for pieces of a batch of bounded size."""
     data, at = utf8(batch.column("text"))
-    for i in range(batch.num_rows):
-        yield i, data[at[i] : at[i + 1]].tobytes()
+    for a in range(0, batch.num_rows, 1000):
+        b = min(a + 1000, batch.num_rows)
+        yield batch.column("doc_id").slice(a, b - a), list(shingles(data, at[a : b + 1], n, powers))
 
 
 def _sets(n: int):
@@ -63,28 +91,23 @@ def _sets(n: int):
     def run(batches):
         import pyarrow as pa
 
-        words, count = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
+        powers, count, names = Powers(), np.zeros(1 << COUNT_BITS, np.int64), ["doc_id", "n", "k1", "k2"]
         for batch in batches:
-            rows = np.zeros((batch.num_rows, 3), np.int64)
-            for i, text in _texts(batch):
-                s = shingles(text, n, words)
-                count += np.bincount((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS) if len(s) > 20_000 else 0
-                if 0 < len(s) <= 20_000:
-                    np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-                with np.errstate(over="ignore"):
-                    rows[i] = len(s), s.sum(dtype=np.uint64).astype(np.int64), mixed(s ^ _FACTORS[2]).sum(dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[:, j]) for j in range(3))], names=["doc_id", "n", "k1", "k2"])
+            for docs, sets in _parts(batch, n, powers):
+                k = _keys(sets)
+                count += np.bincount(_slots(np.concatenate(sets)), minlength=1 << COUNT_BITS)
+                yield pa.RecordBatch.from_arrays([docs, pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=names)
         full = np.flatnonzero(count)
         for a in range(0, len(full), 10_000):
             part = full[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), -1)), pa.array(part), pa.array(count[part])], names=["doc_id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), -1)), pa.array(part), pa.array(count[part])], names=names)
 
     return run
 
 
 def _ordered(s: np.ndarray, count: np.ndarray) -> np.ndarray:
     """n-grams in the global order: rarest first, ties by hash."""
-    return s[np.argsort(count[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")]
+    return s[np.argsort(count[_slots(s)], kind="stable")]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -92,24 +115,21 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1
 
 
+def _lists(pa, lists: list[np.ndarray]):
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int64)))
+
+
 def _prefixes(n: int, num: int, den: int, sent):
     def run(batches):
         import pyarrow as pa
 
-        words, count = WordHashes(), np.frombuffer(sent.value, np.uint32)
+        powers, count = Powers(), np.frombuffer(sent.value, np.uint32)
         for batch in batches:
-            sizes, first = [], []
-            k = np.zeros((batch.num_rows, 2), np.int64)
-            for i, text in _texts(batch):
-                s = shingles(text, n, words)
-                with np.errstate(over="ignore"):
-                    k[i] = s.sum(dtype=np.uint64).astype(np.int64), mixed(s ^ _FACTORS[2]).sum(dtype=np.uint64).astype(np.int64)
-                sizes.append(len(s))
-                first.append(_ordered(s, count)[: prefix_length(len(s), num, den) if len(s) else 0].astype(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
-            flat = np.concatenate(first) if first else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sizes, pa.int32()), lists], names=["doc_id", "k1", "k2", "n", "grams"])
+            for docs, sets in _parts(batch, n, powers):
+                k = _keys(sets)
+                first = [_ordered(s, count)[: prefix_length(len(s), num, den) if len(s) else 0] for s in sets]
+                yield pa.RecordBatch.from_arrays([docs, pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists(pa, first)], names=["doc_id", "k1", "k2", "n", "grams"])
 
     return run
 
@@ -120,20 +140,13 @@ def _segments(n: int, sent, cuts: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        words, count = WordHashes(), np.frombuffer(sent.value, np.uint32)
+        powers, count, m = Powers(), np.frombuffer(sent.value, np.uint32), len(cuts) + 1
         for batch in batches:
-            ids, parts, lists = [], [], []
-            for i, text in _texts(batch):
-                s = shingles(text, n, words)
-                at = np.searchsorted(cuts, count[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], side="right")
-                for f in range(len(cuts) + 1):
-                    ids.append(i)
-                    parts.append(f)
-                    lists.append(s[at == f].astype(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in lists])]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            docs = batch.column("doc_id").take(pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "fragment", "grams"])
+            for docs, sets in _parts(batch, n, powers):
+                at = [np.searchsorted(cuts, count[_slots(s)], side="right") for s in sets]
+                ids = docs.take(pa.array(np.repeat(np.arange(len(sets)), m)))
+                parts = pa.array(np.tile(np.arange(m, dtype=np.int32), len(sets)))
+                yield pa.RecordBatch.from_arrays([ids, parts, _lists(pa, [s[x == f] for s, x in zip(sets, at, strict=True) for f in range(m)])], names=["doc", "fragment", "grams"])
 
     return run
 
@@ -146,14 +159,14 @@ def _neighbours(batches):
     import pyarrow as pa
 
     held = None  # the last row so far, whose successor isn't known
-    names = ["gram", "doc", "n", "pos"]
+    names = ["gram", "doc", "n"]
     first = True
 
     def out(cols, keep, before):
         prev = {f"p_{c}": np.concatenate([cols[c][:1], cols[c][:-1]]) for c in names[1:]}
         arrays = [pa.array(cols[c][keep]) for c in names]
         arrays += [pa.array(prev[f"p_{c}"][keep], mask=~before[keep]) for c in names[1:]]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names, "p_doc", "p_n", "p_pos"])
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "p_doc", "p_n"])
 
     for batch in batches:
         cols = {c: batch.column(c).to_numpy() for c in names}
@@ -217,37 +230,51 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     classes = saved(sets.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
     key = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
     prefix = texts.mapInArrow(_prefixes(words, num, den, sent), "doc_id long, k1 long, k2 long, n int, grams array<long>")
-    prefix = prefix.join(key, ["doc_id", "k1", "k2"]).select("doc_id", "n", "grams")
-    entries = saved(prefix, "prefixes").select(F.col("doc_id").alias("doc"), "n", F.posexplode("grams").alias("pos", "gram")).select("gram", "doc", "n", "pos")
+    prefixes = saved(prefix.join(key, ["doc_id", "k1", "k2"]).select("doc_id", "n", "grams"), "prefixes")
+    entries = prefixes.select(F.col("doc_id").alias("doc"), "n", F.explode("grams").alias("gram")).select("gram", "doc", "n")
     scramble = F.xxhash64("gram", "doc")
     lists = entries.repartitionByRange("gram", scramble).sortWithinPartitions("gram", scramble, "doc")
-    listed = saved(lists.mapInArrow(_neighbours, "gram long, doc long, n int, pos int, p_doc long, p_n int, p_pos int"), "lists")
+    listed = saved(lists.mapInArrow(_neighbours, "gram long, doc long, n int, p_doc long, p_n int"), "lists")
 
-    near = listed.where("p_doc is not null and p_doc != doc").where(_meets("n", "pos", "p_n", "p_pos", num, den))
-    pairs = near.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct()
-    links = _verified(texts, saved(pairs, "near"), words, sent, cuts, num, den)
+    near = listed.where("p_doc is not null and p_doc != doc").where(_alike("n", "p_n", num, den))
+    pairs = saved(near.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct(), "near")
+    left = prefixes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
+    right = prefixes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("shared"))
+    pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "near-enough")
+    links = _verified(texts, pairs, words, sent, cuts, num, den)
 
     known = saved(components(links), "known")
-    side = saved(listed.select("gram", "doc", "n", "pos").distinct().join(known, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "sides")
+    side = saved(listed.select("gram", "doc", "n").distinct().join(known, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c")), "sides")
+    discard(prefixes, listed)
     # of each list, the component with most entries need not be held against itself
     parts = side.groupBy("gram", "c").count()
     main = saved(parts.groupBy("gram").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main"), "main")
     open_lists = saved(side.join(main, "gram"), "open")
-    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "pos", "c")])
-    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_meets("n", "pos", "p_n", "p_pos", num, den))
-    pairs = cross.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct()
-    links = links.unionAll(_verified(texts, saved(pairs, "cross"), words, sent, cuts, num, den))
+    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "c")])
+    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_alike("n", "p_n", num, den))
+    # two documents in different components meet once in each list that both are in
+    first = F.col("doc") < F.col("p_doc")
+    pick = lambda x: (F.when(first, F.col(x)).otherwise(F.col(f"p_{x}")), F.when(first, F.col(f"p_{x}")).otherwise(F.col(x)))
+    (a, b), (na, nb) = pick("doc"), pick("n")
+    counted = cross.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "cross-enough")
+    links = links.unionAll(_verified(texts, pairs, words, sent, cuts, num, den))
     return Joined(sets, classes, links, saved(components(links), "groups"))
 
 
-def _needed(n: str, p_n: str, num: int, den: int) -> str:
-    return f"({num} * ({n} + {p_n}))"  # against (num + den) * overlap
+def _alike(n: str, p_n: str, num: int, den: int) -> str:
+    """Sets of these sizes can reach the threshold."""
+    return f"{den}L * least({n}, {p_n}) >= {num}L * greatest({n}, {p_n})"
 
 
-def _meets(n: str, pos: str, p_n: str, p_pos: str, num: int, den: int) -> str:
-    """Could two sets that share the n-gram at these positions of the order reach the threshold?"""
-    most = f"(least({pos}, {p_pos}) + least({n} - {pos}, {p_n} - {p_pos}))"
-    return f"{den}L * least({n}, {p_n}) >= {num}L * greatest({n}, {p_n}) and {num + den}L * {most} >= {_needed(n, p_n, num, den)}"
+def _reaches(num: int, den: int) -> str:
+    """Can two sets of na and nb n-grams, `shared` of them in both prefixes, reach the threshold?
+
+    What follows the prefix that ends first in the order adds at most all of its set's other n-grams.
+    """
+    rest = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
+    return f"{num + den}L * (shared + greatest({rest('na')}, {rest('nb')})) >= {num}L * (na + nb)"
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, sent, cuts, num: int, den: int) -> DataFrame:
