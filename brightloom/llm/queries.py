@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, media, mixing, suffixes, urls
+from . import htmltext, jaccard, langid, media, mixing, suffixes, urls
 from .common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = htmltext.train(htmltext.labelled_pages())
+    return htmltext.extract(table(spark, sf_dir, "pages"), field)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
