@@ -195,13 +195,20 @@ def _twice(batches):
         yield from held.slice(0 if first else 1).combine_chunks().to_batches()
 
 
+def _pieces(batches, rows: int = 500):
+    """Batches in slices, as lists of runs take much more memory in Python than in Arrow."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _cut(length: int):
     """Slices of the wanted runs of each text: as many bytes as their windows cover."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _pieces(batches):
             data, at = utf8(batch.column("text"))
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             rows: list[tuple] = []
@@ -213,7 +220,7 @@ def _cut(length: int):
                     salt = hash((k1[i], r["s"])) % r["parts"] if r["parts"] > 1 else 0
                     rows.append((r["key"], salt, r["parts"], k1[i], k2[i], r["s"], r["m"], piece))
                     size += len(piece)
-                    if size > 4 << 20:
+                    if size > 1 << 20:
                         yield _slices(pa, rows)
                         rows, size = [], 0
             if rows:
@@ -359,7 +366,7 @@ def _left(length: int, as_text: bool):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _pieces(batches):
             data, at = utf8(batch.column("text"))
             removed, runs, kept = [], [], []
             for i, spans in enumerate(batch.column("spans").to_pylist()):
