@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccard, langid, media, mixing, suffixes, urls
+from . import htmltext, jaccard, langid, media, mixing, pieces, suffixes, urls
 from .common import table
 
+#: A public vocabulary; it stays where it is installed.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = htmltext.train(htmltext.labelled_pages())
@@ -29,6 +32,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).result()
 
