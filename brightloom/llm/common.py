@@ -42,6 +42,11 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checked(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it was counted to have at most so many rows; else as it is, for a join with a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Powers, chunked, discard, mixed, saved, utf8, word_hashes
+from .common import _SPACE, Powers, checked, chunked, discard, mixed, saved, utf8, word_hashes
 from .components import components
 
 COUNT_BITS = 18
@@ -263,6 +263,19 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     return Joined(sets, classes, links, saved(components(links), "groups"))
 
 
+def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each group of near copies: its smallest doc_id; of rows that share a doc_id, one."""
+    joined = join(docs, words, num, den)
+    gone = saved(joined.result().where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(checked(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    twice = saved(joined.sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    again = checked(twice, BROADCAST_IDS)
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
+
+
 def _alike(n: str, p_n: str, num: int, den: int) -> str:
     """Sets of these sizes can reach the threshold."""
     return f"{den}L * least({n}, {p_n}) >= {num}L * greatest({n}, {p_n})"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, saved
+from .common import WORD, checked, ranked, saved
 
 #: A source's target is at most this many times its size, and so is a document's share.
 MOST = 3.0
@@ -23,6 +23,8 @@ MOST = 3.0
 BUCKET_ROWS = 128
 #: Sources up to which their table is broadcast; above, it is joined with a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Documents up to which their copies are broadcast (16 bytes each).
+BROADCAST_COPIES = 1_000_000
 NEWTON_STEPS = 60
 #: Times that a bucket's remaining lack of words is spread over its shortest documents.
 CORRECTIONS = 2
@@ -93,3 +95,11 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
         out = out.withColumn("copies", F.col("copies") + F.when(can & (run <= F.abs("_lack")), F.signum("_lack")).otherwise(0).cast("long"))
     out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
+    """docs, each row as many times as the mix takes it; rows that share a doc_id take the fewest copies any of them has."""
+    copies = mix(docs, weights).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
+    right = checked(saved(copies.where("_copies > 0").withColumnRenamed("doc_id", "_doc"), "copies"), BROADCAST_COPIES)
+    taken = docs.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

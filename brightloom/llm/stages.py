@@ -1,19 +1,49 @@
-"""The functions behind corpus_pipeline.STAGES; each takes (spark, docs, sf_dir)."""
+"""The functions behind corpus_pipeline.STAGES; each takes (spark, docs, sf_dir).
+
+All but the last return the columns of documents. Nulls, empty texts and repeated rows are treated as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing
+from . import jaccard, langid, mixing, pieces, suffixes
+from .queries import PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; `und` ones go."""
+    """Rejects documents without a language (`und`: no text or no letter); all others stay."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     return langid.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
-STAGES = [("language", language)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return jaccard.representatives(docs.select(*COLUMNS), words=5, num=80, den=100)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without byte strings of 400 bytes that occur more than once; documents that consist of them go."""
+    return suffixes.cleaned(docs.select(*COLUMNS))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix of sources takes them."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with its n-best scores."""
+    return pieces.encode(docs, PIECES, with_ids=True)
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("encoded", encoded),
+]
