@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccard, langid, media, mixing, pieces, suffixes, urls
+from . import htmltext, jaccard, langid, media, mixing, pieces, rptrees, suffixes, urls
 from .common import table
 
 #: A public vocabulary; it stays where it is installed.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rptrees.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = htmltext.train(htmltext.labelled_pages())
     return htmltext.extract(table(spark, sf_dir, "pages"), field)
