@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _SPACE, Powers, checked, chunked, discard, mixed, saved, utf8, word_hashes
@@ -33,6 +33,8 @@ COUNT_BITS = 18
 FRAGMENTS = 4
 #: Ids up to which a candidate table is broadcast (16 bytes each); above, texts are joined with a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Candidates of a document that the first round compares.
+NEIGHBOURS = 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -135,7 +137,7 @@ def _prefixes(n: int, num: int, den: int, sent):
 
 
 def _segments(n: int, sent, cuts: np.ndarray):
-    """doc, fragment, grams: a set cut at the fragments of the global order."""
+    """doc, grams: a set cut at the fragments of the global order, a list for each."""
 
     def run(batches):
         import pyarrow as pa
@@ -144,9 +146,9 @@ def _segments(n: int, sent, cuts: np.ndarray):
         for batch in batches:
             for docs, sets in _parts(batch, n, powers):
                 at = [np.searchsorted(cuts, count[_slots(s)], side="right") for s in sets]
-                ids = docs.take(pa.array(np.repeat(np.arange(len(sets)), m)))
-                parts = pa.array(np.tile(np.arange(m, dtype=np.int32), len(sets)))
-                yield pa.RecordBatch.from_arrays([ids, parts, _lists(pa, [s[x == f] for s, x in zip(sets, at, strict=True) for f in range(m)])], names=["doc", "fragment", "grams"])
+                inner = _lists(pa, [s[x == f] for s, x in zip(sets, at, strict=True) for f in range(m)])
+                outer = pa.array(np.arange(0, m * len(sets) + 1, m, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(outer, inner)], names=["doc", "grams"])
 
     return run
 
@@ -159,14 +161,14 @@ def _neighbours(batches):
     import pyarrow as pa
 
     held = None  # the last row so far, whose successor isn't known
-    names = ["gram", "doc", "n"]
+    names = ["gram", "doc", "n", "pos"]
     first = True
 
     def out(cols, keep, before):
         prev = {f"p_{c}": np.concatenate([cols[c][:1], cols[c][:-1]]) for c in names[1:]}
         arrays = [pa.array(cols[c][keep]) for c in names]
         arrays += [pa.array(prev[f"p_{c}"][keep], mask=~before[keep]) for c in names[1:]]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names, "p_doc", "p_n"])
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "p_doc", "p_n", "p_pos"])
 
     for batch in batches:
         cols = {c: batch.column(c).to_numpy() for c in names}
@@ -231,28 +233,32 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     key = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
     prefix = texts.mapInArrow(_prefixes(words, num, den, sent), "doc_id long, k1 long, k2 long, n int, grams array<long>")
     prefixes = saved(prefix.join(key, ["doc_id", "k1", "k2"]).select("doc_id", "n", "grams"), "prefixes")
-    entries = prefixes.select(F.col("doc_id").alias("doc"), "n", F.explode("grams").alias("gram")).select("gram", "doc", "n")
+    entries = prefixes.select(F.col("doc_id").alias("doc"), "n", F.posexplode("grams").alias("pos", "gram")).select("gram", "doc", "n", "pos")
     scramble = F.xxhash64("gram", "doc")
     lists = entries.repartitionByRange("gram", scramble).sortWithinPartitions("gram", scramble, "doc")
-    listed = saved(lists.mapInArrow(_neighbours, "gram long, doc long, n int, p_doc long, p_n int"), "lists")
+    listed = saved(lists.mapInArrow(_neighbours, "gram long, doc long, n int, pos int, p_doc long, p_n int, p_pos int"), "lists")
 
-    near = listed.where("p_doc is not null and p_doc != doc").where(_alike("n", "p_n", num, den))
+    near = listed.where("p_doc is not null and p_doc != doc").where(_meets(num, den))
     pairs = saved(near.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct(), "near")
     left = prefixes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
     right = prefixes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
     counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("shared"))
-    pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "near-enough")
+    # a document needs only its most promising neighbours here; the next round takes every pair that is left
+    ends = F.explode(F.array("a", "b")).alias("end")
+    best = Window.partitionBy("end").orderBy(F.desc("shared"), "a", "b")
+    ranked = counted.where(_reaches(num, den)).select("a", "b", "shared", ends).withColumn("rank", F.row_number().over(best))
+    pairs = saved(ranked.where(F.col("rank") <= NEIGHBOURS).select("a", "b").distinct(), "near-enough")
     links = _verified(texts, pairs, words, sent, cuts, num, den)
 
     known = saved(components(links), "known")
-    side = saved(listed.select("gram", "doc", "n").distinct().join(known, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c")), "sides")
+    side = saved(listed.select("gram", "doc", "n", "pos").distinct().join(known, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "sides")
     discard(prefixes, listed)
     # of each list, the component with most entries need not be held against itself
     parts = side.groupBy("gram", "c").count()
     main = saved(parts.groupBy("gram").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main"), "main")
     open_lists = saved(side.join(main, "gram"), "open")
-    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "c")])
-    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_alike("n", "p_n", num, den))
+    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "pos", "c")])
+    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_meets(num, den))
     # two documents in different components meet once in each list that both are in
     first = F.col("doc") < F.col("p_doc")
     pick = lambda x: (F.when(first, F.col(x)).otherwise(F.col(f"p_{x}")), F.when(first, F.col(f"p_{x}")).otherwise(F.col(x)))
@@ -276,9 +282,10 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
 
 
-def _alike(n: str, p_n: str, num: int, den: int) -> str:
-    """Sets of these sizes can reach the threshold."""
-    return f"{den}L * least({n}, {p_n}) >= {num}L * greatest({n}, {p_n})"
+def _meets(num: int, den: int) -> str:
+    """Can sets of n and p_n n-grams reach the threshold that share an n-gram at pos and p_pos? All before and after may be shared."""
+    most = "(least(pos, p_pos) + least(n - pos, p_n - p_pos))"
+    return f"{den}L * least(n, p_n) >= {num}L * greatest(n, p_n) and {num + den}L * {most} >= {num}L * (n + p_n)"
 
 
 def _reaches(num: int, den: int) -> str:
@@ -295,14 +302,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, sent, cuts, num: i
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    segments = saved(chosen.mapInArrow(_segments(words, sent, cuts), "doc long, fragment int, grams array<long>"), "segments")
-    split = pairs.select("a", "b", F.explode(F.array(*[F.lit(f) for f in range(len(cuts) + 1)])).alias("fragment"))
-    left = segments.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = segments.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("y"))
-    met = split.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-    partial = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("part"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-    summed = partial.groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.sum("nx").alias("na"), F.sum("ny").alias("nb"))
-    links = summed.where(f"{num + den}L * overlap >= {num}L * (na + nb)").select("a", "b", "overlap")
+    segments = saved(chosen.mapInArrow(_segments(words, sent, cuts), "doc long, grams array<array<long>>"), "segments")
+    left = segments.select(F.col("doc").alias("a"), F.col("grams").alias("x"))
+    right = segments.select(F.col("doc").alias("b"), F.col("grams").alias("y"))
+    met = pairs.join(left, "a").join(right, "b")
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda s, k: s + k)
+    partial = F.zip_with("x", "y", lambda p, q: F.size(F.array_intersect(p, q)))
+    size = lambda c: total(F.transform(c, F.size))
+    summed = met.select("a", "b", total(partial).alias("overlap"), (size("x") + size("y")).alias("both"))
+    links = summed.where(f"{num + den}L * overlap >= {num}L * both").select("a", "b", "overlap").dropDuplicates(["a", "b"])
     out = saved(links, "links")
     discard(segments, ids)
     return out
