@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccard, langid, media, mixing, pieces, rptrees, suffixes, urls
+from . import htmltext, jaccard, langid, lmscore, media, mixing, pieces, rptrees, suffixes, urls
 from .common import table
 
 #: A public vocabulary; it stays where it is installed.
@@ -48,6 +48,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "score")
 
