@@ -47,7 +47,20 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of one Arrow batch; texts are long, and executors hold several batches at once.
+BATCH_ROWS = 1_000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of the session, so that memory depends on BATCH_ROWS and the longest texts only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

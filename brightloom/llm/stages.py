@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, pieces, suffixes
+from .common import prepared
 from .queries import PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,27 +17,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (`und`: no text or no letter); all others stay."""
+    prepared(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     return langid.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    prepared(spark)
     return jaccard.representatives(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without byte strings of 400 bytes that occur more than once; documents that consist of them go."""
+    prepared(spark)
     return suffixes.cleaned(docs.select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix of sources takes them."""
+    prepared(spark)
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with its n-best scores."""
+    prepared(spark)
     return pieces.encode(docs, PIECES, with_ids=True)
 
 
