@@ -1,0 +1 @@
+from . import files  # noqa: F401

@@ -1,0 +1 @@
+from . import queries  # noqa: F401
