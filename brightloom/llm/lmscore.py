@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, Powers, mixed, saved, utf8, word_hashes
+from .common import _LOWER, _SPACE, Powers, discard, mixed, saved, utf8, word_hashes
 
 CLASS_BITS = 8
 PIECE = 1 << 15
@@ -36,10 +36,10 @@ SAMPLE_WORDS = 30_000
 #: Bytes of text after which a task passes on the words it has counted.
 FLUSH = 12 << 20
 _K = 1 << CLASS_BITS
-_SLOTS = 1 << 16
+_CONTEXTS = 256
 _TABLES = 4  # contexts of 0 to 3 classes
 _LETTERS = 6  # contexts of a word's bytes
-_SPELL_SLOTS = 1 << 19
+_SPELL_CONTEXTS = 1 << 11
 _PUNCT = np.isin(np.arange(256), list(b".,;:!?|%&*$#\"'()-[]{}<>/\\+=_~`^"))
 END_HASH = -1
 _TEN = math.log(10)
@@ -89,8 +89,8 @@ def with_ends(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(t.hash, at, END_HASH), np.insert(t.kind, at, END_KIND), np.insert(t.doc, at, np.arange(n))
 
 
-def _slots(kind: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each table for each token's contexts (tokens x tables), node of each bit (tokens x bits), bit)."""
+def contexts(kind: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
+    """The context of each token in each table: hashes of no, one, two and three classes before it in its piece."""
     before = []
     prev = kind
     for back in range(1, _TABLES):
@@ -101,11 +101,22 @@ def _slots(kind: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     with np.errstate(over="ignore"):
         h2 = mixed(before[0] * np.uint64(1000) + before[1]) >> np.uint64(56)
         h3 = mixed((before[0] * np.uint64(1000) + before[1]) * np.uint64(1000) + before[2]) >> np.uint64(56)
-    context = np.stack([np.zeros(len(kind), np.int64), (before[0] & np.uint64(255)).astype(np.int64), h2.astype(np.int64), h3.astype(np.int64)], 1) << CLASS_BITS
-    depth = np.arange(CLASS_BITS)
-    node = (1 << depth) | (kind[:, None] >> (CLASS_BITS - depth))
-    bit = (kind[:, None] >> (CLASS_BITS - 1 - depth)) & 1
-    return context, node, bit
+    return [np.zeros(len(kind), np.int64), (before[0] & np.uint64(255)).astype(np.int64), h2.astype(np.int64), h3.astype(np.int64)]
+
+
+def path(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a value's bits in the tree of all bytes, and the bits (values x 8)."""
+    depth = np.arange(8)
+    return ((1 << depth) | (value[:, None] >> (8 - depth))).astype(np.int32), ((value[:, None] >> (7 - depth)) & 1).astype(np.uint8)
+
+
+def at_nodes(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From counts of values (contexts x 256), counts of zeros and ones at the nodes of their bits (contexts x 256)."""
+    n0, n1 = np.zeros(count.shape, np.int64), np.zeros(count.shape, np.int64)
+    for d in range(8):
+        halves = count.reshape(len(count), 1 << d, 2, 128 >> d).sum(-1)
+        n0[:, 1 << d : 2 << d], n1[:, 1 << d : 2 << d] = halves[:, :, 0], halves[:, :, 1]
+    return n0, n1
 
 
 def _pieces(doc: np.ndarray) -> np.ndarray:
@@ -131,37 +142,45 @@ class Mixer:
     """Weights for inputs, chosen by a gate, and an adaptive probability map by gate and log-odds; both learn online."""
 
     BINS = 24
+    FINE = 2048
 
     def __init__(self, inputs: int, gates: int):
-        self.w = np.full((gates, inputs), 0.35, np.float32)
+        self.w = np.full((inputs, gates), 0.35, np.float32)
         self.map = np.tile(squash(np.linspace(-8, 8, self.BINS + 1)), (gates, 1)).astype(np.float32)
+        self.cost = np.zeros(0, np.float32)
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.w[gate]).clip(-8, 7.999)
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = x[0] * self.w[0][gate]
+        for w, v in zip(self.w[1:], x[1:], strict=True):
+            z += v * w[gate]
+        return z.clip(-8, 7.999, out=z)
 
-    def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Of bit 1: the mean of the mix and its refinement by the map, which is interpolated."""
-        z = self.mixed(x, gate)
+    def settle(self) -> None:
+        """Tabulates log10 of the final probabilities by gate, fine log-odds and bit: the mean of the mix and its refinement by the map."""
+        z = (np.arange(self.FINE) + 0.5) * (16 / self.FINE) - 8
         at = (z + 8) * (self.BINS / 16)
-        low = at.astype(np.int32)
-        part = at - low
-        flat = gate * (self.BINS + 1) + low
-        table = self.map.ravel()
-        refined = table[flat] * (1 - part) + table[flat + 1] * part
-        return ((squash(z) + refined) * 0.5).clip(1 / 65536, 1 - 1 / 65536)
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, block: int = 1024, rounds: int = 2):
+        low = at.astype(int)
+        refined = self.map[:, low] * (low + 1 - at) + self.map[:, low + 1] * (at - low)
+        p = ((squash(z) + refined) * 0.5).clip(1 / 65536, 1 - 1 / 65536)
+        self.cost = np.log10(np.stack([1 - p, p], 2)).astype(np.float32).ravel()
+
+    def scores(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 probability of each bit."""
+        fine = ((self.mixed(x, gate) + 8) * (self.FINE / 16)).astype(np.int32)
+        return self.cost[(gate * self.FINE + fine) * 2 + bit]
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, block: int = 1024, rounds: int = 2):
         """Block after block: predict, then move the weights along the error, then the map toward the bits."""
-        gates = len(self.w)
+        gates = self.w.shape[1]
         for r in range(rounds):
             for a in range(0, len(bit), block):
-                xs, g, y = x[a : a + block], gate[a : a + block], bit[a : a + block]
+                xs, g, y = [v[a : a + block] for v in x], gate[a : a + block], bit[a : a + block]
                 z = self.mixed(xs, g)
                 error = y - squash(z)
                 many = np.bincount(g, minlength=gates)
                 step = 0.08 / (1 + r) / np.maximum(many, 16)
-                for i in range(xs.shape[1]):
-                    self.w[:, i] += step * np.bincount(g, error * xs[:, i], minlength=gates)
+                for i, v in enumerate(xs):
+                    self.w[i] += step * np.bincount(g, error * v, minlength=gates)
                 if r == rounds - 1:
                     near = g * (self.BINS + 1) + np.rint((z + 8) * (self.BINS / 16)).astype(np.int64)
                     n, ones = np.bincount(near, minlength=self.map.size), np.bincount(near, y, minlength=self.map.size)
@@ -185,37 +204,45 @@ def own_counts(piece: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np
     return n - n1, n1
 
 
-def class_inputs(kind: np.ndarray, piece: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, gate, bit) of every class bit; tables: log-odds by context and slot."""
-    context, node, bit = _slots(kind, piece)
+#: log(n + 0.4) for every count that one piece can have.
+_LOGS = np.log(np.arange(PIECE + 2) + 0.4).astype(np.float32)
+
+
+def class_inputs(kind: np.ndarray, piece: np.ndarray, tables: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(inputs, gate, bit) of every class bit; tables: log-odds by context and node."""
+    node, bit = path(kind)
     n0, n1 = own_counts(piece, node, bit)
-    x = np.empty((node.size, _TABLES + 2), np.float32)
-    for t in range(_TABLES):
-        x[:, t] = tables[t][(context[:, t, None] | node)].ravel()
-    x[:, _TABLES] = log_odds(n0, n1)
-    x[:, _TABLES + 1] = 0.3
+    x = [tables[t].ravel()[((c << 8).astype(np.int32)[:, None] | node).ravel()] for t, c in enumerate(contexts(kind, piece))]
+    x.append(_LOGS[n1] - _LOGS[n0])
+    x.append(np.full(node.size, 0.3, np.float32))
     n = n0 + n1
-    gate = np.tile(np.arange(CLASS_BITS), len(kind)) * 4 + (n > 0) + (n > 3) + (n > 15)
+    gate = np.tile(np.arange(0, 4 * CLASS_BITS, 4, dtype=np.int32), len(kind)) + (n > 0) + (n > 3) + (n > 15)
     return x, gate, bit.ravel()
 
 
-def letter_slots(words: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each context (bits x contexts), gate, bit, word) for the bits of words spelled from the end, then a space."""
+def letter_contexts(words: list[bytes], kind: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, byte, place, word) for the bytes of words spelled from the end, then a space."""
     length = np.array([len(w) + 1 for w in words], np.int64)
-    data = np.frombuffer(b"".join(w[::-1] + b" " for w in words), np.uint8).astype(np.int64)
-    first = np.cumsum(length) - length
+    data = np.frombuffer(b"".join([w[::-1] + b" " for w in words]), np.uint8).astype(np.int64)
     word = np.repeat(np.arange(len(words)), length)
-    place = np.arange(len(data)) - first[word]
-    back = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), data[:-k]]) if len(data) > k else np.zeros(len(data), np.int64), 0) for k in (1, 2, 3, 4)]
+    place = np.arange(len(data)) - (np.cumsum(length) - length)[word]
+    back = []
+    for k in (1, 2, 3, 4):
+        shifted = np.zeros(len(data), np.int64)
+        shifted[k:] = data[:-k] if len(data) > k else 0
+        back.append(np.where(place >= k, shifted, 0))
     with np.errstate(over="ignore"):
         fold = lambda *v: (mixed(sum(np.uint64(7919**i) * x.astype(np.uint64) for i, x in enumerate(v))) >> np.uint64(53)).astype(np.int64)
-        context = np.stack([np.minimum(place, 15), back[0], fold(*back[:2]), fold(*back[:3]), fold(*back), fold(kind[word] + 1, np.minimum(place, 3), np.where(place < 4, back[0], 0), np.where(place < 4, back[1], 0))], 1)
-    depth = np.arange(8)
-    node = (1 << depth) | (data[:, None] >> (8 - depth))
-    bit = (data[:, None] >> (7 - depth)) & 1
-    slot = (context[:, None, :] << 8 | node[:, :, None]).reshape(-1, _LETTERS)
-    gate = (np.minimum(place, 3)[:, None] * 8 + depth).ravel()
-    return slot, gate, bit.ravel(), np.repeat(word, 8)
+        near = place < 4
+        context = [np.minimum(place, 15), back[0], fold(*back[:2]), fold(*back[:3]), fold(*back), fold(kind[word] + 1, np.minimum(place, 3), np.where(near, back[0], 0), np.where(near, back[1], 0))]
+    return context, data, place, word
+
+
+def letter_bits(context: list[np.ndarray], data: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(slot in each table, gate, bit) of every bit."""
+    node, bit = path(data)
+    slots = [((c << 8)[:, None] | node).ravel() for c in context]
+    return slots, (np.minimum(place, 3)[:, None] * 8 + np.arange(8)).ravel(), bit.ravel()
 
 
 # --- passes ---------------------------------------------------------------------------------------------------------
@@ -236,16 +263,16 @@ def _groups(batch, bound: int = 1 << 19, most: int = 250):
         a = b
 
 
-_WORDS = "h long, word binary, kind int, chunk int, train long, slot int, n0 long, n1 long"
+_WORDS = "h long, word binary, kind int, chunk int, train long, slot int, n long"
 
 
 def _counted(batches):
-    """Words of each chunk with training counts (slot null), and the partition's class contexts as (slot, n0, n1)."""
+    """Words of each chunk with training counts (slot null), and how often the partition has each class in each context: (slot, n)."""
     import pyarrow as pa
 
     names = [x.split()[0] for x in _WORDS.split(", ")]
     powers = Powers()
-    counts = np.zeros((2, _TABLES * _SLOTS), np.int64)
+    counts = np.zeros((_TABLES, _CONTEXTS * _K), np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
     size, chunk = 0, None
 
@@ -260,7 +287,7 @@ def _counted(batches):
             n = len(uniq[s])
             null = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uniq[s]), pa.array([words[i] for i in first[s]], pa.binary()), pa.array(kind[s].astype(np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.array(train[s]), pa.nulls(n, pa.int32()), null, null], names=names
+                [pa.array(uniq[s]), pa.array([words[i] for i in first[s]], pa.binary()), pa.array(kind[s].astype(np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.array(train[s]), pa.nulls(n, pa.int32()), null], names=names
             )
         held.clear()
 
@@ -284,44 +311,41 @@ def _counted(batches):
                 train = np.bincount(back, learn[t.doc], minlength=len(uniq)) if len(uniq) else np.zeros(0)
                 held.append((np.append(uniq, END_HASH), np.append(train, learn.sum()), np.append(t.kind[first], END_KIND), [*words, b"\n"]))
                 keep = learn[doc]
-                piece = _pieces(doc)
-                context, node, bit = _slots(kind, piece)
-                for k in range(_TABLES):
-                    slot = (context[keep, k, None] | node[keep]) * 2 + bit[keep]
-                    counts.T[k * _SLOTS : (k + 1) * _SLOTS] += np.bincount(slot.ravel(), minlength=2 * _SLOTS).reshape(-1, 2)
+                for k, context in enumerate(contexts(kind, _pieces(doc))):
+                    counts[k] += np.bincount((context << CLASS_BITS | kind)[keep], minlength=_CONTEXTS * _K)
     if held:
         yield from flush()
-    full = np.flatnonzero(counts.sum(0))
+    counts = counts.ravel()
+    full = np.flatnonzero(counts)
     for a in range(0, len(full), 20_000):
         s = full[a : a + 20_000]
         n = len(s)
         null = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([null, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), null, pa.array(s.astype(np.int32)), pa.array(counts[0, s]), pa.array(counts[1, s])], names=names)
+        yield pa.RecordBatch.from_arrays([null, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), null, pa.array(s.astype(np.int32)), pa.array(counts[s])], names=names)
 
 
 def _letters(batches):
-    """Counts of letter contexts over word types: (slot, n0, n1)."""
+    """How often word types have each byte in each context: (slot, n)."""
     import pyarrow as pa
 
-    counts = np.zeros((_LETTERS * _SPELL_SLOTS, 2), np.int32)
+    counts = np.zeros((_LETTERS, _SPELL_CONTEXTS * 256), np.int32)
     for batch in batches:
-        for a in range(0, batch.num_rows, 5_000):
-            part = batch.slice(a, 5_000)
-            slot, _, bit, _ = letter_slots(part.column("word").to_pylist(), part.column("kind").to_numpy().astype(np.int64))
-            for k in range(_LETTERS):
-                np.add.at(counts.reshape(-1), slot[:, k] * 2 + bit + 2 * k * _SPELL_SLOTS, 1)
-    full = np.flatnonzero(counts.any(1))
+        context, data, _, _ = letter_contexts(batch.column("word").to_pylist(), batch.column("kind").to_numpy().astype(np.int64))
+        for k, c in enumerate(context):
+            np.add.at(counts[k], c << 8 | data, 1)
+    counts = counts.ravel()
+    full = np.flatnonzero(counts)
     for a in range(0, len(full), 50_000):
         s = full[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s, 0].astype(np.int64)), pa.array(counts[s, 1].astype(np.int64))], names=["slot", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s].astype(np.int64))], names=["slot", "n"])
 
 
-def _gathered(rows: DataFrame, size: int) -> np.ndarray:
-    """Sums of (slot, n0, n1) as one array of fixed size."""
-    out = np.zeros((2, size), np.int64)
-    for slot, a, b in rows.groupBy("slot").agg(F.sum("n0"), F.sum("n1")).toLocalIterator(prefetchPartitions=True):
-        out[0, slot], out[1, slot] = a, b
-    return out
+def _gathered(rows: DataFrame, tables: int, contexts: int) -> np.ndarray:
+    """Sums of (slot, n) as one array of fixed size: tables x contexts x values."""
+    out = np.zeros(tables * contexts * 256, np.int64)
+    for slot, n in rows.groupBy("slot").agg(F.sum("n")).toLocalIterator(prefetchPartitions=True):
+        out[slot] = n
+    return out.reshape(tables, contexts, 256)
 
 
 @dataclass
@@ -337,10 +361,11 @@ class Model:
 
     def spell(self, words: list[bytes], kind: np.ndarray) -> np.ndarray:
         """log10 probability of words that training has not seen, inside their classes."""
-        slot, gate, bit, word = letter_slots(words, kind)
-        x = np.stack([self.letters[k][slot[:, k]] for k in range(_LETTERS)], 1)
-        p = self.speller.probability(x, gate)
-        out = np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
+        context, data, place, word = letter_contexts(words, kind)
+        slots, gate, bit = letter_bits(context, data, place)
+        x = [self.letters[k].ravel()[slot] for k, slot in enumerate(slots)]
+        each = self.speller.scores(x, gate, bit).reshape(-1, 8).sum(1)
+        out = np.bincount(word, each, minlength=len(words))
         mass = np.where(self.total > 0, self.discount * self.kinds / np.maximum(self.total, 1), 1.0)
         return out + np.log10(mass[kind])
 
@@ -351,8 +376,7 @@ class Model:
     def classes(self, kind: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class."""
         x, gate, bit = class_inputs(kind, piece, self.tables)
-        p = self.mixer.probability(x, gate)
-        return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, CLASS_BITS).sum(1)
+        return self.mixer.scores(x, gate, bit).reshape(-1, CLASS_BITS).sum(1, dtype=np.float64)
 
 
 GATES = 24
@@ -376,7 +400,7 @@ def own_words(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _fit(sample: list[bytes], counted: np.ndarray, letters: np.ndarray, words: list[tuple[bytes, int]], stats: list) -> Model:
     """Online fits on the bounded samples; counts without the word itself stand for words not seen."""
-    tables = log_odds(counted[0], counted[1]).reshape(_TABLES, _SLOTS)
+    tables = np.stack([log_odds(*at_nodes(c)) for c in counted])
     total, kinds = np.zeros(_K), np.zeros(_K)
     once = twice = 0
     for kind, n, v, a, b in stats:
@@ -396,14 +420,15 @@ def _fit(sample: list[bytes], counted: np.ndarray, letters: np.ndarray, words: l
             mixer.learn(x, gate, bit)
             hits.append(own_words(h[lo:hi], piece[lo:hi]))
     speller = Mixer(_LETTERS, 32)
+    nodes = [at_nodes(c) for c in letters]
     if words:
-        slot, gate, bit, _ = letter_slots([w for w, _ in words], np.array([k for _, k in words], np.int64))
-        x = np.empty(slot.shape, np.float32)
-        for k in range(_LETTERS):
-            at = slot[:, k] + k * _SPELL_SLOTS
-            x[:, k] = log_odds(np.maximum(letters[0][at] - (bit == 0), 0), np.maximum(letters[1][at] - (bit == 1), 0))
+        context, data, place, _ = letter_contexts([w for w, _ in words], np.array([k for _, k in words], np.int64))
+        slots, gate, bit = letter_bits(context, data, place)
+        x = [log_odds(np.maximum(n0.ravel()[at] - (bit == 0), 0), np.maximum(n1.ravel()[at] - (bit == 1), 0)) for (n0, n1), at in zip(nodes, slots, strict=True)]
         speller.learn(x, gate, bit)
-    model = Model(tables, mixer, log_odds(letters[0], letters[1]).reshape(_LETTERS, _SPELL_SLOTS), speller, share, total, kinds, discount)
+    mixer.settle()
+    speller.settle()
+    model = Model(tables, mixer, np.stack([log_odds(*n) for n in nodes]), speller, share, total, kinds, discount)
     if hits:
         own, gate = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
         # a share of the own words' expert that loses little where it is wrong: its hit rate, damped
@@ -512,8 +537,9 @@ def score(docs: DataFrame) -> DataFrame:
     known = vocabulary.where("c > 0")
     stats = [tuple(r) for r in known.groupBy("kind").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int"))).collect()]
     n, v = int(sum(r[1] for r in stats)), int(sum(r[2] for r in stats))
-    contexts = _gathered(counted.where("slot is not null").select("slot", "n0", "n1"), _TABLES * _SLOTS)
-    letters = _gathered(known.select("word", "kind").mapInArrow(_letters, "slot int, n0 long, n1 long"), _LETTERS * _SPELL_SLOTS)
+    contexts = _gathered(counted.where("slot is not null").select("slot", "n"), _TABLES, _CONTEXTS)
+    discard(counted)
+    letters = _gathered(known.select("word", "kind").mapInArrow(_letters, "slot int, n long"), _LETTERS, _SPELL_CONTEXTS)
     near = lambda df, key, most, total: df.where(F.pmod(F.xxhash64(F.lit("lm"), key), F.lit(1 << 30)) < int(min(1.0, most / max(total, 1)) * (1 << 30))).orderBy(F.xxhash64(key)).limit(2 * most)
     ends = next((r[0] for r in known.where(F.col("h") == END_HASH).select("c").collect()), 0)
     sample = [r["text"].encode() for r in near(base.where("training").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, ends).collect()]
