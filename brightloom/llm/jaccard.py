@@ -6,8 +6,8 @@ where similar sets must meet are candidates; for each candidate pair, the overla
 separately and the counts are summed per pair. Only pairs whose sum reaches the threshold are links.
 
 Groups never cause all their pairs. Equal sets are one class, of which the smallest doc_id stands for all. Candidates come in
-two rounds: first, each list of documents with an n-gram is walked in a scrambled order and neighbours are compared;
-links found contract documents into components. Then every pair of a list that lies in two components is a candidate,
+two rounds: first, each document in the list of an n-gram is compared with the one before it and with the first, the list being
+sorted so that the least changed of near copies lead; links found contract documents into components. Then every pair of a list that lies in two components is a candidate,
 leaving out only pairs already known to be connected. So components are exact, whatever the groups. Before whole sets
 travel, a pair must share enough n-grams in the prefixes to reach the threshold with all that follows them.
 
@@ -33,8 +33,6 @@ COUNT_BITS = 18
 FRAGMENTS = 4
 #: Ids up to which a candidate table is broadcast (16 bytes each); above, texts are joined with a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Candidates of a document that the first round compares.
-NEIGHBOURS = 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -153,22 +151,29 @@ def _segments(n: int, sent, cuts: np.ndarray):
     return run
 
 
+_LISTED = "gram long, doc long, n int, pos int, p_doc long, p_n int, p_pos int, l_doc long, l_n int, l_pos int"
+
+
 def _neighbours(batches):
-    """Of entries sorted by (gram, scramble): those whose gram has another entry, with the entry before it in the list.
+    """Of entries sorted by (gram, pos): those whose gram has another entry, with the entry before and the list's first entry.
 
     The first and last entries of a partition always stay, as their list may go on in another one.
     """
     import pyarrow as pa
 
-    held = None  # the last row so far, whose successor isn't known
     names = ["gram", "doc", "n", "pos"]
+    held = None  # the last two rows so far; of the second, the successor isn't known
     first = True
+    head = None  # of the list that the first held row is in
 
-    def out(cols, keep, before):
-        prev = {f"p_{c}": np.concatenate([cols[c][:1], cols[c][:-1]]) for c in names[1:]}
+    def out(cols, keep, same):
+        before = np.concatenate([[False], same])
+        at = np.maximum.accumulate(np.where(before, 0, np.arange(len(before))))
         arrays = [pa.array(cols[c][keep]) for c in names]
-        arrays += [pa.array(prev[f"p_{c}"][keep], mask=~before[keep]) for c in names[1:]]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names, "p_doc", "p_n", "p_pos"])
+        arrays += [pa.array(np.concatenate([cols[c][:1], cols[c][:-1]])[keep], mask=~before[keep]) for c in names[1:]]
+        heads = {c: np.where(at == 0, head[c], cols[c][at]).astype(cols[c].dtype) if head else cols[c][at] for c in names[1:]}
+        arrays += [pa.array(heads[c][keep], mask=~before[keep]) for c in names[1:]]
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _LISTED.split(", ")]), {c: v[-2:-1] for c, v in heads.items()}
 
     for batch in batches:
         cols = {c: batch.column(c).to_numpy() for c in names}
@@ -178,23 +183,18 @@ def _neighbours(batches):
             held = cols
             continue
         same = cols["gram"][1:] == cols["gram"][:-1]
-        before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-        keep = before | after
-        fresh = 0 if first else 1  # row 0 came out before, and row 1 onwards is new
-        if first:
-            keep[0] = True
-        keep[:fresh] = False
+        keep = np.concatenate([[first], same]) | np.concatenate([same, [False]])
+        if not first:
+            keep[0] = False  # it came out, or not, with the batch before
         keep[-1] = False
-        yield out(cols, keep, before)
+        made, head = out(cols, keep, same)
+        yield made
         held = {c: cols[c][-2:] for c in names}
         first = False
     if held is not None:
-        rows = len(held["gram"])
-        same = held["gram"][1:] == held["gram"][:-1]
-        keep = np.ones(rows, bool)
-        if not first:
-            keep[0] = False
-        yield out(held, keep, np.concatenate([[False], same]))
+        keep = np.ones(len(held["gram"]), bool)
+        keep[0] = first
+        yield out(held, keep, held["gram"][1:] == held["gram"][:-1])[0]
 
 
 @dataclass
@@ -234,20 +234,18 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     prefix = texts.mapInArrow(_prefixes(words, num, den, sent), "doc_id long, k1 long, k2 long, n int, grams array<long>")
     prefixes = saved(prefix.join(key, ["doc_id", "k1", "k2"]).select("doc_id", "n", "grams"), "prefixes")
     entries = prefixes.select(F.col("doc_id").alias("doc"), "n", F.posexplode("grams").alias("pos", "gram")).select("gram", "doc", "n", "pos")
-    scramble = F.xxhash64("gram", "doc")
-    lists = entries.repartitionByRange("gram", scramble).sortWithinPartitions("gram", scramble, "doc")
-    listed = saved(lists.mapInArrow(_neighbours, "gram long, doc long, n int, pos int, p_doc long, p_n int, p_pos int"), "lists")
+    # sorted by position, a list begins with the document that has the fewest rarer n-grams: of near copies, the least changed
+    order = ["gram", "pos", F.xxhash64("gram", "doc"), "doc"]
+    lists = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    listed = saved(lists.mapInArrow(_neighbours, _LISTED), "lists")
 
-    near = listed.where("p_doc is not null and p_doc != doc").where(_meets(num, den))
+    beside = [listed.select("doc", "n", "pos", F.col(f"{k}_doc").alias("p_doc"), F.col(f"{k}_n").alias("p_n"), F.col(f"{k}_pos").alias("p_pos")) for k in "pl"]
+    near = beside[0].unionAll(beside[1]).where("p_doc is not null and p_doc != doc").where(_meets(num, den))
     pairs = saved(near.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct(), "near")
     left = prefixes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
     right = prefixes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
     counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("shared"))
-    # a document needs only its most promising neighbours here; the next round takes every pair that is left
-    ends = F.explode(F.array("a", "b")).alias("end")
-    best = Window.partitionBy("end").orderBy(F.desc("shared"), "a", "b")
-    ranked = counted.where(_reaches(num, den)).select("a", "b", "shared", ends).withColumn("rank", F.row_number().over(best))
-    pairs = saved(ranked.where(F.col("rank") <= NEIGHBOURS).select("a", "b").distinct(), "near-enough")
+    pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "near-enough")
     links = _verified(texts, pairs, words, sent, cuts, num, den)
 
     known = saved(components(links), "known")
@@ -256,9 +254,13 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     # of each list, the component with most entries need not be held against itself
     parts = side.groupBy("gram", "c").count()
     main = saved(parts.groupBy("gram").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main"), "main")
-    open_lists = saved(side.join(main, "gram"), "open")
-    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "pos", "c")])
-    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_meets(num, den))
+    inner = saved(side.join(main, "gram"), "open")
+    # of a document's entries in these lists, k in all and i before this one: what two documents can share lies in both
+    mine = Window.partitionBy("doc")
+    placed = inner.withColumn("k", F.count("*").over(mine)).withColumn("i", F.row_number().over(mine.orderBy("pos", "gram")) - 1)
+    open_lists = saved(placed, "open-lists")
+    one = open_lists.where("c != main").select("gram", *[F.col(x).alias(f"p_{x}") for x in ("doc", "n", "pos", "c", "k", "i")])
+    cross = open_lists.join(one, "gram").where("c != p_c and (p_doc < doc or c = main)").where(_meets(num, den)).where(_reaches(num, den, "(least(i, p_i) + least(k - i, p_k - p_i))", "n", "p_n"))
     # two documents in different components meet once in each list that both are in
     first = F.col("doc") < F.col("p_doc")
     pick = lambda x: (F.when(first, F.col(x)).otherwise(F.col(f"p_{x}")), F.when(first, F.col(f"p_{x}")).otherwise(F.col(x)))
@@ -288,13 +290,13 @@ def _meets(num: int, den: int) -> str:
     return f"{den}L * least(n, p_n) >= {num}L * greatest(n, p_n) and {num + den}L * {most} >= {num}L * (n + p_n)"
 
 
-def _reaches(num: int, den: int) -> str:
+def _reaches(num: int, den: int, shared: str = "shared", na: str = "na", nb: str = "nb") -> str:
     """Can two sets of na and nb n-grams, `shared` of them in both prefixes, reach the threshold?
 
     What follows the prefix that ends first in the order adds at most all of its set's other n-grams.
     """
     rest = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
-    return f"{num + den}L * (shared + greatest({rest('na')}, {rest('nb')})) >= {num}L * (na + nb)"
+    return f"{num + den}L * ({shared} + greatest({rest(na)}, {rest(nb)})) >= {num}L * ({na} + {nb})"
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, sent, cuts, num: int, den: int) -> DataFrame:
