@@ -1,0 +1,5 @@
+"""Reading physical plans: which operators run, what is pushed down, and how much runs in generated code."""
+
+from .report import Report, explain
+
+__all__ = ["Report", "explain"]
