@@ -27,7 +27,7 @@ BROADCAST_SOURCES = 10_000
 BROADCAST_COPIES = 1_000_000
 NEWTON_STEPS = 60
 #: Times that a bucket's remaining lack of words is spread over its shortest documents.
-CORRECTIONS = 2
+CORRECTIONS = 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -92,7 +92,9 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
         out = out.withColumn("_lack", lack)
         can = (F.col("size") > 0) & F.when(F.col("_lack") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
         run = F.sum(F.when(can, F.col("size")).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("copies", F.col("copies") + F.when(can & (run <= F.abs("_lack")), F.signum("_lack")).otherwise(0).cast("long"))
+        # too much with nothing short enough to remove: the shortest that was taken goes, and the next round refills
+        stuck = (F.col("_lack") < -0.1 * F.sum(F.col("size") * F.col("rate")).over(group)) & (run == F.col("size"))
+        out = out.withColumn("copies", F.col("copies") + F.when(can & ((run <= F.abs("_lack")) | stuck), F.signum("_lack")).otherwise(0).cast("long"))
     out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
 
