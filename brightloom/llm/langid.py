@@ -38,6 +38,11 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    found = _LETTER.search(text)
+    return bool(found) and (found[0].isalpha() or any(c.isalpha() for c in text))
+
+
 def family(lang: str) -> str:
     code = re.split(r"[-_]", lang.lower())[0]
     return next((k for k, v in FAMILIES.items() if code in v.split()), "other")
@@ -163,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 text = part.column("text")
                 names, score = model.predict(vectors(*utf8(text)))
                 for i, t in enumerate(text):
-                    if not t.is_valid or not _LETTER.search(t.as_py()):
+                    if not t.is_valid or not has_letter(t.as_py()):
                         names[i], score[i] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
