@@ -547,5 +547,6 @@ def score(docs: DataFrame) -> DataFrame:
     model = _fit(sample, contexts, letters, spelled, stats)
     used = vocabulary.mapInArrow(_looked_up(model), "h long, c long, lp double, chunks array<int>").select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     texts = base.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), "doc_id", "text")
-    both = used.unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "h")
+    chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
+    both = used.unionAll(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind", "h")
     return both.mapInArrow(_scored(model, n, v), _SCORED)
