@@ -49,6 +49,11 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def files_for(rows: int, each: int = 200_000) -> int:
+    """How many files a table of so many narrow rows needs."""
+    return max(1, -(-rows // each))
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes written intermediates that no later plan reads."""
     for df in frames:

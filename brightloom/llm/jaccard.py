@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Powers, checked, chunked, discard, mixed, saved, utf8, word_hashes
+from .common import _SPACE, Powers, checked, chunked, discard, files_for, mixed, saved, utf8, word_hashes
 from .components import components
 
 COUNT_BITS = 18
@@ -248,7 +248,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "near-enough")
     links = _verified(texts, pairs, words, sent, cuts, num, den)
 
-    known = saved(components(links), "known")
+    known = saved(components(links).coalesce(files_for(2 * links.count())), "known")
     side = saved(listed.select("gram", "doc", "n", "pos").distinct().join(known, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "sides")
     discard(prefixes, listed)
     # of each list, the component with most entries need not be held against itself
@@ -268,7 +268,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
     counted = cross.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     pairs = saved(counted.where(_reaches(num, den)).select("a", "b"), "cross-enough")
     links = links.unionAll(_verified(texts, pairs, words, sent, cuts, num, den))
-    return Joined(sets, classes, links, saved(components(links), "groups"))
+    return Joined(sets, classes, links, saved(components(links).coalesce(files_for(2 * links.count())), "groups"))
 
 
 def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -301,7 +301,8 @@ def _reaches(num: int, den: int, shared: str = "shared", na: str = "na", nb: str
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, sent, cuts, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b) the links: overlaps counted in each fragment, summed per pair."""
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidates")
+    n = files_for(2 * pairs.count())
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct().coalesce(n), "candidates")
     few = ids.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     segments = saved(chosen.mapInArrow(_segments(words, sent, cuts), "doc long, grams array<array<long>>"), "segments")
@@ -313,6 +314,6 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, sent, cuts, num: i
     size = lambda c: total(F.transform(c, F.size))
     summed = met.select("a", "b", total(partial).alias("overlap"), (size("x") + size("y")).alias("both"))
     links = summed.where(f"{num + den}L * overlap >= {num}L * both").select("a", "b", "overlap").dropDuplicates(["a", "b"])
-    out = saved(links, "links")
+    out = saved(links.coalesce(files_for(pairs.count(), 5_000)), "links")
     discard(segments, ids)
     return out
