@@ -32,7 +32,7 @@ from .common import _LOWER, _SPACE, Powers, discard, mixed, saved, utf8, word_ha
 CLASS_BITS = 8
 PIECE = 1 << 15
 SAMPLE_DOCS = 1_500
-SAMPLE_WORDS = 30_000
+SAMPLE_WORDS = 12_000
 #: Bytes of text after which a task passes on the words it has counted.
 FLUSH = 12 << 20
 _K = 1 << CLASS_BITS
