@@ -61,7 +61,7 @@ def tilted(sources: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda x, _: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio * F.exp(-x) - 1)),
     )
-    return sources.withColumn("rate", F.when(F.col("target") > 0, F.least(F.exp(dual), F.lit(MOST))).otherwise(F.lit(0.0)))
+    return sources.withColumn("rate", F.when(F.col("target") > 0, F.least(F.round(F.exp(dual), 12), F.lit(MOST))).otherwise(F.lit(0.0)))
 
 
 def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
@@ -76,8 +76,8 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     few = sources.count() <= BROADCAST_SOURCES
     right = sources.select(F.col("source").alias("_source"), "source_size", "n", "target", "rate")
     joined = sizes.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = F.xxhash64(F.lit("mix"), "doc_id")
-    bucketed = joined.withColumn("_bucket", F.pmod(order, F.ceil(F.col("n") / BUCKET_ROWS)))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    bucketed = joined.withColumn("_bucket", F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.ceil(F.col("n") / BUCKET_ROWS)))
     if not few:
         bucketed = bucketed.repartition("source", "_bucket")
     group = Window.partitionBy("source", "_bucket")
@@ -88,12 +88,12 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     place = F.row_number().over(ordered)
     out = bucketed.withColumn("copies", upto(place) - upto(place - 1))
     for _ in range(CORRECTIONS):
-        lack = F.sum(F.col("size") * (F.col("rate") - F.col("copies"))).over(group)
+        lack = F.round(F.sum(F.col("size") * (F.col("rate") - F.col("copies"))).over(group), 6)
         out = out.withColumn("_lack", lack)
         can = (F.col("size") > 0) & F.when(F.col("_lack") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
         run = F.sum(F.when(can, F.col("size")).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
         # too much with nothing short enough to remove: the shortest that was taken goes, and the next round refills
-        stuck = (F.col("_lack") < -0.1 * F.sum(F.col("size") * F.col("rate")).over(group)) & (run == F.col("size"))
+        stuck = (F.col("_lack") < -0.1 * F.sum("size").over(group) * F.col("rate")) & (run == F.col("size"))
         out = out.withColumn("copies", F.col("copies") + F.when(can & ((run <= F.abs("_lack")) | stuck), F.signum("_lack")).otherwise(0).cast("long"))
     out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")

@@ -45,7 +45,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("rate")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +60,29 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _mixing_sql() -> str:
+    """The mix with its rates in closed form: the water level is the greatest that any number of capped sources leaves."""
+    step = """
+    c{k} as (select *, round(sum(size * (rate - copies)) over (partition by source, bucket), 6) as lack from c{j}),
+    d{k} as (select *, size > 0 and case when lack > 0 then copies < 3 else copies > 0 end as can from c{k}),
+    e{k} as (select *, sum(case when can then size else 0 end) over (partition by source, bucket order by size, ord, doc_id rows unbounded preceding) as run, sum(size) over (partition by source, bucket) as words from d{k}),
+    f{k} as (select doc_id, source, size, source_size, target, rate, bucket, ord, copies + case when can and (run <= abs(lack) or (lack < -0.1 * words * rate and run = size)) then cast(sign(lack) as bigint) else 0 end as copies from e{k}),
+    """
+    steps = "".join(step.format(k=k, j=k) .replace(f"from c{k}),", f"from {'b' if k == 0 else f'f{k - 1}'}),", 1) for k in range(mixing.CORRECTIONS))
+    return rf"""
+    with sizes as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as ord from documents),
+    sums as (select source, cast(sum(size) as bigint) as source_size, count(*) as n from sizes group by source),
+    weighed as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1.0::double as weight, 3.0::double * source_size as cap from sums),
+    levels as (select (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source rows between current row and unbounded following) as level from weighed),
+    targets as (select source, source_size, n, least(cap, (select max(level) from levels) * weight) as target from weighed),
+    rates as (select *, case when target > 0 then least(round(target / source_size, 12), 3.0) else 0.0 end as rate from targets),
+    a as (select s.*, r.source_size, r.target, r.rate, cast(('0x' || substring(ord, 1, 8)) as bigint) % cast(ceil(n / {mixing.BUCKET_ROWS}) as bigint) as bucket from sizes s join rates r on s.source is not distinct from r.source),
+    p as (select *, row_number() over (partition by source, bucket order by size, ord, doc_id) as place, bucket * 0.6180339887498949::double + 0.5 as q from a),
+    b as (select doc_id, source, size, source_size, target, rate, bucket, ord, cast(floor(round(rate * place + (q - floor(q)), 9)) - floor(round(rate * (place - 1) + (q - floor(q)), 9)) as bigint) as copies from p),
+    {steps}
+    done as (select * from f{mixing.CORRECTIONS - 1})
+    select doc_id, size, source_size, target, copies, copies * size as taken from done"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_source_mixing": _mixing_sql()}
