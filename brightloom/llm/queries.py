@@ -84,5 +84,25 @@ def _mixing_sql() -> str:
     select doc_id, size, source_size, target, copies, copies * size as taken from done"""
 
 
+_JACCARD_SQL = r"""
+    with recursive words as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+    lists as (select doc_id, case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as l from words),
+    sets as (select distinct doc_id, unnest(l) as s from lists),
+    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    shared as (select a.doc_id as x, b.doc_id as y, count(*) as common from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+    links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * common >= 85 * (p.n + q.n - common)),
+    edges as (select x, y from links union all select y, x from links),
+    reach as (select doc_id as d, doc_id as c from documents union select e.y, r.c from reach r join edges e on e.x = r.d)
+    select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c as component_id from (select d, min(c) as c from reach group by d) r join documents on d = doc_id left join sizes using (doc_id)"""
+
+_EMBEDDING_SQL = """
+    with recursive sound as (select vec_id, embedding::double[] as v, label from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id as x, b.vec_id as y from sound a join sound b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+    edges as (select x, y from links union all select y, x from links),
+    degrees as (select x, count(*) as k from edges group by x),
+    reach as (select vec_id as d, vec_id as c from embeddings union select e.y, r.c from reach r join edges e on e.x = r.d)
+    select vec_id, cast(coalesce(k, 0) as bigint) as n_links, c as component_id, vec_id = c as kept from (select d, min(c) as c from reach group by d) r join embeddings on d = vec_id left join degrees on x = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": _mixing_sql()}
+    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op7_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _mixing_sql()}

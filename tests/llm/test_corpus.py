@@ -380,3 +380,20 @@ def test_pipeline(spark, tmp_path, rows, docs):
     assert all(texts[i] and re.search(r"[^\W\d_]", texts[i]) for i in out)
     sets = {i: shingle_set(texts[i], 5) for i in out}
     assert all(100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2))
+
+
+# comparison SQL ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, tiny, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
+    result = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    df = queries.queries()[name](spark, tiny)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(result.fetchall())
