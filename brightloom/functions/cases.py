@@ -5,12 +5,13 @@ from __future__ import annotations
 from ..registry import sql
 
 
-def case(name: str, table: str, key: str, *rows: tuple, where: str = "", covers: str = "") -> None:
+def case(name: str, table: str, key: str, *rows: tuple, where: str = "", covers: str = "", whole: bool = False) -> None:
+    """whole: where is a filter on ids, and name_whole is without it."""
     spark = ", ".join(f"{r[1]} as {r[0]}" for r in rows)
     other = ", ".join(f"{r[2] if len(r) > 2 else r[1]} as {r[0]}" for r in rows)
     tail = f" from {table}" + (f" where {where}" if where else "") if table else ""
     lead = f"{key}, " if key else ""
-    sql(name, f"select {lead}{spark}{tail}", f"select {lead}{other}{tail}", covers)
+    sql(name, f"select {lead}{spark}{tail}", f"select {lead}{other}{tail}", covers, cut=f" where {where}" if whole else "")
 
 
 def fn(names: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import frame, sql
 from ..tables import load
 
-sql("project_expressions", "select o_orderkey, o_totalprice * 2 as twice, o_orderkey + 1 as next_key, upper(o_orderstatus) as status, o_orderpriority as priority from orders where o_orderkey < 500", covers="project")
+sql("project_expressions", "select o_orderkey, o_totalprice * 2 as twice, o_orderkey + 1 as next_key, upper(o_orderstatus) as status, o_orderpriority as priority from orders where o_orderkey < 500", covers="project", cut=" where o_orderkey < 500")
 sql("filter_compound", "select c_custkey, c_acctbal from customer where (c_acctbal > 5000 or c_mktsegment = 'BUILDING') and not c_nationkey = 3 and c_name is not null", covers="filter predicate.and predicate.or predicate.not predicate.isnotnull")
 sql("sort_nulls_multi", "select c_custkey, nullif(c_nationkey, 3) as nk, cast(row_number() over (order by nullif(c_nationkey, 3) desc nulls first, c_acctbal asc, c_custkey) as int) as place from customer order by nk desc nulls first, c_acctbal asc, c_custkey", covers="sort sort.nulls")
 sql("limit_offset", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 50", covers="limit.global limit.offset limit.local")

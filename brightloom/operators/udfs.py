@@ -12,13 +12,18 @@ from ..registry import frame
 from ..tables import load
 
 
-@frame("udf_pandas_scalar", "select o_orderkey, o_totalprice * 2 + 1 as v from orders where o_orderkey < 2000", "udf.pandas udf.arrow_eval")
-def udf_pandas_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+@frame("udf_pandas_scalar_whole", "select o_orderkey, o_totalprice * 2 + 1 as v from orders", "udf.pandas udf.arrow_eval")
+def udf_pandas_scalar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def line(x: pd.Series) -> pd.Series:
         return x * 2 + 1
 
-    return load(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", line("o_totalprice").alias("v"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", line("o_totalprice").alias("v"))
+
+
+@frame("udf_pandas_scalar", "select o_orderkey, o_totalprice * 2 + 1 as v from orders where o_orderkey < 2000", "udf.pandas udf.arrow_eval")
+def udf_pandas_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udf_pandas_scalar_whole(spark, sf_dir).where("o_orderkey < 2000")
 
 
 @frame("udf_arrow_scalar", "select p_partkey, cast(length(p_name) as bigint) as n from part", "udf.arrow")

@@ -29,8 +29,12 @@ def add(name: str, build: Build, oracle: str | None, covers: str) -> None:
     REGISTRY[name] = Query(name, build, oracle, tuple(covers.split()))
 
 
-def sql(name: str, text: str, oracle: str | None = None, covers: str = "") -> None:
-    """A query written in SQL; oracle: the comparison's wording where it differs."""
+def sql(name: str, text: str, oracle: str | None = None, covers: str = "", cut: str = "") -> None:
+    """A query written in SQL; oracle: the comparison's wording where it differs; cut: a filter on ids that name_whole is without."""
+    if cut:
+        if cut not in text or cut not in (oracle or text):
+            raise ValueError(f"{name} has no filter {cut}")
+        sql(f"{name}_whole", text.replace(cut, ""), oracle and oracle.replace(cut, ""), covers)
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
