@@ -8,8 +8,10 @@ online, and an adaptive probability map refines the result. Inside a class, a tr
 the class, and the discounted mass spells all other words, byte by byte from the end, by the same kind of mixing over
 letters. Last, words of the document so far are a second expert, mixed in by a gate on how often it has been right.
 
-All steps are probabilities of disjoint codes, so scores are log-probabilities of whole texts. Counts cover all training
-documents; weights and the map are fitted online on at most SAMPLE_DOCS of them and SAMPLE_WORDS words, stated bounds.
+All steps are probabilities of disjoint codes, so scores are log-probabilities of whole texts. Counts, weights, maps and the
+shares of own words cover all training documents and all their words: each partition learns online from all it has, and
+weights are averaged by the bits each has seen (ROUNDS times), while the maps' counts and the hits of own words are added up.
+While a text is scored, the weights for its classes go on learning from the part already scored, BLOCK tokens at a time.
 Tables that travel have fixed sizes; words and their counts never do as a whole: each chunk of documents gets those it uses.
 
 Defined results: a null or empty text is its end alone; without training documents, N and V are 0 and the model spells
@@ -31,8 +33,10 @@ from .common import _LOWER, _SPACE, Powers, discard, mixed, saved, utf8, word_ha
 
 CLASS_BITS = 8
 PIECE = 1 << 15
-SAMPLE_DOCS = 1_500
-SAMPLE_WORDS = 12_000
+#: Passes over all training documents and words; each starts from the weights merged before.
+ROUNDS = 2
+#: Tokens of a text after which its own weights move.
+BLOCK = 64
 #: Bytes of text after which a task passes on the words it has counted.
 FLUSH = 12 << 20
 _K = 1 << CLASS_BITS
@@ -147,6 +151,8 @@ class Mixer:
     def __init__(self, inputs: int, gates: int):
         self.w = np.full((inputs, gates), 0.35, np.float32)
         self.map = np.tile(squash(np.linspace(-8, 8, self.BINS + 1)), (gates, 1)).astype(np.float32)
+        self.seen = np.zeros(gates)
+        self.n, self.ones = np.zeros(self.map.size), np.zeros(self.map.size)
         self.cost = np.zeros(0, np.float32)
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -155,8 +161,20 @@ class Mixer:
             z += v * w[gate]
         return z.clip(-8, 7.999, out=z)
 
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """(totals, counts) that may be added over partitions: weights times the bits of their gate, then the map's ones."""
+        many = np.tile(self.seen, len(self.w))
+        return np.concatenate([self.w.ravel() * many, self.ones]), np.concatenate([many, self.n])
+
+    def merge(self, total: np.ndarray, count: np.ndarray) -> None:
+        """Takes sums over all partitions; weights that no bit has moved stay."""
+        w, k = self.w.ravel(), self.w.size
+        self.w = np.where(count[:k] > 0, total[:k] / np.maximum(count[:k], 1), w).astype(np.float32).reshape(self.w.shape)
+        self.ones, self.n = total[k:], count[k:]
+
     def settle(self) -> None:
         """Tabulates log10 of the final probabilities by gate, fine log-odds and bit: the mean of the mix and its refinement by the map."""
+        self.map = ((400 * self.map + self.ones.reshape(self.map.shape)) / (400 + self.n.reshape(self.map.shape))).astype(np.float32)
         z = (np.arange(self.FINE) + 0.5) * (16 / self.FINE) - 8
         at = (z + 8) * (self.BINS / 16)
         low = at.astype(int)
@@ -169,10 +187,11 @@ class Mixer:
         fine = ((self.mixed(x, gate) + 8) * (self.FINE / 16)).astype(np.int32)
         return self.cost[(gate * self.FINE + fine) * 2 + bit]
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, block: int = 1024, rounds: int = 2):
-        """Block after block: predict, then move the weights along the error, then the map toward the bits."""
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, block: int = 1024, rounds: int = 2, first: int = 0):
+        """Block after block: predict, then move the weights along the error; the last round counts bits for the map. first: rounds before."""
         gates = self.w.shape[1]
-        for r in range(rounds):
+        self.seen += np.bincount(gate, minlength=gates)
+        for r in range(first, first + rounds):
             for a in range(0, len(bit), block):
                 xs, g, y = [v[a : a + block] for v in x], gate[a : a + block], bit[a : a + block]
                 z = self.mixed(xs, g)
@@ -181,11 +200,44 @@ class Mixer:
                 step = 0.08 / (1 + r) / np.maximum(many, 16)
                 for i, v in enumerate(xs):
                     self.w[i] += step * np.bincount(g, error * v, minlength=gates)
-                if r == rounds - 1:
+                if r == first + rounds - 1:
                     near = g * (self.BINS + 1) + np.rint((z + 8) * (self.BINS / 16)).astype(np.int64)
-                    n, ones = np.bincount(near, minlength=self.map.size), np.bincount(near, y, minlength=self.map.size)
-                    rate = (n / (n + 400.0)).reshape(self.map.shape)
-                    self.map += rate * ((ones / np.maximum(n, 1)).reshape(self.map.shape) - self.map)
+                    self.n += np.bincount(near, minlength=self.map.size)
+                    self.ones += np.bincount(near, y, minlength=self.map.size)
+
+    def adapted(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's bits; each piece moves its own copy of the weights after each BLOCK of its tokens."""
+        gates, bits = self.w.shape[1], len(bit) // len(piece)
+        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        length = np.diff(np.append(first, len(piece)))
+        place = np.arange(len(piece)) - np.repeat(first, length)
+        longest = np.argsort(-length, kind="stable")  # pieces that go on come first
+        rank = np.empty(len(length), np.int64)
+        rank[longest] = np.arange(len(length))
+        own = np.repeat(rank, length)
+        order = np.argsort(place // BLOCK, kind="stable")
+        xs = [v.reshape(-1, bits)[order] for v in x]
+        g, y, own = gate.reshape(-1, bits)[order], bit.reshape(-1, bits)[order], own[order]
+        slot = (own[:, None] * gates + g).astype(np.int32)
+        w = np.tile(self.w, (1, len(length)))
+        out = np.empty(len(piece))
+        edge = np.searchsorted((place // BLOCK)[order], np.arange(-(-length.max() // BLOCK) + 1))
+        sizes = length[longest]
+        for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            z = xs[0][a:b] * w[0][slot[a:b]]
+            for i in range(1, len(xs)):
+                z += xs[i][a:b] * w[i][slot[a:b]]
+            z = z.clip(-8, 7.999, out=z)
+            fine = ((z + 8) * (self.FINE / 16)).astype(np.int32)
+            out[order[a:b]] = self.cost[(g[a:b] * self.FINE + fine) * 2 + y[a:b]].sum(1, dtype=np.float64)
+            on = int((sizes > (k + 1) * BLOCK).sum())
+            if on:
+                keep = own[a:b] < on
+                at, error = slot[a:b][keep].ravel(), (y[a:b][keep] - squash(z[keep])).ravel()
+                step = 0.04 / np.maximum(np.bincount(at, minlength=on * gates), 16)
+                for i in range(len(xs)):
+                    w[i, : on * gates] += step * np.bincount(at, error * xs[i][a:b][keep].ravel(), minlength=on * gates)
+        return out
 
 
 def own_counts(piece: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +428,7 @@ class Model:
     def classes(self, kind: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class."""
         x, gate, bit = class_inputs(kind, piece, self.tables)
-        return self.mixer.scores(x, gate, bit).reshape(-1, CLASS_BITS).sum(1, dtype=np.float64)
+        return self.mixer.adapted(x, gate, bit, piece)
 
 
 GATES = 24
@@ -398,8 +450,66 @@ def own_words(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return seen / np.maximum(place, 1), gate
 
 
-def _fit(sample: list[bytes], counted: np.ndarray, letters: np.ndarray, words: list[tuple[bytes, int]], stats: list) -> Model:
-    """Online fits on the bounded samples; counts without the word itself stand for words not seen."""
+_SUMS = "slot int, total double, n double"
+
+
+def _rows(total: np.ndarray, n: np.ndarray):
+    import pyarrow as pa
+
+    full = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full].astype(float)), pa.array(n[full].astype(float))], names=["slot", "total", "n"])
+
+
+def _summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the partitions, of a fixed size."""
+    total, n = np.zeros(size), np.zeros(size)
+    for r in rows.groupBy("slot").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+        total[r["slot"]], n[r["slot"]] = r["total"], r["n"]
+    return total, n
+
+
+def _learned(tables: np.ndarray, w: np.ndarray, r: int):
+    """The class mixer's sums after one online pass over a partition's training texts; then how often own words had been there before, by gate."""
+
+    def run(batches):
+        mixer, powers = Mixer(*w.shape), Powers()
+        mixer.w = w.copy()
+        hits, n = np.zeros(GATES), np.zeros(GATES)
+        for batch in batches:
+            for a, b in _groups(batch):
+                h, kind, doc = with_ends(tokens(_texts(batch, a, b), powers), b - a)
+                piece = _pieces(doc)
+                for lo, hi in _runs(piece):
+                    mixer.learn(*class_inputs(kind[lo:hi], piece[lo:hi], tables), rounds=1, first=r)
+                    if r == ROUNDS - 1:
+                        own, gate = own_words(h[lo:hi], piece[lo:hi])
+                        hits += np.bincount(gate, own > 0, minlength=GATES)
+                        n += np.bincount(gate, minlength=GATES)
+        total, count = mixer.sums()
+        yield from _rows(np.append(total, hits), np.append(count, n))
+
+    return run
+
+
+def _spelled(letters: np.ndarray, w: np.ndarray, r: int):
+    """The speller's sums after one online pass over a partition's words; counts without the word itself stand for words not seen."""
+
+    def run(batches):
+        nodes = [tuple(n.ravel() for n in at_nodes(c)) for c in letters]
+        mixer = Mixer(*w.shape)
+        mixer.w = w.copy()
+        for batch in batches:
+            context, data, place, _ = letter_contexts(batch.column("word").to_pylist(), batch.column("kind").to_numpy().astype(np.int64))
+            slots, gate, bit = letter_bits(context, data, place)
+            x = [log_odds(np.maximum(n0[at] - (bit == 0), 0), np.maximum(n1[at] - (bit == 1), 0)) for (n0, n1), at in zip(nodes, slots, strict=True)]
+            mixer.learn(x, gate, bit, rounds=1, first=r)
+        yield from _rows(*mixer.sums())
+
+    return run
+
+
+def _fit(training: DataFrame, words: DataFrame, counted: np.ndarray, letters: np.ndarray, stats: list) -> Model:
+    """Online fits on all training texts and words, merged over partitions after each round."""
     tables = np.stack([log_odds(*at_nodes(c)) for c in counted])
     total, kinds = np.zeros(_K), np.zeros(_K)
     once = twice = 0
@@ -407,34 +517,18 @@ def _fit(sample: list[bytes], counted: np.ndarray, letters: np.ndarray, words: l
         total[kind], kinds[kind] = n, v
         once, twice = once + a, twice + b
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    mixer = Mixer(_TABLES + 2, CLASS_BITS * 4)
-    powers = Powers()
-    share = np.full(GATES, 0.05)
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(sample), 100):
-        part = sample[a : a + 100]
-        h, kind, doc = with_ends(tokens(part, powers), len(part))
-        piece = _pieces(doc)
-        for lo, hi in _runs(piece):
-            x, gate, bit = class_inputs(kind[lo:hi], piece[lo:hi], tables)
-            mixer.learn(x, gate, bit)
-            hits.append(own_words(h[lo:hi], piece[lo:hi]))
-    speller = Mixer(_LETTERS, 32)
-    nodes = [at_nodes(c) for c in letters]
-    if words:
-        context, data, place, _ = letter_contexts([w for w, _ in words], np.array([k for _, k in words], np.int64))
-        slots, gate, bit = letter_bits(context, data, place)
-        x = [log_odds(np.maximum(n0.ravel()[at] - (bit == 0), 0), np.maximum(n1.ravel()[at] - (bit == 1), 0)) for (n0, n1), at in zip(nodes, slots, strict=True)]
-        speller.learn(x, gate, bit)
+    mixer, speller = Mixer(_TABLES + 2, CLASS_BITS * 4), Mixer(_LETTERS, 32)
+    size = mixer.w.size + mixer.map.size
+    for r in range(ROUNDS):
+        sums, n = _summed(training.select("text").mapInArrow(_learned(tables, mixer.w, r), _SUMS), size + GATES)
+        mixer.merge(sums[:size], n[:size])
+        speller.merge(*_summed(words.select("word", "kind").mapInArrow(_spelled(letters.astype(np.int32), speller.w, r), _SUMS), speller.w.size + speller.map.size))
     mixer.settle()
     speller.settle()
-    model = Model(tables, mixer, np.stack([log_odds(*n) for n in nodes]), speller, share, total, kinds, discount)
-    if hits:
-        own, gate = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
-        # a share of the own words' expert that loses little where it is wrong: its hit rate, damped
-        rate = np.bincount(gate, own > 0, minlength=GATES) / np.maximum(np.bincount(gate, minlength=GATES), 1)
-        model.share = np.clip(0.5 * rate**2, 0.005, 0.9)
-    return model
+    # a share of the own words' expert that loses little where it is wrong: its hit rate, damped
+    rate = sums[size:] / np.maximum(n[size:], 1)
+    share = np.clip(0.5 * rate**2, 0.005, 0.9) if n[size:].any() else np.full(GATES, 0.05)
+    return Model(tables, mixer, np.stack([log_odds(*at_nodes(c)) for c in letters]), speller, share, total, kinds, discount)
 
 
 def _runs(piece: np.ndarray, most: int = 250):
@@ -540,11 +634,7 @@ def score(docs: DataFrame) -> DataFrame:
     contexts = _gathered(counted.where("slot is not null").select("slot", "n"), _TABLES, _CONTEXTS)
     discard(counted)
     letters = _gathered(known.select("word", "kind").mapInArrow(_letters, "slot int, n long"), _LETTERS, _SPELL_CONTEXTS)
-    near = lambda df, key, most, total: df.where(F.pmod(F.xxhash64(F.lit("lm"), key), F.lit(1 << 30)) < int(min(1.0, most / max(total, 1)) * (1 << 30))).orderBy(F.xxhash64(key)).limit(2 * most)
-    ends = next((r[0] for r in known.where(F.col("h") == END_HASH).select("c").collect()), 0)
-    sample = [r["text"].encode() for r in near(base.where("training").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, ends).collect()]
-    spelled = [(bytes(r["word"]), r["kind"]) for r in near(known.select("h", "word", "kind"), "h", SAMPLE_WORDS, v).collect()]
-    model = _fit(sample, contexts, letters, spelled, stats)
+    model = _fit(base.where("training"), known, contexts, letters, stats)
     used = vocabulary.mapInArrow(_looked_up(model), "h long, c long, lp double, chunks array<int>").select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     texts = base.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), "doc_id", "text")
     chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
