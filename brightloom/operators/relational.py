@@ -50,7 +50,14 @@ def sample_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select((F.abs(F.col("n") - 0.1 * F.col("all")) < 4 * F.sqrt(0.09 * F.col("all"))).alias("within"), ((F.col("n") == F.col("m")) & (F.col("h") == F.col("g"))).alias("repeatable"))
 
 
-@frame("sample_stratified", "select o_orderstatus, true as within from (select distinct o_orderstatus from orders where o_orderstatus <> 'P')", "sample.by sample.split")
+@frame("sample_split", "select o_orderkey, 1 as n from orders", "sample.split")
+def sample_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of randomSplit, put together again: each row is in one of them."""
+    a, b = load(spark, sf_dir, "orders").select("o_orderkey").randomSplit([0.7, 0.3], seed=5)
+    return a.unionAll(b).groupBy("o_orderkey").agg(F.count("*").cast("int").alias("n"))
+
+
+@frame("sample_stratified", "select o_orderstatus, true as within from (select distinct o_orderstatus from orders where o_orderstatus <> 'P')", "sample.by")
 def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sampleBy with a fraction for each status; P has none."""
     orders = load(spark, sf_dir, "orders")

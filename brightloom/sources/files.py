@@ -80,7 +80,7 @@ def io_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("bal"))
 
 
-@frame("io_schema_evolution", "select n_nationkey as k, n_name as name, null::varchar as note from nation union all select r_regionkey, null, r_name from region", "scan.schema_evolution scan.default_columns")
+@frame("io_schema_evolution", "select n_nationkey as k, n_name as name, null::varchar as note from nation union all select r_regionkey, null, r_name from region", "scan.schema_evolution")
 def io_schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).write.parquet(path)

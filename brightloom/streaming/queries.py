@@ -60,7 +60,7 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(counted.select(F.col("window.start").alias("start"), "n"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@frame("stream_watermark_append", "select day, n from (select time_bucket(interval '1 day', ts) as day, count(*) as n from events group by 1) t where day < (select time_bucket(interval '1 day', max(ts)) from events)", "streaming.watermark streaming.append streaming.late_data")
+@frame("stream_watermark_append", "select day, n from (select time_bucket(interval '1 day', ts) as day, count(*) as n from events group by 1) t where day < (select time_bucket(interval '1 day', max(ts)) from events)", "streaming.watermark streaming.append")
 def stream_watermark_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days come out once the watermark has passed them; the last one is still open."""
     counted = event_stream(spark, sf_dir).withWatermark("ts", "0 seconds").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
@@ -98,7 +98,7 @@ def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(a.join(b, F.expr("u = user_id and ts >= at and ts <= at + interval 1 hour")).select("click", "purchase"))
 
 
-@frame("stream_state", "select user_id, count(*) as n, max(value) as top from events group by user_id", "streaming.state streaming.update")
+@frame("stream_state", "select user_id, count(*) as n, max(value) as top from events group by user_id", "streaming.state")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count and a maximum for each user, kept in custom state; the last update of each user stands."""
 
