@@ -104,5 +104,28 @@ _EMBEDDING_SQL = """
     select vec_id, cast(coalesce(k, 0) as bigint) as n_links, c as component_id, vec_id = c as kept from (select d, min(c) as c from reach group by d) r join embeddings on d = vec_id left join degrees on x = vec_id"""
 
 
+def _removal_sql() -> str:
+    """Windows of both lengths by their starts, as hex digits, cut from parts of 2,000 bytes; positions that repeat make runs."""
+
+    def runs(w: int) -> str:
+        return f"""
+    p{w} as (select doc_id, part + i as pos, hash(substring(h, 2 * i + 1, {2 * w})) as k from (select doc_id, part, n, substring(hx, 2 * part + 1, {2 * (2000 + w)}) as h from texts, unnest(range(0, n, 2000)) as u(part)) q, unnest(range(0, least(2000, n - part - {w - 1}))) as v(i)),
+    r{w} as (select doc_id, pos from (select doc_id, pos, count(*) over (partition by k) as c from p{w}) where c > 1),
+    f{w} as (select doc_id, pos, case when pos <= lag(pos) over (partition by doc_id order by pos) + {w} then 0 else 1 end as fresh from r{w}),
+    i{w} as (select doc_id, min(pos) as a, max(pos) + {w} as b from (select *, sum(fresh) over (partition by doc_id order by pos) as g from f{w}) group by doc_id, g),"""
+
+    return rf"""
+    with texts as (select row_number() over () as doc_id, doc_id as id, hex(encode(coalesce(text, ''))) as hx, cast(len(hex(encode(coalesce(text, '')))) // 2 as bigint) as n from documents),
+    {runs(suffixes.LENGTH)}
+    {runs(suffixes.SHORT)}
+    removed as (select doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans from i{suffixes.LENGTH} group by doc_id),
+    cuts as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from i{suffixes.LENGTH}),
+    kept as (select t.doc_id, sha256(unhex(string_agg(substring(hx, 2 * since + 1, 2 * (a - since)), '' order by a) || substring(any_value(hx), 2 * max(b) + 1))) as sha from cuts join texts t using (doc_id) group by t.doc_id),
+    spaced as (select doc_id, b - a as m, regexp_replace(regexp_replace(substring(hx, 2 * a + 1, 2 * (b - a)), '(..)', '\1 ', 'g'), '(20|09|0A|0B|0C|0D) ', '_', 'g') as bytes from i{suffixes.SHORT} join texts using (doc_id)),
+    passages as (select doc_id, count(*) as n_passages, cast(sum(m) as bigint) as passage_bytes from spaced where len(regexp_extract_all(bytes, '[^_]+')) > {suffixes.WORDS} group by doc_id)
+    select t.id as doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(sha, sha256(unhex(hx))) as kept_sha256, coalesce(n_passages, 0) as n_passages, coalesce(passage_bytes, 0) as passage_bytes
+    from texts t left join removed using (doc_id) left join kept using (doc_id) left join passages using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op7_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _mixing_sql()}
+    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op5_suffix_array_dedup": _removal_sql(), "op7_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _mixing_sql()}

@@ -29,7 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without byte strings of 400 bytes that occur more than once; documents that consist of them go."""
+    """Without passages of over 50 words that occur more than once, and strings of 400 bytes that do; documents that consist of them go."""
     prepared(spark)
     return suffixes.cleaned(docs.select(*COLUMNS))
 

@@ -1,29 +1,36 @@
 """Removal of byte strings that occur more than once, by suffix arrays.
 
-Every byte covered by a string of LENGTH bytes that also starts elsewhere goes. Comparing all suffixes of a corpus in one
-array isn't possible, so starts are first brought together: each start of a window belongs to the window's anchor (its
-least scrambled 64-byte substring) and to the anchor's distance, in steps; equal windows have equal anchors, so they
-agree on the hash of a core that all windows of the step contain. Only cores seen twice go on, with their bytes, into blocks.
+Two rules name bytes. A string of LENGTH bytes that also starts elsewhere is a repeat. A passage is a run of bytes covered by
+strings of SHORT bytes that also start elsewhere, if it holds over WORDS words (counted in its own bytes). SHORT is below
+what 50 words take in a written language, so a repeated passage of over WORDS words is found unless its words have
+less than four letters on average. `removal` removes repeats and counts passages beside them; `cleaned` removes both.
+
+Comparing all suffixes of a corpus in one array isn't possible, so starts are first brought together: each start of a
+window of SHORT bytes belongs to the window's anchor (its least scrambled 64-byte substring) and to the anchor's
+distance, in steps; equal windows have equal anchors, so they agree on the hash of a core that all windows of the step
+contain. Only cores seen twice go on, with their bytes, into blocks.
 
 A block is sorted in two stages: suffixes smaller than their successors are sorted directly; all others are induced by
-scanning the buckets of first bytes in order. Neighbours that share LENGTH bytes are repeats. A core with very many
-occurrences is dealt over several blocks; windows single in their block then meet by hash.
+scanning the buckets of first bytes in order. Neighbours whose common prefix has SHORT bytes are parts of passages, and of
+those with LENGTH bytes left, neighbours that share all of them are repeats. A core with very many occurrences is dealt
+over several blocks; windows single in their block then meet by hash.
 
-Defined results: a null or empty text has no bytes and nothing to remove; a text shorter than LENGTH keeps all; equal texts
-of at least LENGTH bytes lose everything; rows with the same doc_id are separate documents. Other columns are dropped.
+Defined results: a null or empty text has no bytes and nothing to remove; a text shorter than SHORT keeps all; equal texts
+of at least LENGTH bytes, or over WORDS words, are repeated whole; rows with the same doc_id, or none, are separate
+documents. `removal` drops other columns; `cleaned` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, saved, utf8
+from .common import _SPACE, discard, mixed, saved, utf8
 
 LENGTH = 400
+#: A passage has more than so many words; the windows by which it is found have so many bytes.
+WORDS, SHORT = 50, 256
 GRAM = 64
 STEP = 128
 #: Starts that are scanned at once; positions in it take 20 bits.
@@ -145,8 +152,13 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return full[keep[full]]
 
 
+def words_in(text: np.ndarray) -> int:
+    """Maximal runs of bytes that aren't white space."""
+    return int(np.count_nonzero(np.diff(_SPACE[text].astype(np.int8), prepend=1) == -1)) if len(text) else 0
+
+
 def shared_prefix(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
-    """Does each suffix of a suffix array share `depth` bytes with the one before it?"""
+    """Does the common prefix of each suffix of a suffix array and the one before it reach `depth` bytes?"""
     rows = np.ndarray((max(len(text) - depth + 1, 0),), f"S{depth}", text, strides=(1,))
     same = np.zeros(len(array), bool)
     for a in range(1, len(array), 50_000):
@@ -165,8 +177,9 @@ def _scan(length: int):
             found = [scanner.runs(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
             cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3)]
+            words = pa.array([words_in(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)], pa.int64())
             runs = pa.StructArray.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["key", "s", "m"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["doc_id", "k1", "k2", "n", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), batch.column("n"), words, pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["doc_id", "k1", "k2", "n", "words", "runs"])
 
     return run
 
@@ -203,7 +216,7 @@ def _pieces(batches, rows: int = 500):
 
 
 def _cut(length: int):
-    """Slices of the wanted runs of each text: as many bytes as their windows cover."""
+    """Slices of the wanted runs of each text: as many bytes as windows of `length` cover, as far as the text goes."""
 
     def run(batches):
         import pyarrow as pa
@@ -237,62 +250,68 @@ def _slices(pa, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _SLICE.split(", ")])
 
 
-_FOUND = "kind int, h1 long, h2 long, k1 long, k2 long, s int, m int"
+_FOUND = "kind int, w int, h1 long, h2 long, k1 long, k2 long, s int, m int"
+
 
+def _blocks(length: int, short: int):
+    """Suffix arrays over blocks of whole groups (key, salt), for windows of w bytes: `short` and `length`.
 
-def _blocks(length: int):
-    """Suffix arrays over blocks of whole groups (key, salt). kind 0: repeated starts; 1: a single start, and 2: a repeat, of a group dealt over several blocks."""
+    kind 0: repeated starts; 1: a single start, and 2: a repeat, of a group dealt over several blocks.
+    """
 
     def sort(rows):
         import pyarrow as pa
         import xxhash
 
-        text = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
+        raw = b"".join(r[7] for r in rows)
+        text = np.frombuffer(raw, np.uint8)
         at = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
         many = np.array([r[6] for r in rows])
+        dealt = np.array([r[2] > 1 for r in rows])
         owner = np.repeat(np.arange(len(rows)), many)
         shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         starts = at[owner] + shift
         wanted = np.zeros(len(text), bool)
         wanted[starts] = True
+        slot = np.full(len(text), -1)
+        slot[starts] = np.arange(len(starts))
+        ends = at[1:][owner]
         array = two_stage(text, wanted, length)
-        same = shared_prefix(text, array, length)
-        twice = same | np.concatenate([same[1:], [False]])
-        repeated = np.zeros(len(text), bool)
-        repeated[array[twice]] = True
-        hit = repeated[starts]
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(8)]
 
         def add(*values):
             for col, v in zip(out, values, strict=True):
                 col.append(v)
 
-        on = np.flatnonzero(hit)
-        if len(on):
-            fresh = np.concatenate([[True], (np.diff(on) != 1) | (np.diff(owner[on]) != 0)])
-            a = on[fresh]
-            length_of = np.diff(np.flatnonzero(fresh), append=len(on))
-            for i, m in zip(a.tolist(), length_of.tolist(), strict=True):
-                r = rows[owner[i]]
-                add(0, 0, 0, r[3], r[4], int(r[5] + shift[i]), m)
-        if any(r[2] > 1 for r in rows):
-            raw = text.tobytes()
-            dealt = np.array([r[2] > 1 for r in rows])
-            signed = lambda x: x - 2**64 if x >= 2**63 else x
-
-            def hashes(p):
-                h = xxhash.xxh3_128_intdigest(raw[p : p + length])
-                return signed(h >> 64), signed(h & (2**64 - 1))
-
-            for i in np.flatnonzero(dealt[owner] & ~hit).tolist():
-                r = rows[owner[i]]
-                add(1, *hashes(starts[i]), r[3], r[4], int(r[5] + shift[i]), 1)
-            slot = np.full(len(text), -1)
-            slot[starts] = np.arange(len(starts))
-            heads = array[twice & ~same]
-            for p in heads[dealt[owner[slot[heads]]]].tolist():
-                add(2, *hashes(p), 0, 0, 0, 0)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+
+        def hashes(p, w):
+            h = xxhash.xxh3_128_intdigest(raw[p : p + w])
+            return signed(h >> 64), signed(h & (2**64 - 1))
+
+        for w in sorted({short, length}):
+            fits = ends - starts >= w
+            mine = array[fits[slot[array]]]
+            same = shared_prefix(text, mine, w)
+            twice = same | np.concatenate([same[1:], [False]]) if len(same) else same
+            repeated = np.zeros(len(text), bool)
+            repeated[mine[twice]] = True
+            hit = repeated[starts]
+            on = np.flatnonzero(hit)
+            if len(on):
+                fresh = np.concatenate([[True], (np.diff(on) != 1) | (np.diff(owner[on]) != 0)])
+                length_of = np.diff(np.flatnonzero(fresh), append=len(on))
+                for i, m in zip(on[fresh].tolist(), length_of.tolist(), strict=True):
+                    r = rows[owner[i]]
+                    add(0, w, 0, 0, r[3], r[4], int(r[5] + shift[i]), m)
+            if dealt.any():
+                for i in np.flatnonzero(dealt[owner] & fits & ~hit).tolist():
+                    r = rows[owner[i]]
+                    add(1, w, *hashes(starts[i], w), r[3], r[4], int(r[5] + shift[i]), 1)
+                heads = mine[twice & ~same]
+                for p in heads[dealt[owner[slot[heads]]]].tolist():
+                    add(2, w, *hashes(p, w), 0, 0, 0, 0)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches):
@@ -316,13 +335,13 @@ def keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), F.octet_length(text).cast("long").alias("n"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(texts that occur in several rows, with k1, k2, n; repeated windows of others: k1, k2, rep, spans array<struct<s, m>> of starts)."""
+def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """(texts that occur in several rows, with k1, k2, n, words; repeated windows of others: k1, k2, rep, spans array<struct<s, m, w>> of starts)."""
     named = keys(docs)
-    raw = saved(named.mapInArrow(_scan(length), "doc_id long, k1 long, k2 long, n long, runs array<struct<key: long, s: int, m: int>>"), "runs")
-    texts = saved(raw.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "texts")
+    raw = saved(named.mapInArrow(_scan(short), "doc_id long, k1 long, k2 long, n long, words long, runs array<struct<key: long, s: int, m: int>>"), "runs")
+    texts = saved(raw.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("words").alias("words"), F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "texts")
     discard(raw)
-    whole = texts.where(F.col("c") > 1).select("k1", "k2", "n")
+    whole = texts.where(F.col("c") > 1).select("k1", "k2", "n", "words")
     runs = texts.select("k1", "k2", F.inline("runs")).select("key", "k1", "k2", "s", "m")
     lists = runs.repartitionByRange("key", "k1").sortWithinPartitions("key", "k1", "s")
     seen = saved(lists.mapInArrow(_twice, "key long, k1 long, k2 long, s int, m int"), "seen")
@@ -333,14 +352,14 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     source = _of(named, wants.select("k1", "k2", "rep")).join(wants, ["k1", "k2"]).select("text", "k1", "k2", "runs")
     slices = source.mapInArrow(_cut(length), _SLICE)
     blocks = slices.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    found = saved(blocks.mapInArrow(_blocks(length), _FOUND), "found")
+    found = saved(blocks.mapInArrow(_blocks(length, short), _FOUND), "found")
     loose = found.where("kind > 0")
-    met = saved(loose.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "met")
-    more = found.where("kind = 1").join(met, ["h1", "h2"]).select("k1", "k2", "s", "m")
-    starts = found.where("kind = 0").select("k1", "k2", "s", "m").unionAll(more)
-    spans = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "m")).alias("spans"))
+    met = saved(loose.groupBy("h1", "h2", "w").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2", "w"), "met")
+    more = found.where("kind = 1").join(met, ["h1", "h2", "w"]).select("k1", "k2", "s", "m", "w")
+    starts = found.where("kind = 0").select("k1", "k2", "s", "m", "w").unionAll(more)
+    spans = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "m", "w")).alias("spans"))
     spans = spans.join(wants.select("k1", "k2", "rep"), ["k1", "k2"]).join(whole.select("k1", "k2"), ["k1", "k2"], "left_anti")
-    return whole.where(F.col("n") >= length), saved(spans, "spans")
+    return whole, saved(spans, "spans")
 
 
 def _of(named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -351,71 +370,92 @@ def _of(named: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(F.broadcast(right) if few else right, on, "left_semi")
 
 
-def covered(n: int, spans: list, length: int) -> np.ndarray:
-    """Which of n bytes lie in a window of `length` bytes with one of the starts."""
+def covered(n: int, spans: list, w: int) -> np.ndarray:
+    """Which of n bytes lie in a window of w bytes with one of the starts."""
     change = np.zeros(n + 1, np.int64)
     for r in spans:
-        change[r["s"]] += 1
-        change[min(n, r["s"] + r["m"] - 1 + length)] -= 1
+        if r["w"] == w:
+            change[r["s"]] += 1
+            change[min(n, r["s"] + r["m"] - 1 + w)] -= 1
     return np.cumsum(change[:n]) > 0
 
 
-def _left(length: int, as_text: bool):
-    """k1, k2, n_removed, n_spans, kept bytes (or text without characters cut in two) of each text with repeats."""
+def passages(text: np.ndarray, gone: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """The maximal runs of marked bytes that hold more than so many words."""
+    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+    return [(a, b) for a, b in edge if words_in(text[a:b]) > words]
+
+
+_LEFT = "k1 long, k2 long, n_removed long, n_spans long, n_passages long, passage_bytes long, kept "
+
+
+def _left(length: int, short: int, words: int, both: bool):
+    """What each text with repeats loses, and its kept bytes; if `both`, passages go as well, and characters cut in two."""
 
     def run(batches):
         import pyarrow as pa
 
+        names = [x.split()[0] for x in _LEFT.split(", ")]
         for batch in _pieces(batches):
             data, at = utf8(batch.column("text"))
-            removed, runs, kept = [], [], []
+            cols: list[list] = [[] for _ in names[2:]]
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 text = data[at[i] : at[i + 1]]
                 gone = covered(len(text), spans, length)
-                removed.append(int(gone.sum()))
-                runs.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
+                found = passages(text, covered(len(text), spans, short), words)
+                if both:
+                    gone = gone.copy()
+                    for a, b in found:
+                        gone[a:b] = True
                 rest = text[~gone].tobytes()
-                kept.append(rest.decode(errors="ignore") if as_text else rest)
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=["k1", "k2", "n_removed", "n_spans", "kept"])
+                runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                values = (int(gone.sum()), runs, len(found), sum(b - a for a, b in found), rest.decode(errors="ignore") if both else rest)
+                for col, v in zip(cols, values, strict=True):
+                    col.append(v)
+            kinds = [pa.int64()] * 4 + [pa.string() if both else pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
     return run
 
 
-def changed(docs: DataFrame, length: int, as_text: bool) -> tuple[DataFrame, DataFrame]:
-    """(texts that lose everything: k1, k2, n; texts that lose a part: k1, k2, n_removed, n_spans, kept)."""
-    whole, spans = repeats(docs, length)
+def changed(docs: DataFrame, length: int, short: int, words: int, both: bool) -> tuple[DataFrame, DataFrame]:
+    """(texts that are repeated whole: k1, k2, n, words; texts that are in part: see _LEFT)."""
+    whole, spans = repeats(docs, length, short)
     named = keys(docs)
     part = _of(named, spans.select("k1", "k2", "rep")).join(spans, ["k1", "k2"]).select("text", "k1", "k2", "spans")
-    kind = "string" if as_text else "binary"
-    left = part.mapInArrow(_left(length, as_text), f"k1 long, k2 long, n_removed long, n_spans long, kept {kind}").dropDuplicates(["k1", "k2"])
+    left = part.mapInArrow(_left(length, short, words, both), _LEFT + ("string" if both else "binary")).dropDuplicates(["k1", "k2"])
     return whole, left
 
 
-def removal(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
-    whole, left = changed(docs, length, as_text=False)
-    part = left.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
-    full = whole.select("k1", "k2", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"))
+def removal(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes for each document."""
+    whole, left = changed(docs, length, short, words, both=False)
+    part = left.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"), "n_passages", "passage_bytes")
+    all_of = F.col("n") >= length
+    told = (F.col("n") >= short) & (F.col("words") > words)
+    one = lambda c, v: F.when(c, v).otherwise(F.lit(0)).cast("long")
+    full = whole.where(all_of | told).select(
+        "k1", "k2", one(all_of, F.col("n")).alias("n_removed"), one(all_of, F.lit(1)).alias("n_spans"), F.when(all_of, F.sha2(F.lit(""), 256)).alias("sha"), one(told, F.lit(1)).alias("n_passages"), one(told, F.col("n")).alias("passage_bytes")
+    )
     results = saved(part.unionAll(full), "results")
     rows = keys(docs).select("doc_id", "n", "k1", "k2", F.sha2("text", 256).alias("own"))
-    zero = F.lit(0).cast("long")
-    return rows.join(results, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256")
-    )
+    counted = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passages", "passage_bytes")]
+    return rows.join(results, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_bytes"), *counted[:2], F.coalesce("sha", "own").alias("kept_sha256"), *counted[2:])
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated bytes removed from text; characters cut in two go as well, and so do documents of which nothing is left.
+def cleaned(docs: DataFrame, length: int = LENGTH, short: int = SHORT, words: int = WORDS) -> DataFrame:
+    """docs with repeats and passages removed from text; characters cut in two go as well, and so do documents of which only white space is left.
 
     The columns are kept; n_chars, where it exists, is counted anew for texts that changed.
     """
-    whole, left = changed(docs, length, as_text=True)
-    new = left.select("k1", "k2", F.col("kept").alias("_new"))
-    all_new = saved(new.unionAll(whole.select("k1", "k2", F.lit("").alias("_new"))), "new-texts")
+    whole, left = changed(docs, length, short, words, both=True)
+    new = left.where("n_removed > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_new"))
+    gone = whole.where((F.col("n") >= length) | (F.col("n") >= short) & (F.col("words") > words)).select("k1", "k2", F.lit(""))
+    all_new = saved(new.unionAll(gone), "new-texts")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)})
-    out = rows.join(all_new, ["k1", "k2"], "left")
+    rows = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("second"), text)})
+    out = rows.join(all_new, ["_k1", "_k2"], "left")
     put = {"text": F.coalesce("_new", "text")}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return out.where("_new is null or _new != ''").withColumns(put).select(*docs.columns)
+    return out.where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]")).withColumns(put).select(*docs.columns)

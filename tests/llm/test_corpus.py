@@ -104,39 +104,88 @@ def test_components_of_chains_and_stars(spark):
 # 5 ----------------------------------------------------------------------------------------------------------------
 
 
-def removed(texts, length):
-    data = [(t or "").encode() for t in texts]
+def marked(data, length):
+    """Which bytes lie in a string of `length` bytes that also starts elsewhere."""
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
-    out = []
     for d in data:
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\x01" * length
+        yield gone
+
+
+def removed(texts, length=400, short=256, over=50):
+    """(n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes, text without repeats and passages)."""
+    data = [(t or "").encode() for t in texts]
+    out = []
+    for d, gone, part in zip(data, marked(data, length), marked(data, short), strict=True):
         kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
-        out.append((len(d), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        runs = [m.span() for m in re.finditer(rb"\x01+", bytes(part)) if len(re.findall(rb"[^\x20\x09-\x0D]+", d[m.start() : m.end()])) > over]
+        both = bytearray(gone)
+        for x, y in runs:
+            both[x:y] = b"\x01" * (y - x)
+        rest = bytes(x for x, g in zip(d, both, strict=True) if not g).decode(errors="ignore")
+        out.append((len(d), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest(), len(runs), sum(y - x for x, y in runs), rest))
     return out
 
 
 def test_suffix_removal(docs, rows):
-    want = dict(zip([r[0] for r in rows], removed([r[1] for r in rows], 400), strict=True))
+    want = {r[0]: w[:6] for r, w in zip(rows, removed([r[1] for r in rows]), strict=True)}
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.removal(docs).collect()}
     assert got == want
     assert sum(w[1] for w in want.values()) > 2000
+    assert sum(w[4] > 0 and w[1] == 0 for w in want.values()) >= 1
 
 
 def test_suffix_removal_with_hot_cores(docs, rows, monkeypatch):
     """Cores dealt over several blocks meet by hash."""
     monkeypatch.setattr(suffixes, "SHARE", 2)
-    want = dict(zip([r[0] for r in rows], removed([r[1] for r in rows], 400), strict=True))
+    want = {r[0]: w[:6] for r, w in zip(rows, removed([r[1] for r in rows]), strict=True)}
     assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.removal(docs).collect()} == want
 
 
-def test_suffix_edges(docs, none):
+def test_planted_passages(spark):
+    """Passages of 51 to 80 words that documents share go, whatever their bytes; all else stays as it is."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (51, 52, 55, 60, 70, 80)]
+    shorter = prose(30)
+    plain = [prose(r.randint(20, 300)) for _ in range(40)]
+    texts = plain + [f"{prose(60)} {p} {prose(60)}" for p in passages for _ in range(3)] + [f"{prose(60)} {shorter} {prose(60)}" for _ in range(4)]
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x for x in suffixes.cleaned(table).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        planted = [p for p in passages if p in t]
+        if planted:
+            assert planted[0][5:-5] not in got[i]["text"] and 700 < got[i]["n_chars"] == len(got[i]["text"]) < len(t) - 250
+        else:
+            assert got[i]["text"] == t
+    assert [x["doc_id"] for x in suffixes.removal(table).where("n_passages > 0").orderBy("doc_id").collect()] == list(range(40, 58))
+
+
+def test_suffix_edges(docs, rows, none):
     assert suffixes.removal(none).count() == 0
-    left = suffixes.cleaned(docs.withColumn("k1", F.lit(1)))
-    assert left.columns == [*docs.columns, "k1"]
-    assert left.where("text = ''").count() <= docs.where("text = ''").count()
+    assert suffixes.cleaned(none).count() == 0
+    left = suffixes.cleaned(docs.withColumns({"k1": F.lit(7), "k2": F.col("doc_id"), "n": F.lit("x")}))
+    assert left.columns == [*docs.columns, "k1", "k2", "n"]
+    want = {}
+    for r, w in zip(rows, removed([r[1] for r in rows]), strict=True):
+        if w[6] == (r[1] or "") or re.search(r"[^\x20\x09-\x0D]", w[6]):
+            want[r[0]] = r[1] if w[6] == (r[1] or "") else w[6]
+    got = {x["doc_id"]: x for x in left.collect()}
+    assert {i: x["text"] for i, x in got.items()} == want
+    assert all(x["k1"] == 7 and x["k2"] == i and x["n"] == "x" for i, x in got.items())
+
+
+def test_suffix_null_and_shared_ids(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    table = spark.createDataFrame([(None, "a " + text), (None, "b " + text), (4, "c " + text), (4, "short")], "doc_id long, text string")
+    got = sorted((tuple(x) for x in suffixes.removal(table).collect()), key=lambda x: x[1])
+    assert [(x[0], x[1], x[2], x[3]) for x in got][:1] == [(4, 5, 0, 0)]
+    assert all(x[2] == len(text) + 1 and x[3] == 1 and x[5] == 1 for x in got[1:])
 
 
 @pytest.mark.parametrize("trial", range(40))
