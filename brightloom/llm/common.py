@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,35 +18,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where it may be unset, a new local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("brightloom.scratch.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="brightloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("brightloom.scratch.dir", found)
     return found.rstrip("/")
 
 
-#: What this process has written; it goes when the process ends in order.
-_written: list[tuple[SparkSession, str]] = []
+#: The databases that this process has made for its intermediates; they go when the process ends in order.
+_databases: dict[str, SparkSession] = {}
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, name in _written:
+    for name, spark in _databases.items():
         with contextlib.suppress(Exception):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            spark.sql(f"drop database if exists {name} cascade")
+
+
+def _database(spark: SparkSession) -> str:
+    """The database of this application's intermediates, in the shared folder."""
+    name = "brightloom_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    if name not in _databases:
+        spark.sql(f"create database if not exists {name} location '{shared_dir(spark)}/{name}'")
+        _databases[name] = spark
+    return name
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df once as a table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+    name = f"{_database(spark)}.{what.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._saved_as = name
     return out
 
 
@@ -55,10 +65,9 @@ def files_for(rows: int, each: int = 200_000) -> int:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes written intermediates that no later plan reads."""
+    """Drops written intermediates that no later plan reads."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        df.sparkSession.sql(f"drop table if exists {df._saved_as}")
 
 
 def checked(df: DataFrame, rows: int) -> DataFrame:
@@ -66,15 +75,19 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-#: Rows of one Arrow batch; texts are long, and executors hold several batches at once.
-BATCH_ROWS = 1_000
+#: Rows and bytes of one Arrow batch; texts are long, and executors hold several batches at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of the session, so that memory depends on BATCH_ROWS and the longest texts only."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES, so that memory depends on these and the longest text.
+
+    A bound written with a unit, as by hand, stays.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = spark.conf.get(name).removesuffix("b")
+        if found.lstrip("-").isdigit() and not 0 < int(found) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 
