@@ -49,11 +49,15 @@ def _database(spark: SparkSession) -> str:
     return name
 
 
+#: Row groups of intermediates; a writer holds one in memory.
+GROUP_BYTES = 16 << 20
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     name = f"{_database(spark)}.{what.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.format("parquet").saveAsTable(name)
+    df.write.format("parquet").option("parquet.block.size", GROUP_BYTES).saveAsTable(name)
     out = spark.table(name)
     out._saved_as = name
     return out
