@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, discard, mixed, saved, utf8
+from .common import _SPACE, mixed, saved, utf8
 
 LENGTH = 400
 #: A passage has more than so many words; the windows by which it is found have so many bytes.
@@ -93,9 +93,9 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     t = np.concatenate([text, np.array([0, 255], np.uint8), np.zeros(depth + 8, np.uint8)])
     m = n + 1  # position n is of type S, so each chain of successors ends in one
-    there = np.flatnonzero(t[:m] != t[1 : m + 1])
-    nxt = there[np.searchsorted(there, np.arange(m))]
-    small = t[nxt] < t[nxt + 1]
+    differs = t[:m] != t[1 : m + 1]
+    nxt = np.minimum.accumulate(np.where(differs, np.arange(m, dtype=np.int32), np.int32(m))[::-1])[::-1]
+    small = (t[:m] < t[1 : m + 1])[nxt]
     # a wanted suffix needs its successors up to the next of type S
     s_at = np.flatnonzero(small)
     want = np.flatnonzero(wanted)
@@ -159,11 +159,19 @@ def words_in(text: np.ndarray) -> int:
 
 def shared_prefix(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
     """Does the common prefix of each suffix of a suffix array and the one before it reach `depth` bytes?"""
-    rows = np.ndarray((max(len(text) - depth + 1, 0),), f"S{depth}", text, strides=(1,))
     same = np.zeros(len(array), bool)
-    for a in range(1, len(array), 50_000):
-        b = min(a + 50_000, len(array))
-        same[a:b] = rows[array[a:b]] == rows[array[a - 1 : b - 1]]
+    if len(array) < 2:
+        return same
+    first, second = array[:-1], array[1:]
+    if depth >= 8:  # most pairs differ in their last bytes
+        word = np.ndarray((len(text) - 7,), np.uint64, text, strides=(1,))
+        pairs = np.flatnonzero(word[first + (depth - 8)] == word[second + (depth - 8)])
+    else:
+        pairs = np.arange(len(first))
+    rows = np.ndarray((len(text) - depth + 1,), f"S{depth}", text, strides=(1,))
+    for a in range(0, len(pairs), 20_000):
+        some = pairs[a : a + 20_000]
+        same[some + 1] = rows[first[some]] == rows[second[some]]
     return same
 
 
@@ -277,54 +285,50 @@ def _blocks(length: int, short: int):
         slot[starts] = np.arange(len(starts))
         ends = at[1:][owner]
         array = two_stage(text, wanted, length)
-        out = [[] for _ in range(8)]
-
-        def add(*values):
-            for col, v in zip(out, values, strict=True):
-                col.append(v)
+        col = {j: np.array([r[j] for r in rows]) for j in (3, 4, 5)}
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = [x.split()[0] for x in _FOUND.split(", ")]
 
-        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        def found(kind, w, which, many, hashed=None):
+            """Rows for the starts with these numbers."""
+            n, own = len(which), owner[which]
+            zero = np.zeros(n, np.int64)
+            h = np.frombuffer(b"".join(hashed), np.int64).reshape(n, 2) if hashed else np.stack([zero, zero], 1)
+            there = (zero, zero, zero) if kind == 2 else (col[3][own], col[4][own], col[5][own] + shift[which])
+            values = (np.full(n, kind), np.full(n, w), h[:, 0], h[:, 1], *there, many)
+            return pa.RecordBatch.from_arrays([pa.array(v.astype(k.to_pandas_dtype())) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        def hashes(p, w):
-            h = xxhash.xxh3_128_intdigest(raw[p : p + w])
-            return signed(h >> 64), signed(h & (2**64 - 1))
+        def hashes(where, w):
+            return [xxhash.xxh3_128_digest(raw[p : p + w]) for p in where.tolist()]
 
         for w in sorted({short, length}):
             fits = ends - starts >= w
             mine = array[fits[slot[array]]]
             same = shared_prefix(text, mine, w)
-            twice = same | np.concatenate([same[1:], [False]]) if len(same) else same
-            repeated = np.zeros(len(text), bool)
-            repeated[mine[twice]] = True
-            hit = repeated[starts]
+            twice = same | np.append(same[1:], False)
+            hit = np.zeros(len(starts), bool)
+            hit[slot[mine[twice]]] = True
             on = np.flatnonzero(hit)
-            if len(on):
-                fresh = np.concatenate([[True], (np.diff(on) != 1) | (np.diff(owner[on]) != 0)])
-                length_of = np.diff(np.flatnonzero(fresh), append=len(on))
-                for i, m in zip(on[fresh].tolist(), length_of.tolist(), strict=True):
-                    r = rows[owner[i]]
-                    add(0, w, 0, 0, r[3], r[4], int(r[5] + shift[i]), m)
+            fresh = np.flatnonzero(np.concatenate([[True], (np.diff(on) != 1) | (np.diff(owner[on]) != 0)])[: len(on)])
+            yield found(0, w, on[fresh], np.diff(fresh, append=len(on)))
             if dealt.any():
-                for i in np.flatnonzero(dealt[owner] & fits & ~hit).tolist():
-                    r = rows[owner[i]]
-                    add(1, w, *hashes(starts[i], w), r[3], r[4], int(r[5] + shift[i]), 1)
-                heads = mine[twice & ~same]
-                for p in heads[dealt[owner[slot[heads]]]].tolist():
-                    add(2, w, *hashes(p, w), 0, 0, 0, 0)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+                single = np.flatnonzero(dealt[owner] & fits & ~hit)
+                head = slot[mine[twice & ~same]]
+                head = head[dealt[owner[head]]]
+                yield found(1, w, single, np.ones(len(single)), hashes(starts[single], w))
+                yield found(2, w, head, np.zeros(len(head)), hashes(starts[head], w))
 
     def run(batches):
         rows, size = [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > BLOCK and r[:2] != rows[-1][:2]:
-                    yield sort(rows)
+                    yield from sort(rows)
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r[7])
         if rows:
-            yield sort(rows)
+            yield from sort(rows)
 
     return run
 
@@ -338,9 +342,8 @@ def keys(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
     """(texts that occur in several rows, with k1, k2, n, words; repeated windows of others: k1, k2, rep, spans array<struct<s, m, w>> of starts)."""
     named = keys(docs)
-    raw = saved(named.mapInArrow(_scan(short), "doc_id long, k1 long, k2 long, n long, words long, runs array<struct<key: long, s: int, m: int>>"), "runs")
+    raw = named.mapInArrow(_scan(short), "doc_id long, k1 long, k2 long, n long, words long, runs array<struct<key: long, s: int, m: int>>")
     texts = saved(raw.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("words").alias("words"), F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "texts")
-    discard(raw)
     whole = texts.where(F.col("c") > 1).select("k1", "k2", "n", "words")
     runs = texts.select("k1", "k2", F.inline("runs")).select("key", "k1", "k2", "s", "m")
     lists = runs.repartitionByRange("key", "k1").sortWithinPartitions("key", "k1", "s")
