@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import htmltext, jaccard, langid, lmscore, media, mixing, pieces, rptrees, suffixes, urls
-from .common import table
+from .common import saved, table
 
 #: A public vocabulary; it stays where it is installed.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,7 +29,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"))
+    images = saved(media.stored(table(spark, sf_dir, "documents")), "media")
+    return media.described(images).withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

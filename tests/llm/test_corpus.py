@@ -251,8 +251,22 @@ def test_language(spark, none):
 # 4 ----------------------------------------------------------------------------------------------------------------
 
 
+def plain_unfilter(kinds, rows):
+    """The filters of the PNG specification, sample by sample."""
+    out = [[0] * (len(rows[0]) + 1)]
+    for kind, row in zip(kinds, rows, strict=True):
+        line = [0]
+        for c, v in enumerate(row, 1):
+            a, b, d = line[c - 1], out[-1][c], out[-1][c - 1]
+            p = a + b - d
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+            line.append((v + [0, a, b, (a + b) // 2, paeth][kind]) % 256)
+        out.append(line)
+    return [line[1:] for line in out[1:]]
+
+
 def test_png_round_trip_of_all_filters():
-    for kinds in [(0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)]:
+    for kinds in [(), (0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)]:
         data = media.padded(bytes(R.randrange(256) for _ in range(R.choice([1, 64, 1000]))))
         png = media.encode_png(data, kinds=kinds)
         assert media.decode_png(png).tobytes() == data
@@ -260,19 +274,48 @@ def test_png_round_trip_of_all_filters():
         media.decode_png(png[:40] + bytes([png[40] ^ 1]) + png[41:])
     with pytest.raises(ValueError, match="signature"):
         media.decode_png(b"GIF89a")
+    with pytest.raises(ValueError, match="ends inside"):
+        media.decode_png(png[:15])
+
+
+@pytest.mark.parametrize("trial", range(10))
+def test_unfiltering_against_plain_form(trial):
+    r = np.random.default_rng(trial)
+    shapes = [(int(r.integers(1, 40)), int(r.choice([1, 7, 64]))) for _ in range(6)]
+    images = [(r.integers(0, 5, h).astype(np.uint8), r.integers(0, 256, (h, w)).astype(np.uint8)) for h, w in shapes]
+    for (kinds, rows), got in zip(images, media.unfiltered(images), strict=True):
+        assert got.tolist() == plain_unfilter(kinds.tolist(), rows.tolist())
+
+
+def test_filters_are_chosen_by_least_sum(monkeypatch):
+    text = media.padded(words(3000).encode())
+    kinds, rows = media.inflated(media.encode_png(text))
+    assert len(set(kinds.tolist())) >= 2
+    for forced in range(5):
+        _, other = media.inflated(media.encode_png(text, kinds=(forced,)))
+        size = lambda x: np.abs(x.view(np.int8).astype(int)).sum(1)
+        assert (size(np.ascontiguousarray(rows)) <= size(np.ascontiguousarray(other))).all()
+    monkeypatch.setattr(media, "TOGETHER", 500)
+    assert media.decode_png(media.encode_png(text)).tobytes() == text
 
 
 def test_media(docs, rows, none):
-    got = {r["doc_id"]: r for r in media.media_columns(docs).collect()}
+    images = media.stored(docs.withColumns({"media": F.lit(1), "hash": F.lit(1)}))
+    assert dict(images.dtypes)["media"] == "binary"
+    got = {r["doc_id"]: r for r in media.described(images).collect()}
     for i, t, *_ in rows:
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert len(r["hash"]) == 8
     same = {}
     for i, t, *_ in rows:
-        assert same.setdefault(t or "", got[i]["feature"]) == got[i]["feature"]
-    assert media.media_columns(none).count() == 0
+        assert same.setdefault(t or "", got[i]["hash"]) == got[i]["hash"]
+    assert media.described(media.stored(none)).count() == 0
+    twice = media.described(media.stored(docs.unionAll(docs)))
+    assert twice.count() == 2 * len(rows) and twice.distinct().count() == len(rows)
+    assert [tuple(r)[2:] for r in media.described(images.limit(1).withColumn("media", F.lit(None).cast("binary"))).collect()] == [(None,) * 6]
 
 
 # 10 ---------------------------------------------------------------------------------------------------------------
