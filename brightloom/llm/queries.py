@@ -71,7 +71,7 @@ def _mixing_sql() -> str:
     """
     steps = "".join(step.format(k=k, j=k) .replace(f"from c{k}),", f"from {'b' if k == 0 else f'f{k - 1}'}),", 1) for k in range(mixing.CORRECTIONS))
     return rf"""
-    with sizes as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as ord from documents),
+    with sizes as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')) as ord from documents),
     sums as (select source, cast(sum(size) as bigint) as source_size, count(*) as n from sizes group by source),
     weighed as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1.0::double as weight, 3.0::double * source_size as cap from sums),
     levels as (select (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source rows between current row and unbounded following) as level from weighed),

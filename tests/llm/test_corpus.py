@@ -228,6 +228,53 @@ def test_mixing(docs, rows, none):
         taken[source[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 0.25 * target[s] + 300 for s in by), (taken, target, by)
     assert mixing.mix(none).count() == 0
+
+
+@pytest.mark.parametrize("trial", range(2))
+def test_balancing_sources_and_values(spark, trial):
+    """Newton's duals against proportional fitting, which has the same solution where no rate is cut."""
+    r = random.Random(trial)
+    rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 60))), r.choice(["en", "en", "de", None]), r.choice("aabcd")) for i in range(600)]
+    cell = Counter()
+    for _, t, v, s in rows:
+        cell[s, v] += len(t.split())
+    total, sources, values = sum(cell.values()), sorted({s for s, _ in cell}), [None, "de", "en"]
+    target = {s: x for s, x in zip(sources, (0.9, 1.1, 1.2, 1.0), strict=True)}
+    of = {s: sum(w for (x, _), w in cell.items() if x == s) for s in sources}
+    scale = total / sum(target[s] * of[s] for s in sources)
+    target = {s: target[s] * of[s] * scale for s in sources}
+    share = {"en": 0.5, "de": 0.3, None: 0.2}
+    rate = dict.fromkeys(cell, 1.0)
+    for _ in range(2000):
+        for s in sources:
+            f = target[s] / sum(rate[c] * w for c, w in cell.items() if c[0] == s)
+            rate |= {c: x * f for c, x in rate.items() if c[0] == s}
+        for v in values:
+            f = share[v] * total / sum(rate[c] * w for c, w in cell.items() if c[1] == v)
+            rate |= {c: x * f for c, x in rate.items() if c[1] == v}
+    assert max(rate.values()) < mixing.MOST
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sizes = mixing.sized(docs, "lang")
+    table = spark.createDataFrame([(s, of[s], 1, target[s]) for s in sources], "source string, source_size long, n long, target double")
+    solved, duals = mixing.balanced(sizes, table, {v: share[v] * total for v in values})
+    dual = {x["source"]: x["dual"] for x in solved.collect()}
+    for (s, v), x in rate.items():
+        assert math.isclose(math.exp(dual[s] + duals[v]), x, rel_tol=1e-7)
+    taken = Counter()
+    for x in mixing.mixed(docs, column="lang", values={v: share[v] * total for v in values}).collect():
+        taken[x["lang"]] += len(x["text"].split())
+    assert all(abs(taken[v] - share[v] * total) < 0.06 * total for v in values)
+
+
+def test_mixing_shared_and_missing_ids(spark):
+    rows = [(None, f"a b {i}", "s") for i in range(300)] + [(7, f"c {i} d e", "t") for i in range(300)] + [(7, "c 1 d e", "t")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source, size in ((900, 3), (1212, 4)):
+        part = [x for x in got if x["source_size"] == source]
+        assert all(x["size"] == size for x in part) and abs(sum(x["taken"] for x in part) - part[0]["target"]) < 30
+    assert {x["source"] for x in mixing.mixed(docs).collect()} == {"s", "t"}
     assert mixing.mixed(docs).columns == docs.columns
 
 
