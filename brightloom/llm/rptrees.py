@@ -2,11 +2,14 @@
 
 Every node of a tree splits by a random direction at the median of its projections; vectors near the threshold go to both
 sides. Vectors that share a leaf of any tree and a label are compared by cosine in double precision; pairs at the threshold
-or above are links, and links are united into components.
+or above are links, and links are united into components. A pair that meets in several leaves counts in the first of them
+only (each vector carries its leaves), so blocks return a number of links and one edge of a spanning forest for each
+vector, never the pairs.
 
 The upper levels are fitted on a bounded sample (SAMPLE vectors, stated), so what travels with the tasks has a fixed size; every
 vector is indexed. Leaves that are still large are split further, in rounds, at medians computed over all their vectors. What
 no split divides, such as large groups of copies, is compared whole, in pairs of blocks; equal vectors are one class before.
+Vectors of a length that the sample missed share one leaf until it is split.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite components, and rows without a label, link
 with nothing and are their own component; lengths that differ never link; rows that share a vec_id are the same node; a
@@ -26,7 +29,6 @@ SAMPLE = 20_000
 TREES = 6
 #: Vectors that a leaf has on average, and those from which a leaf is split again.
 LEAF, LARGE = 1_000, 4_000
-ROUNDS = 6
 #: Rows of one block when a large leaf is compared whole.
 BLOCK = 1_000
 SEED = 20
@@ -37,8 +39,11 @@ def _spread(cosine: float, dim: int) -> float:
     return 0.5 * float(np.sqrt(max(2 - 2 * cosine, 1e-6) / max(dim, 1)))
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows) -> np.ndarray:
+    """Rows of length 1, whatever their scale."""
     x = np.array(rows, np.float64)
+    if len(x):
+        x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -86,17 +91,11 @@ class Tree:
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-_ROW = "leaf long, label int, node long, dim int, v array<float>"
-
-
-def _batch(pa, leaf, batch, rows, label="label", node="node", v="v"):
-    at = pa.array(rows)
-    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column(label).take(at), batch.column(node).take(at), batch.column("dim").take(at), batch.column(v).take(at)], names=[x.split()[0] for x in _ROW.split(", ")])
+_MEMBER = "leaf long, label string, node long, dim int"
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
 def _placed(trees: dict[int, list[Tree]]):
@@ -105,6 +104,7 @@ def _placed(trees: dict[int, list[Tree]]):
     def run(batches):
         import pyarrow as pa
 
+        names = [x.split()[0] for x in _MEMBER.split(", ")]
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
@@ -112,10 +112,10 @@ def _placed(trees: dict[int, list[Tree]]):
                 for dim in np.unique(dims):
                     ids = np.flatnonzero(dims == dim)
                     x = _matrix(part.column("v").take(pa.array(ids)), int(dim))
-                    for t, tree in enumerate(trees.get(int(dim), [])):
+                    for t, tree in enumerate(trees.get(int(dim)) or [Tree(np.zeros((0, int(dim))), 0, SEED, 0.0)]):
                         rows, leaf = tree.place(x)
-                        for b in range(0, len(rows), 5_000):
-                            yield _batch(pa, t << 32 | leaf[b : b + 5_000], part, ids[rows[b : b + 5_000]])
+                        at = pa.array(ids[rows])
+                        yield pa.RecordBatch.from_arrays([pa.array(t << 32 | leaf), part.column("label").take(at), part.column("node").take(at), part.column("dim").take(at)], names=names)
 
     return run
 
@@ -126,7 +126,7 @@ def _direction(leaf: int, dim: int) -> np.ndarray:
 
 
 def _projected(batches):
-    """Adds each row's projection on its leaf's own direction."""
+    """Adds each row's projection on its leaf's own direction, in place of its vector."""
     import pyarrow as pa
 
     for batch in batches:
@@ -135,51 +135,103 @@ def _projected(batches):
         for key in {(int(a), int(b)) for a, b in zip(leaf, dims, strict=True)}:
             ids = np.flatnonzero((leaf == key[0]) & (dims == key[1]))
             p[ids] = _matrix(batch.column("v").take(pa.array(ids)), key[1]) @ _direction(*key)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
-
-
-def _compared(cosine: float):
-    """Links (a, b) inside sorted groups (leaf, label, dim, i, j): inside a block if i = j, else between the two."""
-
-    def links(rows: list):
-        x = unit([r[6] for r in rows])
-        side = np.array([r[5] for r in rows])
-        node = np.array([r[7] for r in rows], np.int64)
-        (i, j) = rows[0][3:5]
-        left, right = (np.arange(len(rows)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side == j))
-        out = []
-        for a in range(0, len(left), 512):
-            rows_ = left[a : a + 512]
-            hit = np.argwhere(x[rows_] @ x[right].T >= cosine)
-            p, q = node[rows_[hit[:, 0]]], node[right[hit[:, 1]]]
-            keep = p < q if i == j else p != q
-            out.append(np.stack([np.minimum(p, q)[keep], np.maximum(p, q)[keep]], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-    def run(batches):
+        names = [x.split()[0] for x in _MEMBER.split(", ")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], names=[*names, "p"])
+
+
+_KEYS = ["leaf", "label", "dim", "i", "j"]
+_FOUND = "node long, root long, n long"
+
+
+def _met_before(leaf: int, owner: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Which of n vectors lie in which leaves before this one, of those leaves that two of them share."""
+    early = ids < leaf
+    owner, ids = owner[early], ids[early]
+    kinds, at, many = np.unique(ids, return_inverse=True, return_counts=True)
+    column = np.cumsum(many > 1) - 1
+    keep = many[at] > 1
+    out = np.zeros((n, int((many > 1).sum())), np.float32)
+    out[owner[keep], column[at[keep]]] = 1
+    return out
+
+
+def compared(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, before: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], cosine: float):
+    """Links between unit rows x and y of nodes p and q: (copies linked to each of p, of q, by pairs that meet here first; roots of p and of q)."""
+    many_p, many_q = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64)
+    hits = []
+    for a in range(0, len(p), 512):
+        hit = (x[a : a + 512] @ y.T >= cosine) & (p[a : a + 512, None] != q[None, :])
+        hits.append(np.packbits(hit, axis=1))
+        if before[0].shape[1]:
+            hit &= before[0][a : a + 512] @ before[1].T < 0.5
+        many_p[a : a + 512] += hit @ sizes[1]
+        many_q += sizes[0][a : a + 512] @ hit
+    # the smallest node that links reach inside the block
+    root_p, root_q = p.copy(), q.copy()
+    high = np.iinfo(np.int64).max
+    while True:
+        new_p, new_q = root_p.copy(), root_q.copy()
+        for k, packed in enumerate(hits):
+            hit = np.unpackbits(packed, axis=1, count=len(q)).astype(bool)
+            rows = slice(512 * k, 512 * k + len(hit))
+            new_p[rows] = np.minimum(new_p[rows], np.where(hit, new_q[None, :], high).min(1, initial=high))
+            new_q = np.minimum(new_q, np.where(hit, new_p[rows, None], high).min(0, initial=high))
+        if (new_p == root_p).all() and (new_q == root_q).all():
+            return many_p, many_q, root_p, root_q
+        root_p, root_q = new_p, new_q
+
+
+def _blocks_compared(cosine: float):
+    """node, root (a node it is connected with) and n (copies linked to it by pairs that meet here first), for sorted groups _KEYS."""
+
+    def flush(held: list):
         import pyarrow as pa
 
-        rows: list = []
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        leaf, dim, i, j = (rows.column(c)[0].as_py() for c in ("leaf", "dim", "i", "j"))
+        x = _matrix(rows.column("v"), dim)
+        node, size, side = (rows.column(c).to_numpy() for c in ("node", "c", "mine"))
+        lists = rows.column("leaves")
+        ids = lists.flatten().to_numpy()
+        before = _met_before(leaf, np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy())), ids, len(node))
+        left, right = (np.arange(len(node)),) * 2 if i == j else (np.flatnonzero(side == i), np.flatnonzero(side == j))
+        n_left, n_right, root_left, root_right = compared(x[left], x[right], node[left], node[right], (before[left], before[right]), (size[left], size[right]), cosine)
+        n, root = np.zeros(len(node), np.int64), node.copy()
+        n[left], root[left] = n_left, root_left
+        if i != j:
+            n[right], root[right] = n_right, root_right
+        on = (n > 0) | (root != node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(root[on]), pa.array(n[on])], names=["node", "root", "n"])
 
-        def flush():
-            found = links(rows)
-            for a in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000, 0]), pa.array(found[a : a + 50_000, 1])], names=["a", "b"])
+    def run(batches):
+        import pyarrow as pa
 
+        held: list = []
+        key = None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and r[:5] != rows[0][:5]:
-                    yield from flush()
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield from flush()
+            keys = [batch.column(c) for c in _KEYS]
+            same = np.ones(max(batch.num_rows - 1, 0), bool)
+            for c in keys:
+                v = c.dictionary_encode().indices.to_numpy()
+                same &= v[1:] == v[:-1]
+            edge = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if a == b:
+                    continue
+                own = tuple(c[a].as_py() for c in keys)
+                if held and own != key:
+                    yield from flush(held)
+                    held = []
+                key = own
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from flush(held)
 
     return run
 
 
 def forest(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(leaf, label, node, dim, v) for every leaf of every tree that a vector goes to."""
+    """(leaf, label, node, dim) for every leaf of every tree that a vector goes to."""
     total = vectors.count()
     near = vectors.where(F.pmod(F.xxhash64(F.lit("forest"), "node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)))
     kept: dict[int, list] = {}
@@ -187,64 +239,60 @@ def forest(vectors: DataFrame, cosine: float) -> DataFrame:
         kept.setdefault(r["dim"], []).append(r["v"])
     depth = max(0, int(np.ceil(np.log2(max(total, 1) / LEAF))))
     trees = {dim: [Tree(unit(rows), depth, SEED + t, _spread(cosine, dim)) for t in range(TREES)] for dim, rows in kept.items()}
-    # a length that the sample missed is one leaf
-    for (dim,) in vectors.select("dim").distinct().collect():
-        trees.setdefault(dim, [Tree(np.zeros((0, dim)), 0, SEED, 0.0)])
-    rows = saved(vectors.mapInArrow(_placed(trees), _ROW), "leaves")
-    for _ in range(ROUNDS):
-        sizes = rows.groupBy("leaf", "label", "dim").count().where(F.col("count") > LARGE)
-        large = saved(sizes.select("leaf", "label", "dim"), "large")
+    rows = saved(vectors.select("label", "node", "dim", "v").mapInArrow(_placed(trees), _MEMBER), "leaves")
+    on = ["leaf", "label", "dim"]
+    by_node = vectors.select("node", "v")
+    stuck = None  # leaves that a round found indivisible
+    while True:
+        sizes = rows.groupBy(*on).count().where(F.col("count") > LARGE).select(*on)
+        large = saved(sizes if stuck is None else sizes.join(stuck, on, "left_anti"), "large")
         if large.isEmpty():
             break
-        on = ["leaf", "label", "dim"]
-        cut = saved(rows.join(large, on, "left_semi").select(*[x.split()[0] for x in _ROW.split(", ")]).mapInArrow(_projected, _ROW + ", p double"), "projected")
+        cut = saved(rows.join(large, on, "left_semi").join(by_node, "node").select(*[x.split()[0] for x in _MEMBER.split(", ")], "v").mapInArrow(_projected, _MEMBER + ", p double"), "projected")
         middle = saved(cut.groupBy(*on).agg(F.percentile_approx("p", 0.5, 1000).alias("middle"), F.stddev("p").alias("wide")), "middles")
         # a group that lies inside the spill can't be divided
         spill = F.sqrt(F.lit(max(2 - 2 * cosine, 1e-6)) / F.col("dim")) * 0.5
-        split = cut.join(middle.where(F.col("wide") > 2 * spill), on)
+        divided = middle.where(F.col("wide") > 2 * spill)
+        firm = middle.where(~(F.col("wide") > 2 * spill)).select(*on)
+        stuck = saved(firm if stuck is None else firm.unionAll(stuck), "indivisible")
         side = lambda k: F.xxhash64("leaf", F.lit(k))
-        where = F.concat(F.when(F.col("p") < F.col("middle") + spill, F.array(side(0))).otherwise(F.array().cast("array<long>")), F.when(F.col("p") >= F.col("middle") - spill, F.array(side(1))).otherwise(F.array().cast("array<long>")))
-        parts = split.withColumn("leaf", F.explode(where)).select("leaf", "label", "node", "dim", "v")
-        divided = saved(middle.where(F.col("wide") > 2 * spill).select(*on), "divided")
-        if divided.isEmpty():
-            break
-        new = saved(rows.join(divided, on, "left_anti").select("leaf", "label", "node", "dim", "v").unionAll(parts), "leaves")
+        none = F.array().cast("array<long>")
+        where = F.concat(F.when(F.col("p") < F.col("middle") + spill, F.array(side(0))).otherwise(none), F.when(F.col("p") >= F.col("middle") - spill, F.array(side(1))).otherwise(none))
+        parts = cut.join(divided, on).withColumn("leaf", F.explode(where)).select("leaf", "label", "node", "dim")
+        new = saved(rows.join(divided.select(*on), on, "left_anti").select("leaf", "label", "node", "dim").unionAll(parts), "leaves")
         discard(rows, cut)
         rows = new
     return rows
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Groups (leaf, label, dim) with pairs of blocks: one block up to 2 * BLOCK rows, else every pair of as many as it takes."""
+def _blocks(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors in groups (leaf, label, dim) and pairs of blocks: one block up to 2 * BLOCK rows, else every pair of as many as it takes."""
     on = ["leaf", "label", "dim"]
-    big = saved(rows.groupBy(*on).count().where(F.col("count") > 2 * BLOCK).select(*on, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "big")
-    with_parts = rows.join(big, on, "left").withColumn("mine", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("block"), "node"), "parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    return with_parts.select("leaf", "label", "dim", "mine", "node", "v", other.alias("other")).select(
-        "leaf", "label", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "node"
-    )
+    big = saved(members.groupBy(*on).count().where(F.col("count") > 2 * BLOCK).select(*on, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "big")
+    lists = members.join(big, on, "left").groupBy("node").agg(F.collect_list(F.struct("leaf", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("places"))
+    each = vectors.join(lists, "node").select("node", "label", "dim", "c", "v", F.transform("places", lambda p: p["leaf"]).alias("leaves"), F.explode("places").alias("place"))
+    each = each.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("place.parts")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.parts") - 1)))
+    return each.select(F.col("place.leaf").alias("leaf"), "label", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c", "v", "leaves")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     v = F.col("embedding")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"), F.col("label").cast("int").alias("label"), F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"), F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     own = [F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit("second"), "label", "v").alias("k2")]
     members = saved(rows.where("sound").select("vec_id", *own).distinct(), "members")
     classes = saved(rows.where("sound").select("vec_id", "v", "label", *own).groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("c"), F.first("v").alias("v"), F.first("label").alias("label")), "classes")
-    vectors = classes.select("label", "node", F.size("v").alias("dim"), "v")
-    leaves = forest(vectors, cosine)
-    grouped = _blocks(leaves).repartition("leaf", "label", "dim", "i", "j").sortWithinPartitions("leaf", "label", "dim", "i", "j")
-    links = saved(grouped.mapInArrow(_compared(cosine), "a long, b long").distinct(), "links")
-    size = saved(classes.select(F.col("node").alias("n"), "c"), "class-sizes")
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(size, F.col("b") == F.col("n")).groupBy("a").agg(F.sum("c").alias("more"))
-    named = components(links)
-    per_class = classes.join(degree, F.col("node") == F.col("a"), "left").join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
+    vectors = classes.select("label", "node", F.size("v").alias("dim"), "c", "v")
+    grouped = _blocks(forest(vectors, cosine), vectors).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    found = saved(grouped.mapInArrow(_blocks_compared(cosine), _FOUND), "found")
+    degree = found.groupBy("node").agg(F.sum("n").alias("more"))
+    named = components(saved(found.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), "forest-edges"))
+    per_class = classes.join(degree.withColumnRenamed("node", "d"), F.col("node") == F.col("d"), "left").join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     per_class = saved(per_class.select("k1", "k2", (F.coalesce("more", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "per-class")
-    found = members.join(per_class, ["k1", "k2"]).select("vec_id", "n_links", "component")
-    out = rows.select("vec_id", "sound").join(found.groupBy(F.col("vec_id").alias("id")).agg(F.max("n_links").alias("n_links"), F.min("component").alias("component")), F.col("vec_id") == F.col("id"), "left")
+    told = members.join(per_class, ["k1", "k2"]).select("vec_id", "n_links", "component")
+    out = rows.select("vec_id", "sound").join(told.groupBy(F.col("vec_id").alias("id")).agg(F.max("n_links").alias("n_links"), F.min("component").alias("component")), F.col("vec_id") == F.col("id"), "left")
     n = F.when(F.col("sound"), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     comp = F.when(F.col("sound"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", n.alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))

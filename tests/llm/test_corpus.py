@@ -478,6 +478,35 @@ def test_embeddings_in_large_leaves(spark, monkeypatch):
     assert all(got[i]["n_links"] >= 149 and got[i]["component_id"] == 0 for i in range(150))
 
 
+def test_embeddings_edges(spark):
+    """Scales far from 1, string labels, null ids, clashing columns."""
+    rows = [(1, [1e-200, 0.0], "a"), (2, [0.0, 1e-200], "a"), (3, [2e200, 1e150], "a"), (4, [1.0, 0.0], "b"), (None, [1.0, 0.0], "a"), (5, [5.0, 0.0], "a"), (5, [5.0, 0.0], "a")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({"node": F.lit(1), "leaf": F.lit(2), "v": F.lit(3)})
+    got = sorted((tuple(x) for x in rptrees.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 0, 4, True), (None, 0, None, None), (5, 2, 1, False), (5, 2, 1, False)], key=str)
+
+
+@pytest.mark.parametrize("trial", range(5))
+def test_block_comparison(trial):
+    """Degrees of pairs that meet here first, and roots, against loops."""
+    r = np.random.default_rng(trial)
+    x = rptrees.unit(r.standard_normal((60, 3)))
+    node, size = r.permutation(1000)[:60], r.integers(1, 4, 60)
+    lists = [sorted(r.choice(12, 3, replace=False).tolist() + [9]) for _ in range(60)]
+    ids, owner = np.array([i for v in lists for i in v]), np.repeat(np.arange(60), 4)
+    before = rptrees._met_before(9, owner, ids, 60)
+    cut = trial % 2 * 25
+    left, right = (np.arange(60),) * 2 if not cut else (np.arange(cut), np.arange(cut, 60))
+    got = rptrees.compared(x[left], x[right], node[left], node[right], (before[left], before[right]), (size[left], size[right]), 0.9)
+    pairs = [(a, b) for a in left for b in right if a != b and x[a] @ x[b] >= 0.9]
+    first = [(a, b) for a, b in pairs if min(set(lists[a]) & set(lists[b])) == 9]
+    assert got[0].tolist() == [sum(size[b] for a, b in first if a == i) for i in left]
+    assert got[1].tolist() == [sum(size[a] for a, b in first if b == i) for i in right]
+    root = union_find(node.tolist(), [(int(node[a]), int(node[b])) for a, b in pairs])
+    for own, found in ((left, got[2]), (right, got[3])):
+        assert [int(v) for v in found] == [root[int(node[i])] for i in own]
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 
 
