@@ -1,22 +1,27 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its words and one end. Each word is coded as bits: first the CLASS_BITS bits of its class (a hash of its last
-letters), then the word inside its class. Every class bit is predicted by several hashed contexts: tables of counts over all
-training documents for no, one, two and three classes before, and counts of the document itself as read so far. Their
-log-odds are combined by weights that a gate selects (bit and how much of the document supports it); the weights learn
-online, and an adaptive probability map refines the result. Inside a class, a training word has its discounted share of
-the class, and the discounted mass spells all other words, byte by byte from the end, by the same kind of mixing over
-letters. Last, words of the document so far are a second expert, mixed in by a gate on how often it has been right.
-
-All steps are probabilities of disjoint codes, so scores are log-probabilities of whole texts. Counts, weights, maps and the
-shares of own words cover all training documents and all their words: each partition learns online from all it has, and
-weights are averaged by the bits each has seen (ROUNDS times), while the maps' counts and the hits of own words are added up.
-While a text is scored, the weights for its classes go on learning from the part already scored, BLOCK tokens at a time.
-Tables that travel have fixed sizes; words and their counts never do as a whole: each chunk of documents gets those it uses.
-
-Defined results: a null or empty text is its end alone; without training documents, N and V are 0 and the model spells
-everything; texts are scored whole, adapting anew every PIECE tokens; equal texts have equal scores; rows that share a
-doc_id are separate documents; a null doc_id is a training document. Columns other than doc_id and text are dropped.
+A text is its words, lower-cased in A-Z, and one end. Each word is coded as the bits of its bytes and of a space after them.
+Every bit is predicted by several hashed contexts: the two, three and four bytes before it in the word, all of the word so
+far, and the state of the text with each of them. Their log-odds are combined by weights that a gate selects (which bit, whether
+it is of the first byte, and how often training has seen the word so far); the weights learn online, and an adaptive probability map refines the
+result. The state of a text is the kind of its last short word: short words are grouped by what follows them, so that
+the state tells languages and styles apart. A word's bits thus depend on its state and bytes only, so they are coded once for
+each state and word of the corpus, in a table that grows with it, and not once for each occurrence.
+
+Three more experts know whole words: the share of a word among all training words of its state (with the corpus's share behind
+it), its share among the text's words so far, and its share among the words that followed the last one in the text so far.
+The four are mixed word by word. Each text has its own weights for them, chosen by a gate (did the text repeat itself
+just now), which start from what training texts teach and go on learning while the text is scored.
+
+All experts give probabilities of disjoint codes, so scores are log-probabilities of whole texts. Counts, weights, maps and
+groups cover all training documents and all their words: each partition learns online from all it has, weights are averaged
+by the bits each has seen (ROUNDS times), counts are added up. Tables that travel have fixed sizes; words and their counts
+never do as a whole: each chunk of documents gets those it uses.
+
+Defined results: a null or empty text is its end alone; without training documents, N and V are 0 and all bits are even;
+texts are scored whole, the text's own share of words adapting anew every PIECE tokens; equal texts have equal scores; rows
+that repeat or share a doc_id are separate documents; a null doc_id is a training document. Columns other than doc_id
+and text are dropped.
 """
 
 from __future__ import annotations
@@ -31,22 +36,33 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, _SPACE, Powers, discard, mixed, saved, utf8, word_hashes
 
-CLASS_BITS = 8
 PIECE = 1 << 15
-#: Passes over all training documents and words; each starts from the weights merged before.
+#: Passes over all training words; each starts from the weights merged before.
 ROUNDS = 2
-#: Tokens of a text after which its own weights move.
-BLOCK = 64
 #: Bytes of text after which a task passes on the words it has counted.
-FLUSH = 12 << 20
-_K = 1 << CLASS_BITS
-_CONTEXTS = 256
-_TABLES = 4  # contexts of 0 to 3 classes
-_LETTERS = 6  # contexts of a word's bytes
-_SPELL_CONTEXTS = 1 << 11
-_PUNCT = np.isin(np.arange(256), list(b".,;:!?|%&*$#\"'()-[]{}<>/\\+=_~`^"))
+FLUSH = 32 << 20
+#: Short words have so many bytes at most; their hashes make KINDS kinds, those STATES - 1 groups.
+SHORT, KINDS, STATES = 3, 256, 9
+#: Contexts of a byte: log2 of their numbers of places. A place holds the 15 nodes of half a byte.
+PLACES = (12, 14, 15, 12, 15, 15)
+NODES = 16
+_FIRST = np.concatenate([[0], np.cumsum([NODES << b for b in PLACES])])
+#: Which contexts count words by their occurrences; the others count each word once a state.
+BY_TOKENS = (False, False, False, True, True, True)
+#: The context that says whether training has seen the word so far.
+PREFIX = 4
+#: Counts that travel in one row.
+ROW = 1 << 12
+#: Gates of the bits, and of the experts.
+BIT_GATES, GATES = 64, 6
+#: Times that training has seen a prefix, as levels that choose weights.
+LEVELS = (1, 4, 32)
+#: How far a text's weights move with each word.
+RATE = 0.05
+#: Training words that a state must have before its own shares weigh as much as the corpus's.
+BACKOFF = 2_000
 END_HASH = -1
-_TEN = math.log(10)
+_MASK = np.int64(-16)
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -54,88 +70,159 @@ _TEN = math.log(10)
 
 @dataclass
 class Tokens:
-    """Words of several texts: hash, class, text, and the bytes they are in."""
+    """Words of several texts with an end after each text: hash, text, bytes of the word, and where they are."""
 
     hash: np.ndarray
-    kind: np.ndarray
     doc: np.ndarray
+    size: np.ndarray
     data: bytes
     start: np.ndarray
-    end: np.ndarray
 
 
 def tokens(texts: list[bytes], powers: Powers) -> Tokens:
     data = b"\n".join(texts)
     raw = np.frombuffer(data, np.uint8)
     h, start = word_hashes(raw, powers)
-    low = _LOWER[raw] if len(raw) else raw
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True)) if len(raw) else np.zeros(0, np.int64)
-    end = edge[1::2]
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(at, start, side="right") - 1
-    # the last byte of each word that isn't punctuation; words of punctuation end where they end
-    good = np.maximum.accumulate(np.where(_PUNCT[raw] | _SPACE[raw], -1, np.arange(len(raw)))) if len(raw) else raw
-    p = np.maximum(good[end - 1], start) if len(end) else end
-    p = np.where((good[end - 1] < start), end - 1, p) if len(end) else end
-    last = low[p].astype(np.uint64) if len(p) else np.zeros(0, np.uint64)
-    before = np.where(p > start, low[np.maximum(p - 1, 0)], 0).astype(np.uint64) if len(p) else last
-    with np.errstate(over="ignore"):
-        kind = (mixed(before * np.uint64(257) + last) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    return Tokens(h.astype(np.int64), kind, doc, data.lower(), start, end)
-
+    ends = np.searchsorted(doc, np.arange(len(texts)), side="right")
+    put = lambda v, x: np.insert(v, ends, x)
+    return Tokens(put(h.astype(np.int64), END_HASH), put(doc, np.arange(len(texts))), put(edge[1::2] - start, 0), (_LOWER[raw] if len(raw) else raw).tobytes(), put(start, 0))
+
+
+def short_words(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(the kind of each token, the place of the last short word of its text before it, or -1)."""
+    n = len(t.hash)
+    kind = (t.hash & (KINDS - 1)).astype(np.int64)
+    last = np.maximum.accumulate(np.where((t.size > 0) & (t.size <= SHORT), np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    last = np.concatenate([[-1], last[:-1]])[:n]
+    return kind, np.where((last >= 0) & (t.doc[np.maximum(last, 0)] == t.doc), last, -1)
+
+
+def states(t: Tokens, groups: np.ndarray) -> np.ndarray:
+    """The state of each token's text before it: 0, or the group of the last short word."""
+    kind, last = short_words(t)
+    return np.where(last >= 0, groups[kind[np.maximum(last, 0)]], 0)
+
+
+def keys(t: Tokens, groups: np.ndarray) -> np.ndarray:
+    """A word and its state in one number: 60 bits of the hash, 4 of the state."""
+    return (t.hash & _MASK) | states(t, groups)
+
+
+def grouped(follows: np.ndarray) -> np.ndarray:
+    """The group (1 to STATES - 1) of each kind of short word: kinds that follow each other often belong together (spherical k-means)."""
+    both = (follows + follows.T).astype(float)
+    weight = both.sum(1)
+    x = np.sqrt(both / np.maximum(weight, 1)[:, None])
+    centre = [int(np.argmax(weight))]
+    for _ in range(STATES - 2):  # the farthest, by weight
+        far = (1 - (x @ x[centre].T).max(1)) * np.sqrt(weight)
+        centre.append(int(np.argmax(far)))
+    c = x[centre]
+    for _ in range(30):
+        near = (x @ c.T).argmax(1)
+        sums = np.stack([(x * weight[:, None])[near == k].sum(0) for k in range(len(c))])
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return (near + 1).astype(np.int64)
+
+
+def _runs_of_pieces(doc: np.ndarray) -> np.ndarray:
+    """A number for each run of PIECE tokens of one text."""
+    new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    return np.cumsum(new | (place % PIECE == 0)) - 1
 
-END_KIND = int(mixed(np.array([10 * 257 + 10], np.uint64))[0] >> np.uint64(64 - CLASS_BITS))
 
+def _before(h: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """How often the piece had the value before."""
+    order = np.lexsort((h, piece))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (piece[order][1:] != piece[order][:-1])])
+    at = np.flatnonzero(new)
+    seen = np.empty(len(h), np.int64)
+    seen[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    return seen
 
-def with_ends(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, text) with the end after each text's words."""
-    at = np.searchsorted(t.doc, np.arange(n), side="right")
-    return np.insert(t.hash, at, END_HASH), np.insert(t.kind, at, END_KIND), np.insert(t.doc, at, np.arange(n))
 
+def own_shares(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of the piece so far that is this word; share of this word among those that followed the last one so far; gate).
 
-def contexts(kind: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
-    """The context of each token in each table: hashes of no, one, two and three classes before it in its piece."""
-    before = []
-    prev = kind
-    for back in range(1, _TABLES):
-        prev = np.concatenate([[0], prev[:-1]])
-        same = np.zeros(len(kind), bool)
-        same[back:] = piece[back:] == piece[:-back]
-        before.append(np.where(same, prev + 1, 0).astype(np.uint64))
+    The gate says whether the last word had been there before, alone or after its own predecessor, and whether 20 words are past.
+    """
+    if not len(h):
+        return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], piece[1:] != piece[:-1]])
+    first = np.flatnonzero(fresh)
+    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    seen = _before(h, piece)
+    last = np.concatenate([[0], h[:-1]])
     with np.errstate(over="ignore"):
-        h2 = mixed(before[0] * np.uint64(1000) + before[1]) >> np.uint64(56)
-        h3 = mixed((before[0] * np.uint64(1000) + before[1]) * np.uint64(1000) + before[2]) >> np.uint64(56)
-    return [np.zeros(len(kind), np.int64), (before[0] & np.uint64(255)).astype(np.int64), h2.astype(np.int64), h3.astype(np.int64)]
+        pair = mixed(last.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h.astype(np.uint64)).astype(np.int64)
+    pairs = np.where(fresh, 0, _before(pair, piece))
+    follows = np.where(fresh, 0, np.concatenate([[0], seen[:-1]]))
+    hit = (seen > 0).astype(np.int64) + (pairs > 0)
+    gate = np.where(fresh, 0, np.concatenate([[0], hit[:-1]])) * 2 + (place >= 20)
+    return seen / np.maximum(place, 1), np.minimum(pairs / np.maximum(follows, 1), 1.0), gate
 
 
-def path(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of a value's bits in the tree of all bytes, and the bits (values x 8)."""
-    depth = np.arange(8)
-    return ((1 << depth) | (value[:, None] >> (8 - depth))).astype(np.int32), ((value[:, None] >> (7 - depth)) & 1).astype(np.uint8)
+# --- bits -----------------------------------------------------------------------------------------------------------
 
 
-def at_nodes(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts of values (contexts x 256), counts of zeros and ones at the nodes of their bits (contexts x 256)."""
-    n0, n1 = np.zeros(count.shape, np.int64), np.zeros(count.shape, np.int64)
-    for d in range(8):
-        halves = count.reshape(len(count), 1 << d, 2, 128 >> d).sum(-1)
-        n0[:, 1 << d : 2 << d], n1[:, 1 << d : 2 << d] = halves[:, :, 0], halves[:, :, 1]
-    return n0, n1
+@dataclass
+class Bits:
+    """The bits of spelled words: place of each context's count, gate without knowledge, bit and word of each."""
 
+    at: list[np.ndarray]
+    gate: np.ndarray
+    bit: np.ndarray
+    word: np.ndarray
 
-def _pieces(doc: np.ndarray) -> np.ndarray:
-    """A number for each run of PIECE tokens of one text."""
-    new = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-    return np.cumsum(new | (place % PIECE == 0)) - 1
 
+_DEPTH = np.arange(4)
 
-# --- mixing ---------------------------------------------------------------------------------------------------------
+
+def spelled(words: list[bytes], state: np.ndarray) -> Bits:
+    """Words of a state, each with a space after it, bit by bit."""
+    length = np.array([len(w) + 1 for w in words], np.int64)
+    data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    word = np.repeat(np.arange(len(words)), length)
+    first = (np.cumsum(length) - length)[word]
+    place = np.arange(len(data)) - first
+    near = place[:, None] > _DEPTH
+    back = np.zeros((len(data), 4), np.uint64)
+    for k in range(4):
+        back[k + 1 :, k] = data[: -k - 1]
+    back *= near
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        two = back[:, 0] | back[:, 1] << np.uint64(8)
+        three, four = two | back[:, 2] << np.uint64(16), two | back[:, 2] << np.uint64(16) | back[:, 3] << np.uint64(24)
+        up, down = _POWERS.upto(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        prefix = (total[:-1] - total[first]) * down[first] + place.astype(np.uint64)
+        own = (state[word].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        contexts = [two, three, four, own + two, prefix, own + prefix]
+        high = (data >> 4).astype(np.uint64)
+        at = []
+        nodes = np.stack([1 << _DEPTH | (data[:, None] >> 4) >> (4 - _DEPTH), 1 << _DEPTH | (data[:, None] & 15) >> (4 - _DEPTH)], 1).astype(np.int32)
+        for k, c in enumerate(contexts):
+            shift = np.uint64(64 - PLACES[k])
+            bases = np.stack([mixed(c * odd + np.uint64(k)) >> shift, mixed((c * odd + np.uint64(k)) ^ (high + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) >> shift], 1).astype(np.int32)
+            at.append((bases[:, :, None] * np.int32(NODES) + nodes + np.int32(_FIRST[k])).ravel())
+    bit = (data[:, None] >> np.arange(7, -1, -1) & 1).astype(np.uint8)
+    gate = ((place > 0)[:, None] * 8 + np.arange(8)).astype(np.int32)
+    return Bits(at, gate.ravel(), bit.ravel(), word)
+
+
+_POWERS = Powers()
 
 
 def log_odds(n0: np.ndarray, n1: np.ndarray, prior: float = 0.4) -> np.ndarray:
-    return np.log((n1 + prior) / (n0 + prior)).astype(np.float32)
+    return np.log((n1 + np.float32(prior)) / (n0 + np.float32(prior)))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -152,6 +239,7 @@ class Mixer:
         self.w = np.full((inputs, gates), 0.35, np.float32)
         self.map = np.tile(squash(np.linspace(-8, 8, self.BINS + 1)), (gates, 1)).astype(np.float32)
         self.seen = np.zeros(gates)
+        self.curve = np.tile(20 * np.eye(inputs), (gates, 1, 1))
         self.n, self.ones = np.zeros(self.map.size), np.zeros(self.map.size)
         self.cost = np.zeros(0, np.float32)
 
@@ -187,114 +275,36 @@ class Mixer:
         fine = ((self.mixed(x, gate) + 8) * (self.FINE / 16)).astype(np.int32)
         return self.cost[(gate * self.FINE + fine) * 2 + bit]
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, block: int = 1024, rounds: int = 2, first: int = 0):
-        """Block after block: predict, then move the weights along the error; the last round counts bits for the map. first: rounds before."""
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, block: int = 1 << 15):
+        """Block after block: predict, count for the map, then a Newton step of each gate's weights on all curvature so far."""
         gates = self.w.shape[1]
-        self.seen += np.bincount(gate, minlength=gates)
-        for r in range(first, first + rounds):
-            for a in range(0, len(bit), block):
-                xs, g, y = [v[a : a + block] for v in x], gate[a : a + block], bit[a : a + block]
-                z = self.mixed(xs, g)
-                error = y - squash(z)
-                many = np.bincount(g, minlength=gates)
-                step = 0.08 / (1 + r) / np.maximum(many, 16)
-                for i, v in enumerate(xs):
-                    self.w[i] += step * np.bincount(g, error * v, minlength=gates)
-                if r == first + rounds - 1:
-                    near = g * (self.BINS + 1) + np.rint((z + 8) * (self.BINS / 16)).astype(np.int64)
-                    self.n += np.bincount(near, minlength=self.map.size)
-                    self.ones += np.bincount(near, y, minlength=self.map.size)
-
-    def adapted(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's bits; each piece moves its own copy of the weights after each BLOCK of its tokens."""
-        gates, bits = self.w.shape[1], len(bit) // len(piece)
-        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-        length = np.diff(np.append(first, len(piece)))
-        place = np.arange(len(piece)) - np.repeat(first, length)
-        longest = np.argsort(-length, kind="stable")  # pieces that go on come first
-        rank = np.empty(len(length), np.int64)
-        rank[longest] = np.arange(len(length))
-        own = np.repeat(rank, length)
-        order = np.argsort(place // BLOCK, kind="stable")
-        xs = [v.reshape(-1, bits)[order] for v in x]
-        g, y, own = gate.reshape(-1, bits)[order], bit.reshape(-1, bits)[order], own[order]
-        slot = (own[:, None] * gates + g).astype(np.int32)
-        w = np.tile(self.w, (1, len(length)))
-        out = np.empty(len(piece))
-        edge = np.searchsorted((place // BLOCK)[order], np.arange(-(-length.max() // BLOCK) + 1))
-        sizes = length[longest]
-        for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            z = xs[0][a:b] * w[0][slot[a:b]]
-            for i in range(1, len(xs)):
-                z += xs[i][a:b] * w[i][slot[a:b]]
-            z = z.clip(-8, 7.999, out=z)
-            fine = ((z + 8) * (self.FINE / 16)).astype(np.int32)
-            out[order[a:b]] = self.cost[(g[a:b] * self.FINE + fine) * 2 + y[a:b]].sum(1, dtype=np.float64)
-            on = int((sizes > (k + 1) * BLOCK).sum())
-            if on:
-                keep = own[a:b] < on
-                at, error = slot[a:b][keep].ravel(), (y[a:b][keep] - squash(z[keep])).ravel()
-                step = 0.04 / np.maximum(np.bincount(at, minlength=on * gates), 16)
-                for i in range(len(xs)):
-                    w[i, : on * gates] += step * np.bincount(at, error * xs[i][a:b][keep].ravel(), minlength=on * gates)
-        return out
-
-
-def own_counts(piece: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones that the piece had at each bit's node before. At most 256 pieces at once, so keys have 16 bits."""
-    key = (((piece - piece[0])[:, None] << CLASS_BITS) | node).astype(np.uint16).ravel()
-    order = np.argsort(key, kind="stable")
-    sorted_key, ones = key[order], np.cumsum(bit.ravel()[order])
-    first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    at = np.flatnonzero(first)
-    length = np.diff(np.append(at, len(key)))
-    seen = np.arange(len(key)) - np.repeat(at, length)
-    base = np.where(at > 0, ones[at - 1], 0)
-    before = ones - bit.ravel()[order] - np.repeat(base, length)
-    n1, n = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
-    n1[order], n[order] = before, seen
-    return n - n1, n1
-
-
-#: log(n + 0.4) for every count that one piece can have.
-_LOGS = np.log(np.arange(PIECE + 2) + 0.4).astype(np.float32)
-
-
-def class_inputs(kind: np.ndarray, piece: np.ndarray, tables: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(inputs, gate, bit) of every class bit; tables: log-odds by context and node."""
-    node, bit = path(kind)
-    n0, n1 = own_counts(piece, node, bit)
-    x = [tables[t].ravel()[((c << 8).astype(np.int32)[:, None] | node).ravel()] for t, c in enumerate(contexts(kind, piece))]
-    x.append(_LOGS[n1] - _LOGS[n0])
-    x.append(np.full(node.size, 0.3, np.float32))
-    n = n0 + n1
-    gate = np.tile(np.arange(0, 4 * CLASS_BITS, 4, dtype=np.int32), len(kind)) + (n > 0) + (n > 3) + (n > 15)
-    return x, gate, bit.ravel()
-
-
-def letter_contexts(words: list[bytes], kind: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, byte, place, word) for the bytes of words spelled from the end, then a space."""
-    length = np.array([len(w) + 1 for w in words], np.int64)
-    data = np.frombuffer(b"".join([w[::-1] + b" " for w in words]), np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), length)
-    place = np.arange(len(data)) - (np.cumsum(length) - length)[word]
-    back = []
-    for k in (1, 2, 3, 4):
-        shifted = np.zeros(len(data), np.int64)
-        shifted[k:] = data[:-k] if len(data) > k else 0
-        back.append(np.where(place >= k, shifted, 0))
-    with np.errstate(over="ignore"):
-        fold = lambda *v: (mixed(sum(np.uint64(7919**i) * x.astype(np.uint64) for i, x in enumerate(v))) >> np.uint64(53)).astype(np.int64)
-        near = place < 4
-        context = [np.minimum(place, 15), back[0], fold(*back[:2]), fold(*back[:3]), fold(*back), fold(kind[word] + 1, np.minimum(place, 3), np.where(near, back[0], 0), np.where(near, back[1], 0))]
-    return context, data, place, word
-
-
-def letter_bits(context: list[np.ndarray], data: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(slot in each table, gate, bit) of every bit."""
-    node, bit = path(data)
-    slots = [((c << 8)[:, None] | node).ravel() for c in context]
-    return slots, (np.minimum(place, 3)[:, None] * 8 + np.arange(8)).ravel(), bit.ravel()
+        x = np.stack(x, 1)
+        for a in range(0, len(bit), block):
+            order = np.argsort(gate[a : a + block], kind="stable") + a
+            g, y, c, rows = gate[order], bit[order], weight[order], x[order]
+            z = (rows * self.w.T[g]).sum(1).clip(-8, 7.999)
+            p = squash(z)
+            near = g * (self.BINS + 1) + np.rint((z + 8) * (self.BINS / 16)).astype(np.int32)
+            self.n += np.bincount(near, c, minlength=self.map.size)
+            self.ones += np.bincount(near, c * y, minlength=self.map.size)
+            self.seen += np.bincount(g, c, minlength=gates)
+            error, bend = (y - p) * c, np.maximum(p * (1 - p), 0.01) * c
+            edge = np.searchsorted(g, np.arange(gates + 1))
+            slope = np.zeros((gates, x.shape[1]))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                own = slice(edge[k], edge[k + 1])
+                slope[k] = error[own] @ rows[own]
+                self.curve[k] += rows[own].T @ (rows[own] * bend[own, None])
+            self.w += np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0].T.clip(-0.2, 0.2).astype(np.float32)
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """The part of a gate that says how often a prefix was seen."""
+    return 16 * np.searchsorted(LEVELS, n, side="right").astype(np.int32)
+
+
+def with_bias(x: list[np.ndarray]) -> list[np.ndarray]:
+    return [*x, np.full(len(x[0]), 0.3, np.float32)]
 
 
 # --- passes ---------------------------------------------------------------------------------------------------------
@@ -305,7 +315,7 @@ def _texts(batch, a: int, b: int) -> list[bytes]:
     return [data[at[i] : at[i + 1]].tobytes() for i in range(a, b)]
 
 
-def _groups(batch, bound: int = 1 << 19, most: int = 250):
+def _groups(batch, bound: int = 1 << 20, most: int = 1_000):
     """Ranges of rows of bounded bytes, at most `most` rows."""
     _, at = utf8(batch.column("text"))
     a = 0
@@ -315,141 +325,6 @@ def _groups(batch, bound: int = 1 << 19, most: int = 250):
         a = b
 
 
-_WORDS = "h long, word binary, kind int, chunk int, train long, slot int, n long"
-
-
-def _counted(batches):
-    """Words of each chunk with training counts (slot null), and how often the partition has each class in each context: (slot, n)."""
-    import pyarrow as pa
-
-    names = [x.split()[0] for x in _WORDS.split(", ")]
-    powers = Powers()
-    counts = np.zeros((_TABLES, _CONTEXTS * _K), np.int64)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
-    size, chunk = 0, None
-
-    def flush():
-        h = np.concatenate([x[0] for x in held])
-        words = list(itertools.chain.from_iterable(x[3] for x in held))
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        train = np.bincount(back, np.concatenate([x[1] for x in held])).astype(np.int64)
-        kind = np.concatenate([x[2] for x in held])[first]
-        for a in range(0, len(uniq), 20_000):
-            s = slice(a, a + 20_000)
-            n = len(uniq[s])
-            null = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uniq[s]), pa.array([words[i] for i in first[s]], pa.binary()), pa.array(kind[s].astype(np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.array(train[s]), pa.nulls(n, pa.int32()), null], names=names
-            )
-        held.clear()
-
-    for batch in batches:
-        training, chunks = batch.column("training").to_numpy(zero_copy_only=False), batch.column("chunk").to_numpy()
-        for a, b in _groups(batch):
-            for c in np.unique(chunks[a:b]):
-                if held and (c != chunk or size > FLUSH):
-                    yield from flush()
-                    size = 0
-                chunk = int(c)
-                rows = [i - a for i in range(a, b) if chunks[i] == c]
-                every = _texts(batch, a, b)
-                texts = [every[i] for i in rows]
-                learn = np.array([training[a + i] for i in rows], bool)
-                size += sum(map(len, texts))
-                t = tokens(texts, powers)
-                h, kind, doc = with_ends(t, len(texts))
-                uniq, first, back = np.unique(t.hash, return_index=True, return_inverse=True)
-                words = [t.data[t.start[i] : t.end[i]] for i in first]
-                train = np.bincount(back, learn[t.doc], minlength=len(uniq)) if len(uniq) else np.zeros(0)
-                held.append((np.append(uniq, END_HASH), np.append(train, learn.sum()), np.append(t.kind[first], END_KIND), [*words, b"\n"]))
-                keep = learn[doc]
-                for k, context in enumerate(contexts(kind, _pieces(doc))):
-                    counts[k] += np.bincount((context << CLASS_BITS | kind)[keep], minlength=_CONTEXTS * _K)
-    if held:
-        yield from flush()
-    counts = counts.ravel()
-    full = np.flatnonzero(counts)
-    for a in range(0, len(full), 20_000):
-        s = full[a : a + 20_000]
-        n = len(s)
-        null = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([null, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), null, pa.array(s.astype(np.int32)), pa.array(counts[s])], names=names)
-
-
-def _letters(batches):
-    """How often word types have each byte in each context: (slot, n)."""
-    import pyarrow as pa
-
-    counts = np.zeros((_LETTERS, _SPELL_CONTEXTS * 256), np.int32)
-    for batch in batches:
-        context, data, _, _ = letter_contexts(batch.column("word").to_pylist(), batch.column("kind").to_numpy().astype(np.int64))
-        for k, c in enumerate(context):
-            np.add.at(counts[k], c << 8 | data, 1)
-    counts = counts.ravel()
-    full = np.flatnonzero(counts)
-    for a in range(0, len(full), 50_000):
-        s = full[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s].astype(np.int64))], names=["slot", "n"])
-
-
-def _gathered(rows: DataFrame, tables: int, contexts: int) -> np.ndarray:
-    """Sums of (slot, n) as one array of fixed size: tables x contexts x values."""
-    out = np.zeros(tables * contexts * 256, np.int64)
-    for slot, n in rows.groupBy("slot").agg(F.sum("n")).toLocalIterator(prefetchPartitions=True):
-        out[slot] = n
-    return out.reshape(tables, contexts, 256)
-
-
-@dataclass
-class Model:
-    tables: np.ndarray
-    mixer: Mixer
-    letters: np.ndarray
-    speller: Mixer
-    share: np.ndarray  # mixing share of the document's own words, by gate
-    total: np.ndarray  # training tokens of each class
-    kinds: np.ndarray  # training words of each class
-    discount: float
-
-    def spell(self, words: list[bytes], kind: np.ndarray) -> np.ndarray:
-        """log10 probability of words that training has not seen, inside their classes."""
-        context, data, place, word = letter_contexts(words, kind)
-        slots, gate, bit = letter_bits(context, data, place)
-        x = [self.letters[k].ravel()[slot] for k, slot in enumerate(slots)]
-        each = self.speller.scores(x, gate, bit).reshape(-1, 8).sum(1)
-        out = np.bincount(word, each, minlength=len(words))
-        mass = np.where(self.total > 0, self.discount * self.kinds / np.maximum(self.total, 1), 1.0)
-        return out + np.log10(mass[kind])
-
-    def inside(self, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """log10 share of training words in their classes, discounted."""
-        return np.log10((c - self.discount) / self.total[kind])
-
-    def classes(self, kind: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's class."""
-        x, gate, bit = class_inputs(kind, piece, self.tables)
-        return self.mixer.adapted(x, gate, bit, piece)
-
-
-GATES = 24
-
-
-def own_words(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(share of the piece so far that is this word, gate by how much of the piece so far has been there before)."""
-    order = np.lexsort((h, piece))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (piece[order][1:] != piece[order][:-1])])
-    at = np.flatnonzero(new)
-    seen = np.empty(len(h), np.int64)
-    seen[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-    first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-    length = np.diff(np.append(first, len(h)))
-    place = np.arange(len(h)) - np.repeat(first, length)
-    again = np.cumsum(seen > 0) - (seen > 0)
-    again -= np.repeat(again[first], length)
-    gate = np.minimum((again / np.maximum(place, 1) * 8).astype(np.int64), 7) * 3 + (place >= 20) + (place >= 100)
-    return seen / np.maximum(place, 1), gate
-
-
 _SUMS = "slot int, total double, n double"
 
 
@@ -463,110 +338,248 @@ def _rows(total: np.ndarray, n: np.ndarray):
 def _summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the partitions, of a fixed size."""
     total, n = np.zeros(size), np.zeros(size)
-    for r in rows.groupBy("slot").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+    for r in rows.groupBy("slot").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toLocalIterator(prefetchPartitions=True):
         total[r["slot"]], n[r["slot"]] = r["total"], r["n"]
     return total, n
 
 
-def _learned(tables: np.ndarray, w: np.ndarray, r: int):
-    """The class mixer's sums after one online pass over a partition's training texts; then how often own words had been there before, by gate."""
+def _habits(batches):
+    """How often kinds of short words follow each other, then how often tokens, and pairs of tokens, had been in their text before, by gate."""
+    powers = Powers()
+    follows, hits, n = np.zeros(KINDS * KINDS), np.zeros(2 * GATES), np.zeros(2 * GATES)
+    for batch in batches:
+        for a, b in _groups(batch):
+            t = tokens(_texts(batch, a, b), powers)
+            kind, last = short_words(t)
+            on = np.flatnonzero((last >= 0) & (t.size > 0) & (t.size <= SHORT))
+            follows += np.bincount(kind[last[on]] * KINDS + kind[on], minlength=KINDS * KINDS)
+            own, pair, gate = own_shares(t.hash, _runs_of_pieces(t.doc))
+            hits += np.append(np.bincount(gate, own > 0, minlength=GATES), np.bincount(gate, pair > 0, minlength=GATES))
+            n += np.tile(np.bincount(gate, minlength=GATES), 2)
+    yield from _rows(np.append(follows, hits), np.append(follows, n))
+
+
+_WORDS = "k long, word binary, chunk int, train long"
+
+
+def _counted(groups: np.ndarray):
+    """Words of each chunk by state, with how often training texts have them."""
 
     def run(batches):
-        mixer, powers = Mixer(*w.shape), Powers()
-        mixer.w = w.copy()
-        hits, n = np.zeros(GATES), np.zeros(GATES)
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in _WORDS.split(", ")]
+        powers = Powers()
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        size, chunk = 0, None
+
+        def flush():
+            k = np.concatenate([x[0] for x in held])
+            words = list(itertools.chain.from_iterable(x[2] for x in held))
+            uniq, first, back = np.unique(k, return_index=True, return_inverse=True)
+            train = np.bincount(back, np.concatenate([x[1] for x in held])).astype(np.int64)
+            for a in range(0, len(uniq), 20_000):
+                s = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(uniq[s]), pa.array([words[i] for i in first[s]], pa.binary()), pa.array(np.full(len(uniq[s]), chunk, np.int32)), pa.array(train[s])], names=names)
+            held.clear()
+
         for batch in batches:
+            training, chunks = batch.column("training").to_numpy(zero_copy_only=False), batch.column("chunk").to_numpy()
             for a, b in _groups(batch):
-                h, kind, doc = with_ends(tokens(_texts(batch, a, b), powers), b - a)
-                piece = _pieces(doc)
-                for lo, hi in _runs(piece):
-                    mixer.learn(*class_inputs(kind[lo:hi], piece[lo:hi], tables), rounds=1, first=r)
-                    if r == ROUNDS - 1:
-                        own, gate = own_words(h[lo:hi], piece[lo:hi])
-                        hits += np.bincount(gate, own > 0, minlength=GATES)
-                        n += np.bincount(gate, minlength=GATES)
-        total, count = mixer.sums()
-        yield from _rows(np.append(total, hits), np.append(count, n))
+                every = _texts(batch, a, b)
+                for c in np.unique(chunks[a:b]):
+                    if held and (c != chunk or size > FLUSH):
+                        yield from flush()
+                        size = 0
+                    chunk = int(c)
+                    rows = np.flatnonzero(chunks[a:b] == c)
+                    texts = [every[i] for i in rows]
+                    size += sum(map(len, texts))
+                    t = tokens(texts, powers)
+                    uniq, first, back = np.unique(keys(t, groups), return_index=True, return_inverse=True)
+                    train = np.bincount(back, training[a:b][rows][t.doc])
+                    words = [t.data[x : x + n] if n else b"\n" for x, n in zip(t.start[first].tolist(), t.size[first].tolist(), strict=True)]
+                    held.append((uniq, train, words))
+        if held:
+            yield from flush()
 
     return run
 
 
-def _spelled(letters: np.ndarray, w: np.ndarray, r: int):
-    """The speller's sums after one online pass over a partition's words; counts without the word itself stand for words not seen."""
+_VOCABULARY = ", ".join(["h long", "word binary", *(f"t{s} long" for s in range(STATES)), "used int"])
+
+
+def _entries(batch, used: bool):
+    """(words, states, training counts, row of each) of a vocabulary batch, for each state with counts, or in use."""
+    counts = np.stack([batch.column(f"t{s}").to_numpy() for s in range(STATES)], 1)
+    mask = batch.column("used").to_numpy()[:, None] >> np.arange(STATES) & 1 if used else counts > 0
+    row, state = np.nonzero(mask)
+    return row, state, counts[row, state], counts.sum(1)
+
+
+def _spelled_batches(batch, used: bool, bytes_at_once: int = 1 << 15):
+    """Bits of a batch's entries, so many bytes at once: (bits, row, state, counts, all counts of the batch's rows)."""
+    row, state, train, total = _entries(batch, used)
+    words = batch.column("word").to_pylist()
+    size = np.cumsum([len(words[i]) + 1 for i in row.tolist()])
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + bytes_at_once, side="right")))
+        yield spelled([words[i] for i in row[a:b].tolist()], state[a:b]), row[a:b], state[a:b], train[a:b], total
+        a = b
+
+
+def _tables(batches):
+    """Zeros and ones at every place of the contexts, over the partition's words: rows (part, data) of 2 x ROW counts."""
+    import pyarrow as pa
+
+    n = np.zeros((2, int(_FIRST[-1])), np.float64)
+    for batch in batches:
+        for bits, _, _, train, _ in _spelled_batches(batch, False):
+            many = np.repeat(train[bits.word], 8).astype(float)
+            one = bits.bit == 1
+            for k, at in enumerate(bits.at):
+                lo, hi = int(_FIRST[k]), int(_FIRST[k + 1])
+                for y, on in ((0, ~one), (1, one)):
+                    np.add.at(n[y, lo:hi], at[on] - lo, many[on] if BY_TOKENS[k] else 1.0)
+    parts = n.reshape(2, -1, ROW)
+    for p in np.flatnonzero(parts.any((0, 2))):
+        yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([parts[:, p].astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
+
+
+def _added(batches):
+    """Sums of sorted rows (part, data)."""
+    import pyarrow as pa
+
+    part, total = None, None
+    for batch in batches:
+        for p, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            values = np.frombuffer(data, "<f4").astype(np.float64)
+            if p != part and part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
+            part, total = (p, total + values) if p == part else (p, values)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
+
+
+def _gathered(rows: DataFrame) -> np.ndarray:
+    """The counts over all partitions, of a fixed size: 2 x places."""
+    out = np.zeros((2, int(_FIRST[-1]) // ROW, ROW), np.float32)
+    for p, data in rows.repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part int, data binary").toLocalIterator(prefetchPartitions=True):
+        out[:, p] = np.frombuffer(data, "<f4").reshape(2, ROW)
+    return out.reshape(2, -1)
+
+
+def _learned(n: np.ndarray, w: np.ndarray):
+    """The mixer's sums after one online pass over a partition's training words; counts without the word itself stand for words not seen."""
 
     def run(batches):
-        nodes = [tuple(n.ravel() for n in at_nodes(c)) for c in letters]
         mixer = Mixer(*w.shape)
         mixer.w = w.copy()
         for batch in batches:
-            context, data, place, _ = letter_contexts(batch.column("word").to_pylist(), batch.column("kind").to_numpy().astype(np.int64))
-            slots, gate, bit = letter_bits(context, data, place)
-            x = [log_odds(np.maximum(n0[at] - (bit == 0), 0), np.maximum(n1[at] - (bit == 1), 0)) for (n0, n1), at in zip(nodes, slots, strict=True)]
-            mixer.learn(x, gate, bit, rounds=1, first=r)
+            for bits, _, _, train, _ in _spelled_batches(batch, False):
+                x = []
+                alone = np.repeat((train == 1)[bits.word], 8)
+                for k, at in enumerate(bits.at):
+                    less = 1 if BY_TOKENS[k] else alone
+                    n0, n1 = np.maximum(n[0][at] - less * (bits.bit == 0), 0), np.maximum(n[1][at] - less * (bits.bit == 1), 0)
+                    if k == PREFIX:
+                        gate = bits.gate + level(n0 + n1)
+                    x.append(log_odds(n0, n1).astype(np.float32))
+                mixer.learn(with_bias(x), gate, bits.bit, np.repeat(train[bits.word], 8).astype(np.float32))
         yield from _rows(*mixer.sums())
 
     return run
 
 
-def _fit(training: DataFrame, words: DataFrame, counted: np.ndarray, letters: np.ndarray, stats: list) -> Model:
-    """Online fits on all training texts and words, merged over partitions after each round."""
-    tables = np.stack([log_odds(*at_nodes(c)) for c in counted])
-    total, kinds = np.zeros(_K), np.zeros(_K)
-    once = twice = 0
-    for kind, n, v, a, b in stats:
-        total[kind], kinds[kind] = n, v
-        once, twice = once + a, twice + b
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    mixer, speller = Mixer(_TABLES + 2, CLASS_BITS * 4), Mixer(_LETTERS, 32)
-    size = mixer.w.size + mixer.map.size
-    for r in range(ROUNDS):
-        sums, n = _summed(training.select("text").mapInArrow(_learned(tables, mixer.w, r), _SUMS), size + GATES)
-        mixer.merge(sums[:size], n[:size])
-        speller.merge(*_summed(words.select("word", "kind").mapInArrow(_spelled(letters.astype(np.int32), speller.w, r), _SUMS), speller.w.size + speller.map.size))
+@dataclass
+class Model:
+    odds: np.ndarray  # log-odds at every place
+    seen: np.ndarray  # level of each place of PREFIX
+    mixer: Mixer
+    shares: np.ndarray  # of the experts bits, state, text and pair, by gate
+    by_state: np.ndarray  # training words of each state; their sum is N
+    types: int  # V
+
+    @property
+    def tokens(self) -> int:
+        return int(self.by_state.sum())
+
+    def share(self, state: np.ndarray, train: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Shares of words among the training words of their states, with the corpus's shares behind them."""
+        return (train + BACKOFF * total / max(self.tokens, 1)) / (self.by_state[state] + BACKOFF)
+
+    def spell(self, bits: Bits, words: int) -> np.ndarray:
+        """log10 probability of each word."""
+        x = [self.odds[at] for at in bits.at]
+        gate = bits.gate + self.seen[bits.at[PREFIX] - int(_FIRST[PREFIX])]
+        each = self.mixer.scores(with_bias(x), gate, bits.bit).reshape(-1, 8).sum(1, dtype=np.float64)
+        return np.bincount(bits.word, each, minlength=words)
+
+
+def first_shares(hits: np.ndarray, n: np.ndarray, training: bool) -> np.ndarray:
+    """The experts' weights at a text's start, by gate: the text's own experts by their hit rates, bits a quarter of the rest."""
+    rate = (hits / np.maximum(n, 1)).reshape(2, GATES)
+    own, pair = np.clip(0.4 * rate[0], 0.01, 0.4), np.clip(0.5 * rate[1], 0.01, 0.5)
+    rest = 1 - own - pair
+    bits = 0.25 * rest if training else rest
+    return np.stack([bits, rest - bits, own, pair], 1)
+
+
+def _fit(vocabulary: DataFrame, habits: tuple[np.ndarray, np.ndarray], by_state: np.ndarray, types: int) -> Model:
+    """Online fits on all training words, merged over partitions after each round."""
+    counts = _gathered(vocabulary.mapInArrow(_tables, "part int, data binary"))
+    mixer = Mixer(len(PLACES) + 1, BIT_GATES)
+    for _ in range(ROUNDS):
+        mixer.merge(*_summed(vocabulary.mapInArrow(_learned(counts, mixer.w), _SUMS), mixer.w.size + mixer.map.size))
     mixer.settle()
-    speller.settle()
-    # a share of the own words' expert that loses little where it is wrong: its hit rate, damped
-    rate = sums[size:] / np.maximum(n[size:], 1)
-    share = np.clip(0.5 * rate**2, 0.005, 0.9) if n[size:].any() else np.full(GATES, 0.05)
-    return Model(tables, mixer, np.stack([log_odds(*at_nodes(c)) for c in letters]), speller, share, total, kinds, discount)
-
-
-def _runs(piece: np.ndarray, most: int = 250):
-    """Ranges of tokens of at most `most` pieces."""
-    if not len(piece):
-        return
-    first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-    edge = np.append(first[::most], len(piece))
-    yield from zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
-
-
-_USED = "chunk int, kind int, h long, c long, lp double, doc_id long, text string"
+    places = slice(int(_FIRST[PREFIX]), int(_FIRST[PREFIX + 1]))
+    shares = first_shares(habits[0][KINDS * KINDS :], habits[1][KINDS * KINDS :], by_state.sum() > 0)
+    return Model(log_odds(*counts).astype(np.float32), level(counts[:, places].sum(0)), mixer, shares, by_state, types)
 
 
 def _looked_up(model: Model):
-    """For every chunk that uses a word: its training count and log10 probability inside its class."""
+    """For every word and state in use: the word's training count, its probability by bits (as log10) and its share."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 4_000):
-                part = batch.slice(a, 4_000)
-                c, kind = part.column("c").to_numpy(), part.column("kind").to_numpy().astype(np.int64)
-                lp = np.zeros(len(c))
-                old, new = np.flatnonzero(c > 0), np.flatnonzero(c == 0)
-                lp[old] = model.inside(c[old], kind[old])
-                if len(new):
-                    lp[new] = model.spell(part.column("word").take(pa.array(new)).to_pylist(), kind[new])
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("c"), pa.array(lp), part.column("chunks")], names=["h", "c", "lp", "chunks"])
+            h = batch.column("h").to_numpy()
+            for bits, row, state, train, total in _spelled_batches(batch, True):
+                share = model.share(state, train, total[row]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[row] << 4 | state), pa.array(total[row]), pa.array(model.spell(bits, len(row)).astype(np.float32)), pa.array(share)], names=["k", "c", "lp", "share"])
 
     return run
 
 
+def expert_mix(p: np.ndarray, gate: np.ndarray, piece: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """log10 of the experts' mix (p: tokens x experts), all pieces side by side; each moves its own copy of the weights after each token."""
+    first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+    length = np.diff(np.append(first, len(piece)))
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    w = np.repeat(shares[None], len(first), 0)
+    out = np.empty(len(p))
+    on = len(first)
+    for t in range(int(length[0]) if len(length) else 0):
+        while length[on - 1] <= t:
+            on -= 1
+        at = first[:on] + t
+        rows, g = np.arange(on), gate[at]
+        own = w[rows, g]
+        parts = own * p[at]
+        total = parts.sum(1)
+        out[at] = total
+        own += RATE * (parts / total[:, None] - own)
+        w[rows, g] = own
+    return np.log10(out)
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _scored(model: Model, n: int, v: int):
+def _scored(model: Model, groups: np.ndarray):
     """Sorted rows of each chunk: first its words, then its documents, which are scored."""
 
     def run(batches):
@@ -577,7 +590,8 @@ def _scored(model: Model, n: int, v: int):
         powers = Powers()
         words: list[tuple] = []
         chunk, table = None, None
-        floor = n + 0.1 * (v + 1)
+        n = model.tokens
+        floor = n + 0.1 * (model.types + 1)
         for batch in batches:
             chunks, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
             cut = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(kind) != 0)) + 1
@@ -586,29 +600,25 @@ def _scored(model: Model, n: int, v: int):
                 if chunks[a] != chunk:
                     chunk, words, table = chunks[a], [], None
                 if kind[a] == 0:
-                    words.append(tuple(part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("h", "c", "lp")))
+                    words.append(tuple(part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("k", "c", "lp", "share")))
                     continue
                 if table is None:
                     table = tuple(np.concatenate(x) for x in zip(*words, strict=True))
                     words = []
                 for lo, hi in _groups(part):
                     texts = _texts(part, lo, hi)
-                    h, k, doc = with_ends(tokens(texts, powers), len(texts))
-                    at = np.searchsorted(table[0], h)
+                    t = tokens(texts, powers)
+                    at = np.searchsorted(table[0], keys(t, groups))
                     c = table[1][at]
-                    piece = _pieces(doc)
-                    lp = np.empty(len(h))
-                    for x, y in _runs(piece):
-                        g = model.classes(k[x:y], piece[x:y]) + table[2][at[x:y]]
-                        own, gate = own_words(h[x:y], piece[x:y])
-                        s = model.share[gate] * (np.arange(x, y) != np.searchsorted(piece, piece[x:y]))
-                        lp[x:y] = np.log10((1 - s) * 10**g + s * own)
+                    piece = _runs_of_pieces(t.doc)
+                    own, pair, gate = own_shares(t.hash, piece)
+                    lp = expert_mix(np.stack([10.0 ** table[2][at].astype(float), table[3][at], own, pair], 1), gate, piece, model.shares)
                     m = len(texts)
-                    many = lambda w=None: np.bincount(doc, w, minlength=m)  # noqa: B023, E731
+                    many = lambda w=None: np.bincount(t.doc, w, minlength=m)  # noqa: B023, E731
                     score = many(lp)
                     ids = part.column("doc_id").slice(lo, hi - lo)
                     held = [d.is_valid and zlib.crc32(str(d.as_py()).encode()) % 10 == 0 for d in ids]
-                    size = np.array([max(len(t), 1) for t in texts])
+                    size = np.array([max(len(x), 1) for x in texts])
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array(held), pa.array(many().astype(np.int64)), pa.array(many(c > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(many(np.log10((c + 0.1) / floor))), pa.array(score), pa.array(-score * math.log2(10) / size)],
                         names=[x.split()[0] for x in _SCORED.split(", ")],
@@ -625,18 +635,21 @@ def score(docs: DataFrame) -> DataFrame:
     """_SCORED for each document: learned from those that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = saved(rows.withColumn("training", ~held_out(F.col("doc_id"))).withColumn("chunk", F.spark_partition_id()), "chunks")
-    counted = saved(base.mapInArrow(_counted, _WORDS), "counted")
-    words = counted.where("slot is null").groupBy("h").agg(F.first("word").alias("word"), F.first("kind").alias("kind"), F.sum("train").alias("c"), F.collect_set("chunk").alias("chunks"))
-    vocabulary = saved(words, "vocabulary")
-    known = vocabulary.where("c > 0")
-    stats = [tuple(r) for r in known.groupBy("kind").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int"))).collect()]
-    n, v = int(sum(r[1] for r in stats)), int(sum(r[2] for r in stats))
-    contexts = _gathered(counted.where("slot is not null").select("slot", "n"), _TABLES, _CONTEXTS)
-    discard(counted)
-    letters = _gathered(known.select("word", "kind").mapInArrow(_letters, "slot int, n long"), _LETTERS, _SPELL_CONTEXTS)
-    model = _fit(base.where("training"), known, contexts, letters, stats)
-    used = vocabulary.mapInArrow(_looked_up(model), "h long, c long, lp double, chunks array<int>").select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = base.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), "doc_id", "text")
+    habits = _summed(base.where("training").select("text").mapInArrow(_habits, _SUMS), KINDS * KINDS + 2 * GATES)
+    groups = grouped(habits[0][: KINDS * KINDS].reshape(KINDS, KINDS))
+    counted = saved(base.select("text", "training", "chunk").mapInArrow(_counted(groups), _WORDS), "counted")
+    state = F.col("k").bitwiseAND(15)
+    sums = [F.sum(F.when(state == s, F.col("train")).otherwise(0)).alias(f"t{s}") for s in range(STATES)]
+    used = F.expr("bit_or(shiftleft(1, cast(k & 15 as int)))").alias("used")
+    vocabulary = saved(counted.groupBy(F.shiftright("k", 4).alias("h")).agg(F.first("word").alias("word"), *sums, used), "vocabulary")
+    known = vocabulary.where(" + ".join(f"t{s}" for s in range(STATES)) + " > 0")
+    *by_state, v = known.agg(*[F.coalesce(F.sum(f"t{s}"), F.lit(0)) for s in range(STATES)], F.count("*")).first()
+    model = _fit(known, habits, np.array(by_state, float), int(v))
+    told = vocabulary.mapInArrow(_looked_up(model), "k long, c long, lp float, share float")
+    here = counted.select("k", "chunk").join(told.hint("shuffle_hash"), "k")
+    none = lambda kind: F.lit(None).cast(kind)
+    words = here.select("chunk", F.lit(0).alias("kind"), "k", "c", "lp", "share", none("long").alias("doc_id"), none("string").alias("text"))
+    texts = base.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"), none("long").alias("c"), none("float").alias("lp"), none("float").alias("share"), "doc_id", "text")
     chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
-    both = used.unionAll(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind", "h")
-    return both.mapInArrow(_scored(model, n, v), _SCORED)
+    both = words.unionAll(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind", "k")
+    return both.mapInArrow(_scored(model, groups), _SCORED)

@@ -1,10 +1,13 @@
-"""What the language model's mixers learn from: every training document and word, and a text itself while it is scored."""
+"""The language model against plain loops: bits, mixing, states, and what the fits learn from."""
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from brightloom.llm import lmscore
+from brightloom.llm.common import Powers
 
 
 def test_every_training_document_and_word_is_learned(spark, monkeypatch):
@@ -14,25 +17,138 @@ def test_every_training_document_and_word_is_learned(spark, monkeypatch):
     seen, summed = [], lmscore._summed
     monkeypatch.setattr(lmscore, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
     lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    words = {w for t in training for w in t.split()} | {"\n"}
-    assert len(seen) == 2 * lmscore.ROUNDS
-    for k, (_, n) in enumerate(seen):  # the counts of the first input's weights
-        assert n[:32].sum() == (8 * sum(len(w) + 1 for w in words) if k % 2 else 8 * 4 * len(training))
+    assert len(seen) == 1 + lmscore.ROUNDS
+    # tokens by gate; then bits by gate, as many as their words occur
+    assert seen[0][1][lmscore.KINDS**2 :][: lmscore.GATES].sum() == 4 * len(training)
+    for _, n in seen[1:]:
+        assert n[: lmscore.BIT_GATES].sum() == 8 * sum(len(w) + 1 for t in training for w in [*t.split(), "\n"])
 
 
-def test_weights_move_while_a_text_is_scored():
-    r = np.random.default_rng(0)
-    counts = r.integers(0, 9, (lmscore._TABLES, 256, 256))
-    tables = np.stack([lmscore.log_odds(*lmscore.at_nodes(c)) for c in counts])
-    mixer = lmscore.Mixer(lmscore._TABLES + 2, 32)
+def made_model(r):
+    counts = r.integers(0, 40, (2, int(lmscore._FIRST[-1]))).astype(np.float32)
+    mixer = lmscore.Mixer(len(lmscore.PLACES) + 1, lmscore.BIT_GATES)
+    mixer.w = r.uniform(-0.3, 0.6, mixer.w.shape).astype(np.float32)
+    mixer.n, mixer.ones = r.integers(0, 3000, mixer.n.shape).astype(float), r.integers(0, 1000, mixer.n.shape).astype(float)
+    mixer.ones = np.minimum(mixer.ones, mixer.n)
     mixer.settle()
-    length = [300, 5, 130]
-    kind, piece = r.integers(0, 256, sum(length)) % 3, np.repeat([0, 1, 2], length)
-    x, gate, bit = lmscore.class_inputs(kind, piece, tables)
-    got, still = mixer.adapted(x, gate, bit, piece), mixer.scores(x, gate, bit).reshape(-1, 8).sum(1)
-    place = np.concatenate([np.arange(n) for n in length])
-    assert np.allclose(got[place < lmscore.BLOCK], still[place < lmscore.BLOCK], atol=1e-4)
-    assert got[place >= lmscore.BLOCK].sum() > still[place >= lmscore.BLOCK].sum() + 1
+    places = slice(int(lmscore._FIRST[lmscore.PREFIX]), int(lmscore._FIRST[lmscore.PREFIX + 1]))
+    return lmscore.Model(lmscore.log_odds(*counts), lmscore.level(counts[:, places].sum(0)), mixer, None, np.ones(9), 1), counts
+
+
+def test_bits_against_plain_loops():
+    """The same coder, one bit at a time: gate, log-odds, weights, map."""
+    r = np.random.default_rng(1)
+    model, counts = made_model(r)
+    words, state = [b"the", b"a", "straße".encode(), b"\n", b"x" * 40], np.array([0, 3, 1, 8, 2])
+    bits = lmscore.spelled(words, state)
+    want, at = [], 0
+    m = model.mixer
+    for w in words:
+        total = 0.0
+        for place, byte in enumerate(w + b" "):
+            for d in range(8):
+                bit = byte >> (7 - d) & 1
+                assert bits.bit[at] == bit
+                x = [math.log((counts[1][a[at]] + 0.4) / (counts[0][a[at]] + 0.4)) for a in bits.at] + [0.3]
+                seen = counts[0][bits.at[lmscore.PREFIX][at]] + counts[1][bits.at[lmscore.PREFIX][at]]
+                gate = (place > 0) * 8 + d + 16 * sum(seen >= v for v in lmscore.LEVELS)
+                z = min(max(sum(a * b for a, b in zip(x, m.w[:, gate].tolist(), strict=True)), -8), 7.999)
+                z = (math.floor((z + 8) * m.FINE / 16) + 0.5) * 16 / m.FINE - 8
+                low = math.floor((z + 8) * m.BINS / 16)
+                part = (z + 8) * m.BINS / 16 - low
+                p = (1 / (1 + math.exp(-z)) + m.map[gate, low] * (1 - part) + m.map[gate, low + 1] * part) / 2
+                p = min(max(p, 1 / 65536), 1 - 1 / 65536)
+                total += math.log10(p if bit else 1 - p)
+                at += 1
+        want.append(total)
+    assert at == len(bits.bit)
+    # a rounding at the edge of a bin moves a bit by a bin's width at most
+    assert np.allclose(model.spell(bits, len(words)), want, atol=0.02)
+
+
+def test_codes_are_probabilities():
+    """After any word so far, the chances of all next bytes add up to one."""
+    model, _ = made_model(np.random.default_rng(2))
+    head = b"wo"
+    bits = lmscore.spelled([head + bytes([b]) for b in range(256)], np.full(256, 4))
+    x = [model.odds[at] for at in bits.at]
+    gate = bits.gate + model.seen[bits.at[lmscore.PREFIX] - int(lmscore._FIRST[lmscore.PREFIX])]
+    each = model.mixer.scores(lmscore.with_bias(x), gate, bits.bit).reshape(256, 4, 8).sum(2, dtype=float)
+    assert math.isclose((10 ** each[:, len(head)]).sum(), 1, rel_tol=1e-4)
+
+
+def test_places_depend_on_what_precedes_only():
+    one, two = (lmscore.spelled([w], np.array([3])) for w in (b"prefix", b"prefer"))
+    for a, b in zip(one.at, two.at, strict=True):
+        assert np.array_equal(a[:36], b[:36])
+    other = lmscore.spelled([b"prefix"], np.array([4]))
+    assert [np.array_equal(a, b) for a, b in zip(one.at, other.at, strict=True)] == [True, True, True, False, True, False]
+
+
+@pytest.mark.parametrize("trial", range(5))
+def test_experts_against_plain_loops(trial):
+    r = np.random.default_rng(trial)
+    length = [30, 1, 7, 30]
+    piece, gate = np.repeat(np.arange(4), length), r.integers(0, lmscore.GATES, sum(length))
+    p, shares = r.random((sum(length), 4)), r.dirichlet(np.ones(4), lmscore.GATES)
+    want, w, last = [], None, None
+    for i in range(len(p)):
+        if piece[i] != last:
+            w, last = shares.copy(), piece[i]
+        parts = w[gate[i]] * p[i]
+        want.append(math.log10(parts.sum()))
+        w[gate[i]] += lmscore.RATE * (parts / parts.sum() - w[gate[i]])
+    got = lmscore.expert_mix(p, gate, piece, shares)
+    assert np.allclose(got, want)
     # what comes later, and other texts, change nothing
-    x, gate, bit = lmscore.class_inputs(kind[:200], piece[:200], tables)
-    assert np.array_equal(mixer.adapted(x, gate, bit, piece[:200]), got[:200])
+    assert np.allclose(lmscore.expert_mix(p[:20], gate[:20], piece[:20], shares), got[:20])
+
+
+def test_own_shares_and_states_against_plain_loops():
+    texts = [b"a b a b c a b", b"", b"the x of the x of the", b"longer words only here"]
+    t = lmscore.tokens(texts, Powers())
+    own, pair, _ = lmscore.own_shares(t.hash, lmscore._runs_of_pieces(t.doc))
+    groups = np.random.default_rng(0).integers(1, 9, lmscore.KINDS)
+    state = lmscore.states(t, groups)
+    at = 0
+    for text in texts:
+        words = [*text.split(), "end"]
+        for i, w in enumerate(words):
+            assert own[at] == (words[:i].count(w) / i if i else 0)
+            before = [words[j] for j in range(1, i) if words[j - 1] == words[i - 1]]
+            assert math.isclose(pair[at], before.count(w) / len(before) if before else 0)
+            short = [x for x in words[:i] if len(x) <= lmscore.SHORT]
+            assert state[at] == (groups[next(t.hash[k] for k in range(len(t.hash)) if t.data[t.start[k] : t.start[k] + t.size[k]] == short[-1] and t.size[k]) & 255] if short else 0)
+            at += 1
+    assert at == len(t.hash)
+
+
+def test_weights_learn():
+    """Newton steps find the one input that tells the bits."""
+    r = np.random.default_rng(3)
+    bit = r.integers(0, 2, 40_000).astype(np.uint8)
+    odds = 2.0 * (2 * bit.astype(float) - 1) * np.where(r.random(40_000) < 1 / (1 + math.exp(-2.0)), 1, -1)
+    x = [r.standard_normal(40_000).astype(np.float32), odds.astype(np.float32)]
+    mixer = lmscore.Mixer(2, 3)
+    mixer.learn(x, r.integers(0, 3, 40_000), bit, np.ones(40_000, np.float32), block=1_000)
+    assert np.allclose(mixer.w, [[0.0] * 3, [1.0] * 3], atol=0.1)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    got = lmscore.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "count(*) as n").first()
+    assert got["n"] > 50 and got["s"] > 0.98 * got["b"]
+
+
+def test_scores_of_odd_rows(spark):
+    rows = [(None, "a b a b"), (3, "a b a b"), (3, None), (3, ""), (4, " \t\n"), (5, "x" * 70_000), (6, "w " * 40_000), (7, "A B\na  b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "'x' as word", "2 as chunk")
+    got = lmscore.score(table.unionAll(table)).collect()
+    assert len(got) == 2 * len(rows)
+    by = {}
+    for x in got:
+        by.setdefault((x["n_tokens"], x["n_known"], x["score"], x["base_score"]), []).append(x["doc_id"])
+    assert sorted(map(len, by.values())) == [2, 2, 6, 6]
+    empty = [x for x in got if x["n_tokens"] == 1]
+    assert len(empty) == 6 and all(x["score"] < 0 for x in empty)
+    none = [tuple(x) for x in lmscore.score(spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).collect()]
+    assert none and all(x[1] and x[3] == 0 and x[4] == 0 and math.isfinite(x[6]) for x in none)
