@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, Powers, discard, mixed, saved, utf8, word_hashes
+from .common import _LOWER, _SPACE, Powers, mixed, saved, utf8, word_hashes
 
 PIECE = 1 << 15
 #: Passes over all training words; each starts from the weights merged before.
@@ -55,6 +55,8 @@ PREFIX = 4
 ROW = 1 << 12
 #: Gates of the bits, and of the experts.
 BIT_GATES, GATES = 64, 6
+#: Places of a word in one row of the vocabulary, and entries that a task sorts by chunk at once.
+PLACES_OF_ROW, PACKED_AT_ONCE = 4_096, 1_000_000
 #: Times that training has seen a prefix, as levels that choose weights.
 LEVELS = (1, 4, 32)
 #: How far a text's weights move with each word.
@@ -275,26 +277,28 @@ class Mixer:
         fine = ((self.mixed(x, gate) + 8) * (self.FINE / 16)).astype(np.int32)
         return self.cost[(gate * self.FINE + fine) * 2 + bit]
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, block: int = 1 << 15):
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, block: int = 1 << 17):
         """Block after block: predict, count for the map, then a Newton step of each gate's weights on all curvature so far."""
         gates = self.w.shape[1]
-        x = np.stack(x, 1)
         for a in range(0, len(bit), block):
-            order = np.argsort(gate[a : a + block], kind="stable") + a
-            g, y, c, rows = gate[order], bit[order], weight[order], x[order]
-            z = (rows * self.w.T[g]).sum(1).clip(-8, 7.999)
+            order = np.argsort(gate[a : a + block].astype(np.uint8), kind="stable") + a
+            g, y, c = gate[order], bit[order].astype(np.float32), weight[order]
+            rows = np.stack([v[order] for v in x])
+            many = np.bincount(g, minlength=gates)
+            edge = np.append(0, np.cumsum(many))
+            z = np.einsum("ij,ij->j", rows, np.repeat(self.w, many, axis=1)).clip(-8, 7.999)
             p = squash(z)
-            near = g * (self.BINS + 1) + np.rint((z + 8) * (self.BINS / 16)).astype(np.int32)
+            near = g * (self.BINS + 1) + ((z + 8) * (self.BINS / 16) + 0.5).astype(np.int32)
             self.n += np.bincount(near, c, minlength=self.map.size)
             self.ones += np.bincount(near, c * y, minlength=self.map.size)
             self.seen += np.bincount(g, c, minlength=gates)
-            error, bend = (y - p) * c, np.maximum(p * (1 - p), 0.01) * c
-            edge = np.searchsorted(g, np.arange(gates + 1))
-            slope = np.zeros((gates, x.shape[1]))
-            for k in np.flatnonzero(np.diff(edge)).tolist():
+            error, bend = (y - p) * c, np.maximum(p * (1 - p), np.float32(0.01)) * c
+            slope = np.zeros((gates, len(x)))
+            bent = rows * bend
+            for k in np.flatnonzero(many).tolist():
                 own = slice(edge[k], edge[k + 1])
-                slope[k] = error[own] @ rows[own]
-                self.curve[k] += rows[own].T @ (rows[own] * bend[own, None])
+                slope[k] = rows[:, own] @ error[own]
+                self.curve[k] += rows[:, own] @ bent[:, own].T
             self.w += np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0].T.clip(-0.2, 0.2).astype(np.float32)
 
 
@@ -359,16 +363,16 @@ def _habits(batches):
     yield from _rows(np.append(follows, hits), np.append(follows, n))
 
 
-_WORDS = "k long, word binary, chunk int, train long"
+_PACKED = "bucket int, chunk int, k binary, train binary, size binary, words binary"
 
 
-def _counted(groups: np.ndarray):
-    """Words of each chunk by state, with how often training texts have them."""
+def _counted(groups: np.ndarray, buckets: int):
+    """Words of each chunk by state, with how often training texts have them; one row for each bucket of hashes."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in _WORDS.split(", ")]
+        names = [x.split()[0] for x in _PACKED.split(", ")]
         powers = Powers()
         held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         size, chunk = 0, None
@@ -377,10 +381,15 @@ def _counted(groups: np.ndarray):
             k = np.concatenate([x[0] for x in held])
             words = list(itertools.chain.from_iterable(x[2] for x in held))
             uniq, first, back = np.unique(k, return_index=True, return_inverse=True)
-            train = np.bincount(back, np.concatenate([x[1] for x in held])).astype(np.int64)
-            for a in range(0, len(uniq), 20_000):
-                s = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(uniq[s]), pa.array([words[i] for i in first[s]], pa.binary()), pa.array(np.full(len(uniq[s]), chunk, np.int32)), pa.array(train[s])], names=names)
+            train = np.bincount(back, np.concatenate([x[1] for x in held])).astype("<i8")
+            bucket = (uniq >> 4) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edge = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+            for a, b in itertools.pairwise(edge):
+                own = order[a:b]
+                told = [words[i] for i in first[own].tolist()]
+                row = (int(bucket[own[0]]), chunk, uniq[own].astype("<i8").tobytes(), train[own].tobytes(), np.array([len(w) for w in told], "<i4").tobytes(), b"".join(told))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=names)
             held.clear()
 
         for batch in batches:
@@ -406,42 +415,75 @@ def _counted(groups: np.ndarray):
     return run
 
 
-_VOCABULARY = ", ".join(["h long", "word binary", *(f"t{s} long" for s in range(STATES)), "used int"])
+_VOCABULARY = "h long, word binary, t array<long>, main boolean, places array<long>"
 
 
-def _entries(batch, used: bool):
-    """(words, states, training counts, row of each) of a vocabulary batch, for each state with counts, or in use."""
-    counts = np.stack([batch.column(f"t{s}").to_numpy() for s in range(STATES)], 1)
-    mask = batch.column("used").to_numpy()[:, None] >> np.arange(STATES) & 1 if used else counts > 0
-    row, state = np.nonzero(mask)
-    return row, state, counts[row, state], counts.sum(1)
+def _merged(batches):
+    """One row for each word of a bucket: training counts by state, and the chunks and states that use it, PLACES_OF_ROW to a row."""
+    import pyarrow as pa
 
+    def flush(held: list):
+        k, train, size = (np.concatenate([np.frombuffer(x[j], t) for x in held]) for j, t in ((2, "<i8"), (3, "<i8"), (4, "<i4")))
+        chunk = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[2]) // 8 for x in held])
+        data, at = b"".join(x[5] for x in held), np.cumsum(size) - size
+        order = np.argsort(k, kind="stable")
+        k, train, chunk = k[order], train[order], chunk[order]
+        h = k >> 4
+        fresh = np.flatnonzero(np.diff(h, prepend=h[0] - 1) != 0)
+        row = np.repeat(np.arange(len(fresh)), np.diff(fresh, append=len(h)))
+        counts = np.bincount(row * STATES + (k & 15), train, minlength=len(fresh) * STATES).astype(np.int64).reshape(-1, STATES)
+        # a common word's places take several rows
+        place = np.arange(len(h)) - fresh[row]
+        cut = np.flatnonzero(place % PLACES_OF_ROW == 0)
+        own, first = row[cut], order[cut]
+        for a in range(0, len(cut), 10_000):
+            part = slice(a, a + 10_000)
+            r, edge = own[part], np.append(cut[part], cut[a + 10_000] if a + 10_000 < len(cut) else len(h))
+            words = [data[x : x + n] for x, n in zip(at[first[part]].tolist(), size[first[part]].tolist(), strict=True)]
+            t = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * STATES), pa.array(counts[r].ravel()))
+            places = pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(chunk[edge[0] : edge[-1]] << 4 | k[edge[0] : edge[-1]] & 15))
+            yield pa.RecordBatch.from_arrays([pa.array(h[cut[part]]), pa.array(words, pa.binary()), t, pa.array(place[cut[part]] == 0), places], names=[x.split()[0] for x in _VOCABULARY.split(", ")])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and r[0] != held[0][0]:
+                yield from flush(held)
+                held = []
+            held.append(r)
+    if held:
+        yield from flush(held)
 
-def _spelled_batches(batch, used: bool, bytes_at_once: int = 1 << 15):
-    """Bits of a batch's entries, so many bytes at once: (bits, row, state, counts, all counts of the batch's rows)."""
-    row, state, train, total = _entries(batch, used)
+
+def _spelled_batches(batch, mask: np.ndarray, bytes_at_once: int = 1 << 16):
+    """Bits of the words of a vocabulary batch in the states of the mask, so many bytes at once: (bits, row, state)."""
+    row, state = np.nonzero(mask)
     words = batch.column("word").to_pylist()
     size = np.cumsum([len(words[i]) + 1 for i in row.tolist()])
     a = 0
     while a < len(row):
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + bytes_at_once, side="right")))
-        yield spelled([words[i] for i in row[a:b].tolist()], state[a:b]), row[a:b], state[a:b], train[a:b], total
+        yield spelled([words[i] for i in row[a:b].tolist()], state[a:b]), row[a:b], state[a:b]
         a = b
 
 
+def _training_counts(batch) -> np.ndarray:
+    return batch.column("t").flatten().to_numpy().reshape(-1, STATES)
+
+
 def _tables(batches):
     """Zeros and ones at every place of the contexts, over the partition's words: rows (part, data) of 2 x ROW counts."""
     import pyarrow as pa
 
-    n = np.zeros((2, int(_FIRST[-1])), np.float64)
+    size = int(_FIRST[-1])
+    n = np.zeros(2 * size)
     for batch in batches:
-        for bits, _, _, train, _ in _spelled_batches(batch, False):
-            many = np.repeat(train[bits.word], 8).astype(float)
-            one = bits.bit == 1
+        counts = _training_counts(batch)
+        for bits, row, state in _spelled_batches(batch, counts > 0):
+            many = np.repeat(counts[row, state][bits.word], 8).astype(float)
+            other = bits.bit.astype(np.int64) * size
             for k, at in enumerate(bits.at):
-                lo, hi = int(_FIRST[k]), int(_FIRST[k + 1])
-                for y, on in ((0, ~one), (1, one)):
-                    np.add.at(n[y, lo:hi], at[on] - lo, many[on] if BY_TOKENS[k] else 1.0)
+                np.add.at(n, at + other, many if BY_TOKENS[k] else 1.0)
     parts = n.reshape(2, -1, ROW)
     for p in np.flatnonzero(parts.any((0, 2))):
         yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([parts[:, p].astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
@@ -470,23 +512,31 @@ def _gathered(rows: DataFrame) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def _learned(n: np.ndarray, w: np.ndarray):
+def without_one(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, levels of the prefix) at every place: of all counts, without a zero, without a one."""
+    n0, n1 = counts
+    less = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+    places = slice(int(_FIRST[PREFIX]), int(_FIRST[PREFIX + 1]))
+    return np.concatenate([log_odds(*x) for x in less]).astype(np.float32), np.concatenate([level((a + b)[places]) for a, b in less])
+
+
+def _learned(counts: np.ndarray, w: np.ndarray):
     """The mixer's sums after one online pass over a partition's training words; counts without the word itself stand for words not seen."""
 
     def run(batches):
         mixer = Mixer(*w.shape)
         mixer.w = w.copy()
+        odds, levels = without_one(counts)
+        size, span = len(odds) // 3, len(levels) // 3
         for batch in batches:
-            for bits, _, _, train, _ in _spelled_batches(batch, False):
-                x = []
-                alone = np.repeat((train == 1)[bits.word], 8)
-                for k, at in enumerate(bits.at):
-                    less = 1 if BY_TOKENS[k] else alone
-                    n0, n1 = np.maximum(n[0][at] - less * (bits.bit == 0), 0), np.maximum(n[1][at] - less * (bits.bit == 1), 0)
-                    if k == PREFIX:
-                        gate = bits.gate + level(n0 + n1)
-                    x.append(log_odds(n0, n1).astype(np.float32))
-                mixer.learn(with_bias(x), gate, bits.bit, np.repeat(train[bits.word], 8).astype(np.float32))
+            train = _training_counts(batch)
+            for bits, row, state in _spelled_batches(batch, train > 0):
+                many = train[row, state]
+                less = bits.bit + np.int32(1)
+                alone = np.where(np.repeat((many == 1)[bits.word], 8), less, 0)
+                x = [odds[at + (less if by else alone) * np.int32(size)] for at, by in zip(bits.at, BY_TOKENS, strict=True)]
+                gate = bits.gate + levels[bits.at[PREFIX] - int(_FIRST[PREFIX]) + less * np.int32(span)]
+                mixer.learn(with_bias(x), gate, bits.bit, np.repeat(many[bits.word], 8).astype(np.float32))
         yield from _rows(*mixer.sums())
 
     return run
@@ -538,17 +588,46 @@ def _fit(vocabulary: DataFrame, habits: tuple[np.ndarray, np.ndarray], by_state:
     return Model(log_odds(*counts).astype(np.float32), level(counts[:, places].sum(0)), mixer, shares, by_state, types)
 
 
+#: What a chunk gets of a word and state: training count of the word, probability by bits (as log10), share.
+_USED = np.dtype([("k", "<i8"), ("c", "<i8"), ("lp", "<f4"), ("share", "<f4")])
+
+
 def _looked_up(model: Model):
-    """For every word and state in use: the word's training count, its probability by bits (as log10) and its share."""
+    """The words of each chunk, packed: (chunk, data of _USED). A task sorts so many entries by chunk at once."""
 
     def run(batches):
         import pyarrow as pa
 
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            chunk, used = (np.concatenate([x[j] for x in held]) for j in (0, 1))
+            order = np.argsort(chunk, kind="stable")
+            chunk, used = chunk[order], used[order]
+            edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for i in range(0, len(edge) - 1, 200):
+                some = edge[i : i + 201]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[some[:-1]].astype(np.int32)), pa.array([used[a:b].tobytes() for a, b in itertools.pairwise(some)], pa.binary())], names=["chunk", "data"])
+            held.clear()
+
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            for bits, row, state, train, total in _spelled_batches(batch, True):
-                share = model.share(state, train, total[row]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(h[row] << 4 | state), pa.array(total[row]), pa.array(model.spell(bits, len(row)).astype(np.float32)), pa.array(share)], names=["k", "c", "lp", "share"])
+            counts, places = _training_counts(batch), batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            place = places.flatten().to_numpy()
+            mask = np.zeros((batch.num_rows, STATES), bool)
+            mask[row, place & 15] = True
+            value = np.zeros((batch.num_rows, STATES), np.float32)
+            for bits, r, state in _spelled_batches(batch, mask):
+                value[r, state] = model.spell(bits, len(r))
+            used = np.empty(len(row), _USED)
+            state = place & 15
+            used["k"], used["c"] = batch.column("h").to_numpy()[row] << 4 | state, counts.sum(1)[row]
+            used["lp"], used["share"] = value[row, state], model.share(state, counts[row, state], used["c"])
+            held.append((place >> 4, used))
+            if sum(len(x[0]) for x in held) > PACKED_AT_ONCE:
+                yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
@@ -588,7 +667,7 @@ def _scored(model: Model, groups: np.ndarray):
         import pyarrow as pa
 
         powers = Powers()
-        words: list[tuple] = []
+        words: list[bytes] = []
         chunk, table = None, None
         n = model.tokens
         floor = n + 0.1 * (model.types + 1)
@@ -600,19 +679,20 @@ def _scored(model: Model, groups: np.ndarray):
                 if chunks[a] != chunk:
                     chunk, words, table = chunks[a], [], None
                 if kind[a] == 0:
-                    words.append(tuple(part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("k", "c", "lp", "share")))
+                    words += part.column("data").to_pylist()
                     continue
                 if table is None:
-                    table = tuple(np.concatenate(x) for x in zip(*words, strict=True))
+                    table = np.frombuffer(b"".join(words), _USED)
+                    table = table[np.argsort(table["k"], kind="stable")]
                     words = []
                 for lo, hi in _groups(part):
                     texts = _texts(part, lo, hi)
                     t = tokens(texts, powers)
-                    at = np.searchsorted(table[0], keys(t, groups))
-                    c = table[1][at]
+                    found = table[np.searchsorted(table["k"], keys(t, groups))]
+                    c = found["c"]
                     piece = _runs_of_pieces(t.doc)
                     own, pair, gate = own_shares(t.hash, piece)
-                    lp = expert_mix(np.stack([10.0 ** table[2][at].astype(float), table[3][at], own, pair], 1), gate, piece, model.shares)
+                    lp = expert_mix(np.stack([10.0 ** found["lp"].astype(float), found["share"], own, pair], 1), gate, piece, model.shares)
                     m = len(texts)
                     many = lambda w=None: np.bincount(t.doc, w, minlength=m)  # noqa: B023, E731
                     score = many(lp)
@@ -637,19 +717,14 @@ def score(docs: DataFrame) -> DataFrame:
     base = saved(rows.withColumn("training", ~held_out(F.col("doc_id"))).withColumn("chunk", F.spark_partition_id()), "chunks")
     habits = _summed(base.where("training").select("text").mapInArrow(_habits, _SUMS), KINDS * KINDS + 2 * GATES)
     groups = grouped(habits[0][: KINDS * KINDS].reshape(KINDS, KINDS))
-    counted = saved(base.select("text", "training", "chunk").mapInArrow(_counted(groups), _WORDS), "counted")
-    state = F.col("k").bitwiseAND(15)
-    sums = [F.sum(F.when(state == s, F.col("train")).otherwise(0)).alias(f"t{s}") for s in range(STATES)]
-    used = F.expr("bit_or(shiftleft(1, cast(k & 15 as int)))").alias("used")
-    vocabulary = saved(counted.groupBy(F.shiftright("k", 4).alias("h")).agg(F.first("word").alias("word"), *sums, used), "vocabulary")
-    known = vocabulary.where(" + ".join(f"t{s}" for s in range(STATES)) + " > 0")
-    *by_state, v = known.agg(*[F.coalesce(F.sum(f"t{s}"), F.lit(0)) for s in range(STATES)], F.count("*")).first()
+    chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
+    counted = base.select("text", "training", "chunk").mapInArrow(_counted(groups, chunks), _PACKED)
+    vocabulary = saved(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, _VOCABULARY), "vocabulary")
+    known = vocabulary.where("main and exists(t, n -> n > 0)").select("word", "t")
+    *by_state, v = known.agg(*[F.coalesce(F.sum(F.col("t")[s]), F.lit(0)) for s in range(STATES)], F.count("*")).first()
     model = _fit(known, habits, np.array(by_state, float), int(v))
-    told = vocabulary.mapInArrow(_looked_up(model), "k long, c long, lp float, share float")
-    here = counted.select("k", "chunk").join(told.hint("shuffle_hash"), "k")
     none = lambda kind: F.lit(None).cast(kind)
-    words = here.select("chunk", F.lit(0).alias("kind"), "k", "c", "lp", "share", none("long").alias("doc_id"), none("string").alias("text"))
-    texts = base.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("k"), none("long").alias("c"), none("float").alias("lp"), none("float").alias("share"), "doc_id", "text")
-    chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
-    both = words.unionAll(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind", "k")
+    words = vocabulary.mapInArrow(_looked_up(model), "chunk int, data binary").select("chunk", F.lit(0).alias("kind"), "data", none("long").alias("doc_id"), none("string").alias("text"))
+    texts = base.select("chunk", F.lit(1).alias("kind"), none("binary").alias("data"), "doc_id", "text")
+    both = words.unionAll(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     return both.mapInArrow(_scored(model, groups), _SCORED)
