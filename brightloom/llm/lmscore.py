@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import _LOWER, _SPACE, Powers, mixed, saved, utf8, word_hashes
 
 PIECE = 1 << 15
-#: Passes over all training words; each starts from the weights merged before.
-ROUNDS = 2
+#: Learning passes over all training words; each starts from the weights merged before.
+ROUNDS = 1
 #: Bytes of text after which a task passes on the words it has counted.
 FLUSH = 32 << 20
 #: Short words have so many bytes at most; their hashes make KINDS kinds, those STATES - 1 groups.
@@ -139,16 +139,29 @@ def _runs_of_pieces(doc: np.ndarray) -> np.ndarray:
     return np.cumsum(new | (place % PIECE == 0)) - 1
 
 
-def _before(h: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """How often the piece had the value before."""
-    order = np.lexsort((h, piece))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (piece[order][1:] != piece[order][:-1])])
-    at = np.flatnonzero(new)
+def _before(h: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often the piece had the value before; values of one piece are told apart by 40 scrambled bits and PIECE places."""
     seen = np.empty(len(h), np.int64)
-    seen[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    with np.errstate(over="ignore"):
+        key = mixed(h.astype(np.uint64)) >> np.uint64(24) << np.uint64(15) | place.astype(np.uint64)
+    for a, b in itertools.pairwise([*first.tolist(), len(h)]):
+        own = np.sort(key[a:b])
+        value = own >> np.uint64(15)
+        new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        seen[a + (own & np.uint64(PIECE - 1)).astype(np.int64)] = np.arange(b - a) - np.repeat(new, np.diff(np.append(new, b - a)))
     return seen
 
 
+def distinct(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted values, a place of each, the number of each place's value)."""
+    order = np.argsort(k)
+    value = k[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])[: len(k)]
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return value[new], order[new], back
+
+
 def own_shares(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(share of the piece so far that is this word; share of this word among those that followed the last one so far; gate).
 
@@ -159,11 +172,11 @@ def own_shares(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray
     fresh = np.concatenate([[True], piece[1:] != piece[:-1]])
     first = np.flatnonzero(fresh)
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    seen = _before(h, piece)
+    seen = _before(h, place, first)
     last = np.concatenate([[0], h[:-1]])
     with np.errstate(over="ignore"):
         pair = mixed(last.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h.astype(np.uint64)).astype(np.int64)
-    pairs = np.where(fresh, 0, _before(pair, piece))
+    pairs = np.where(fresh, 0, _before(pair, place, first))
     follows = np.where(fresh, 0, np.concatenate([[0], seen[:-1]]))
     hit = (seen > 0).astype(np.int64) + (pairs > 0)
     gate = np.where(fresh, 0, np.concatenate([[0], hit[:-1]])) * 2 + (place >= 20)
@@ -319,7 +332,7 @@ def _texts(batch, a: int, b: int) -> list[bytes]:
     return [data[at[i] : at[i + 1]].tobytes() for i in range(a, b)]
 
 
-def _groups(batch, bound: int = 1 << 20, most: int = 1_000):
+def _groups(batch, bound: int = 1 << 21, most: int = 1_000):
     """Ranges of rows of bounded bytes, at most `most` rows."""
     _, at = utf8(batch.column("text"))
     a = 0
@@ -380,7 +393,7 @@ def _counted(groups: np.ndarray, buckets: int):
         def flush():
             k = np.concatenate([x[0] for x in held])
             words = list(itertools.chain.from_iterable(x[2] for x in held))
-            uniq, first, back = np.unique(k, return_index=True, return_inverse=True)
+            uniq, first, back = distinct(k)
             train = np.bincount(back, np.concatenate([x[1] for x in held])).astype("<i8")
             bucket = (uniq >> 4) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -405,7 +418,7 @@ def _counted(groups: np.ndarray, buckets: int):
                     texts = [every[i] for i in rows]
                     size += sum(map(len, texts))
                     t = tokens(texts, powers)
-                    uniq, first, back = np.unique(keys(t, groups), return_index=True, return_inverse=True)
+                    uniq, first, back = distinct(keys(t, groups))
                     train = np.bincount(back, training[a:b][rows][t.doc])
                     words = [t.data[x : x + n] if n else b"\n" for x, n in zip(t.start[first].tolist(), t.size[first].tolist(), strict=True)]
                     held.append((uniq, train, words))
@@ -634,25 +647,32 @@ def _looked_up(model: Model):
 
 def expert_mix(p: np.ndarray, gate: np.ndarray, piece: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """log10 of the experts' mix (p: tokens x experts), all pieces side by side; each moves its own copy of the weights after each token."""
+    if not len(p):
+        return np.zeros(0)
     first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
     length = np.diff(np.append(first, len(piece)))
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    w = np.repeat(shares[None], len(first), 0)
+    place = np.arange(len(piece)) - np.repeat(first, length)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(-length, kind="stable")] = np.arange(len(first))
+    rank = np.repeat(rank, length)
+    # step by step, pieces that go on first
+    order = np.argsort(place * len(first) + rank)
+    p, slot = p[order], (rank * len(shares) + gate)[order]
+    edge = np.append(0, np.cumsum(np.bincount(place))).tolist()
+    w = np.tile(shares, (len(first), 1))
+    one, total = np.ones(p.shape[1]), np.empty(len(p))
+    for a, b in itertools.pairwise(edge):
+        own = w.take(slot[a:b], 0)
+        parts = own * p[a:b]
+        sums = parts.dot(one)
+        total[a:b] = sums
+        parts *= (RATE / sums)[:, None]
+        own *= 1 - RATE
+        own += parts
+        w[slot[a:b]] = own
     out = np.empty(len(p))
-    on = len(first)
-    for t in range(int(length[0]) if len(length) else 0):
-        while length[on - 1] <= t:
-            on -= 1
-        at = first[:on] + t
-        rows, g = np.arange(on), gate[at]
-        own = w[rows, g]
-        parts = own * p[at]
-        total = parts.sum(1)
-        out[at] = total
-        own += RATE * (parts / total[:, None] - own)
-        w[rows, g] = own
-    return np.log10(out)
+    out[order] = np.log10(total)
+    return out
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -684,11 +704,13 @@ def _scored(model: Model, groups: np.ndarray):
                 if table is None:
                     table = np.frombuffer(b"".join(words), _USED)
                     table = table[np.argsort(table["k"], kind="stable")]
+                    table_keys = table["k"].copy()
                     words = []
                 for lo, hi in _groups(part):
                     texts = _texts(part, lo, hi)
                     t = tokens(texts, powers)
-                    found = table[np.searchsorted(table["k"], keys(t, groups))]
+                    k, _, back = distinct(keys(t, groups))
+                    found = table[np.searchsorted(table_keys, k)][back]
                     c = found["c"]
                     piece = _runs_of_pieces(t.doc)
                     own, pair, gate = own_shares(t.hash, piece)
