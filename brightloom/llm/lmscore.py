@@ -1,6 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its words, lower-cased in A-Z, and one end. Each word is coded as the bits of its bytes and of a space after them.
+A text is its words, lower-cased in A-Z, and one end. Each word is coded as the bits of its bytes and of a space after them:
+four bits for the 15 most frequent bytes of the training texts, twelve for the others.
 Every bit is predicted by several hashed contexts: the two, three and four bytes before it in the word, all of the word so
 far, and the state of the text with each of them. Their log-odds are combined by weights that a gate selects (which bit, whether
 it is of the first byte, and how often training has seen the word so far); the weights learn online, and an adaptive probability map refines the
@@ -43,7 +44,7 @@ ROUNDS = 1
 FLUSH = 32 << 20
 #: Short words have so many bytes at most; their hashes make KINDS kinds, those STATES - 1 groups.
 SHORT, KINDS, STATES = 3, 256, 9
-#: Contexts of a byte: log2 of their numbers of places. A place holds the 15 nodes of half a byte.
+#: Contexts of a byte: log2 of their numbers of places. A place holds the 15 nodes of four bits.
 PLACES = (12, 14, 15, 12, 15, 15)
 NODES = 16
 _FIRST = np.concatenate([[0], np.cumsum([NODES << b for b in PLACES])])
@@ -54,7 +55,7 @@ PREFIX = 4
 #: Counts that travel in one row.
 ROW = 1 << 12
 #: Gates of the bits, and of the experts.
-BIT_GATES, GATES = 64, 6
+BIT_GATES, GATES = 96, 6
 #: Places of a word in one row of the vocabulary, and entries that a task sorts by chunk at once.
 PLACES_OF_ROW, PACKED_AT_ONCE = 4_096, 1_000_000
 #: Times that training has seen a prefix, as levels that choose weights.
@@ -188,7 +189,7 @@ def own_shares(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Bits:
-    """The bits of spelled words: place of each context's count, gate without knowledge, bit and word of each."""
+    """The bits of spelled words, in fours: place of each context's count, gate without knowledge, the bits; the word of each four."""
 
     at: list[np.ndarray]
     gate: np.ndarray
@@ -197,40 +198,54 @@ class Bits:
 
 
 _DEPTH = np.arange(4)
+#: What stands before the bits of a byte that isn't among the frequent ones.
+OTHER = 15
 
 
-def spelled(words: list[bytes], state: np.ndarray) -> Bits:
-    """Words of a state, each with a space after it, bit by bit."""
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The code of each byte: 0 to 14 for the most frequent ones, else OTHER."""
+    out = np.full(256, OTHER, np.uint8)
+    out[np.argsort(-counts, kind="stable")[:OTHER]] = np.arange(OTHER)
+    return out
+
+
+def spelled(words: list[bytes], state: np.ndarray, code: np.ndarray) -> Bits:
+    """Words of a state, each with a space after it, four bits after four bits."""
     length = np.array([len(w) + 1 for w in words], np.int64)
     data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     word = np.repeat(np.arange(len(words)), length)
     first = (np.cumsum(length) - length)[word]
     place = np.arange(len(data)) - first
-    near = place[:, None] > _DEPTH
-    back = np.zeros((len(data), 4), np.uint64)
+    back = np.zeros((4, len(data)), np.uint64)
     for k in range(4):
-        back[k + 1 :, k] = data[: -k - 1]
-    back *= near
+        back[k, k + 1 :] = data[: -k - 1]
+        back[k] *= place > k
+    # fours: one for a frequent byte, else OTHER, the high and the low half
+    rank = code[data]
+    many = np.where(rank == OTHER, 3, 1)
+    byte = np.repeat(np.arange(len(data)), many)
+    part = np.arange(len(byte)) - np.repeat(np.cumsum(many) - many, many)
+    high = data[byte] >> 4
+    four = np.where(part == 0, rank[byte], np.where(part == 1, high, data[byte] & 15))
     odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        two = back[:, 0] | back[:, 1] << np.uint64(8)
-        three, four = two | back[:, 2] << np.uint64(16), two | back[:, 2] << np.uint64(16) | back[:, 3] << np.uint64(24)
+        two = back[0] | back[1] << np.uint64(8)
+        three = two | back[2] << np.uint64(16)
         up, down = _POWERS.upto(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
         prefix = (total[:-1] - total[first]) * down[first] + place.astype(np.uint64)
         own = (state[word].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        contexts = [two, three, four, own + two, prefix, own + prefix]
-        high = (data >> 4).astype(np.uint64)
+        contexts = [two, three, three | back[3] << np.uint64(24), own + two, prefix, own + prefix]
+        turn = (part + np.where(part == 2, high, 0)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        node = (1 << _DEPTH | four[:, None] >> (4 - _DEPTH)).astype(np.int32)
         at = []
-        nodes = np.stack([1 << _DEPTH | (data[:, None] >> 4) >> (4 - _DEPTH), 1 << _DEPTH | (data[:, None] & 15) >> (4 - _DEPTH)], 1).astype(np.int32)
         for k, c in enumerate(contexts):
-            shift = np.uint64(64 - PLACES[k])
-            bases = np.stack([mixed(c * odd + np.uint64(k)) >> shift, mixed((c * odd + np.uint64(k)) ^ (high + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) >> shift], 1).astype(np.int32)
-            at.append((bases[:, :, None] * np.int32(NODES) + nodes + np.int32(_FIRST[k])).ravel())
-    bit = (data[:, None] >> np.arange(7, -1, -1) & 1).astype(np.uint8)
-    gate = ((place > 0)[:, None] * 8 + np.arange(8)).astype(np.int32)
-    return Bits(at, gate.ravel(), bit.ravel(), word)
+            base = (mixed((c * odd + np.uint64(k))[byte] ^ turn) >> np.uint64(64 - PLACES[k])).astype(np.int32)
+            at.append(((base * np.int32(NODES) + np.int32(_FIRST[k]))[:, None] + node).ravel())
+    bit = (four[:, None] >> (3 - _DEPTH) & 1).astype(np.uint8)
+    gate = (((place[byte] > 0) * 3 + part)[:, None] * 4 + _DEPTH).astype(np.int32)
+    return Bits(at, gate.ravel(), bit.ravel(), word[byte])
 
 
 _POWERS = Powers()
@@ -317,7 +332,7 @@ class Mixer:
 
 def level(n: np.ndarray) -> np.ndarray:
     """The part of a gate that says how often a prefix was seen."""
-    return 16 * np.searchsorted(LEVELS, n, side="right").astype(np.int32)
+    return 24 * np.searchsorted(LEVELS, n, side="right").astype(np.int32)
 
 
 def with_bias(x: list[np.ndarray]) -> list[np.ndarray]:
@@ -361,9 +376,9 @@ def _summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _habits(batches):
-    """How often kinds of short words follow each other, then how often tokens, and pairs of tokens, had been in their text before, by gate."""
+    """How often kinds of short words follow each other, how often tokens, and pairs of tokens, had been in their text before, by gate; then bytes."""
     powers = Powers()
-    follows, hits, n = np.zeros(KINDS * KINDS), np.zeros(2 * GATES), np.zeros(2 * GATES)
+    follows, hits, n, used = np.zeros(KINDS * KINDS), np.zeros(2 * GATES), np.zeros(2 * GATES), np.zeros(256)
     for batch in batches:
         for a, b in _groups(batch):
             t = tokens(_texts(batch, a, b), powers)
@@ -373,7 +388,8 @@ def _habits(batches):
             own, pair, gate = own_shares(t.hash, _runs_of_pieces(t.doc))
             hits += np.append(np.bincount(gate, own > 0, minlength=GATES), np.bincount(gate, pair > 0, minlength=GATES))
             n += np.tile(np.bincount(gate, minlength=GATES), 2)
-    yield from _rows(np.append(follows, hits), np.append(follows, n))
+            used += np.bincount(np.frombuffer(t.data, np.uint8), minlength=256)
+    yield from _rows(np.concatenate([follows, hits, used]), np.concatenate([follows, n, used]))
 
 
 _PACKED = "bucket int, chunk int, k binary, train binary, size binary, words binary"
@@ -468,7 +484,7 @@ def _merged(batches):
         yield from flush(held)
 
 
-def _spelled_batches(batch, mask: np.ndarray, bytes_at_once: int = 1 << 16):
+def _spelled_batches(batch, mask: np.ndarray, code: np.ndarray, bytes_at_once: int = 1 << 16):
     """Bits of the words of a vocabulary batch in the states of the mask, so many bytes at once: (bits, row, state)."""
     row, state = np.nonzero(mask)
     words = batch.column("word").to_pylist()
@@ -476,7 +492,7 @@ def _spelled_batches(batch, mask: np.ndarray, bytes_at_once: int = 1 << 16):
     a = 0
     while a < len(row):
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + bytes_at_once, side="right")))
-        yield spelled([words[i] for i in row[a:b].tolist()], state[a:b]), row[a:b], state[a:b]
+        yield spelled([words[i] for i in row[a:b].tolist()], state[a:b], code), row[a:b], state[a:b]
         a = b
 
 
@@ -484,22 +500,26 @@ def _training_counts(batch) -> np.ndarray:
     return batch.column("t").flatten().to_numpy().reshape(-1, STATES)
 
 
-def _tables(batches):
+def _tables(code: np.ndarray):
     """Zeros and ones at every place of the contexts, over the partition's words: rows (part, data) of 2 x ROW counts."""
-    import pyarrow as pa
 
-    size = int(_FIRST[-1])
-    n = np.zeros(2 * size)
-    for batch in batches:
-        counts = _training_counts(batch)
-        for bits, row, state in _spelled_batches(batch, counts > 0):
-            many = np.repeat(counts[row, state][bits.word], 8).astype(float)
-            other = bits.bit.astype(np.int64) * size
-            for k, at in enumerate(bits.at):
-                np.add.at(n, at + other, many if BY_TOKENS[k] else 1.0)
-    parts = n.reshape(2, -1, ROW)
-    for p in np.flatnonzero(parts.any((0, 2))):
-        yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([parts[:, p].astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
+    def run(batches):
+        import pyarrow as pa
+
+        size = int(_FIRST[-1])
+        n = np.zeros(2 * size)
+        for batch in batches:
+            counts = _training_counts(batch)
+            for bits, row, state in _spelled_batches(batch, counts > 0, code):
+                many = np.repeat(counts[row, state][bits.word], 4).astype(float)
+                other = bits.bit * np.int32(size)
+                for k, at in enumerate(bits.at):
+                    np.add.at(n, at + other, many if BY_TOKENS[k] else 1.0)
+        parts = n.reshape(2, -1, ROW)
+        for p in np.flatnonzero(parts.any((0, 2))):
+            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([parts[:, p].astype("<f4").tobytes()], pa.binary())], names=["part", "data"])
+
+    return run
 
 
 def _added(batches):
@@ -533,7 +553,7 @@ def without_one(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([log_odds(*x) for x in less]).astype(np.float32), np.concatenate([level((a + b)[places]) for a, b in less])
 
 
-def _learned(counts: np.ndarray, w: np.ndarray):
+def _learned(counts: np.ndarray, w: np.ndarray, code: np.ndarray):
     """The mixer's sums after one online pass over a partition's training words; counts without the word itself stand for words not seen."""
 
     def run(batches):
@@ -543,13 +563,13 @@ def _learned(counts: np.ndarray, w: np.ndarray):
         size, span = len(odds) // 3, len(levels) // 3
         for batch in batches:
             train = _training_counts(batch)
-            for bits, row, state in _spelled_batches(batch, train > 0):
+            for bits, row, state in _spelled_batches(batch, train > 0, code):
                 many = train[row, state]
                 less = bits.bit + np.int32(1)
-                alone = np.where(np.repeat((many == 1)[bits.word], 8), less, 0)
+                alone = np.where(np.repeat((many == 1)[bits.word], 4), less, 0)
                 x = [odds[at + (less if by else alone) * np.int32(size)] for at, by in zip(bits.at, BY_TOKENS, strict=True)]
                 gate = bits.gate + levels[bits.at[PREFIX] - int(_FIRST[PREFIX]) + less * np.int32(span)]
-                mixer.learn(with_bias(x), gate, bits.bit, np.repeat(many[bits.word], 8).astype(np.float32))
+                mixer.learn(with_bias(x), gate, bits.bit, np.repeat(many[bits.word], 4).astype(np.float32))
         yield from _rows(*mixer.sums())
 
     return run
@@ -557,6 +577,7 @@ def _learned(counts: np.ndarray, w: np.ndarray):
 
 @dataclass
 class Model:
+    code: np.ndarray  # of each byte
     odds: np.ndarray  # log-odds at every place
     seen: np.ndarray  # level of each place of PREFIX
     mixer: Mixer
@@ -576,7 +597,7 @@ class Model:
         """log10 probability of each word."""
         x = [self.odds[at] for at in bits.at]
         gate = bits.gate + self.seen[bits.at[PREFIX] - int(_FIRST[PREFIX])]
-        each = self.mixer.scores(with_bias(x), gate, bits.bit).reshape(-1, 8).sum(1, dtype=np.float64)
+        each = self.mixer.scores(with_bias(x), gate, bits.bit).reshape(-1, 4).sum(1, dtype=np.float64)
         return np.bincount(bits.word, each, minlength=words)
 
 
@@ -591,14 +612,16 @@ def first_shares(hits: np.ndarray, n: np.ndarray, training: bool) -> np.ndarray:
 
 def _fit(vocabulary: DataFrame, habits: tuple[np.ndarray, np.ndarray], by_state: np.ndarray, types: int) -> Model:
     """Online fits on all training words, merged over partitions after each round."""
-    counts = _gathered(vocabulary.mapInArrow(_tables, "part int, data binary"))
+    start, used = habits[0][KINDS * KINDS : -256], habits[0][-256:]
+    code = ranks(used)
+    counts = _gathered(vocabulary.mapInArrow(_tables(code), "part int, data binary"))
     mixer = Mixer(len(PLACES) + 1, BIT_GATES)
     for _ in range(ROUNDS):
-        mixer.merge(*_summed(vocabulary.mapInArrow(_learned(counts, mixer.w), _SUMS), mixer.w.size + mixer.map.size))
+        mixer.merge(*_summed(vocabulary.mapInArrow(_learned(counts, mixer.w, code), _SUMS), mixer.w.size + mixer.map.size))
     mixer.settle()
     places = slice(int(_FIRST[PREFIX]), int(_FIRST[PREFIX + 1]))
-    shares = first_shares(habits[0][KINDS * KINDS :], habits[1][KINDS * KINDS :], by_state.sum() > 0)
-    return Model(log_odds(*counts).astype(np.float32), level(counts[:, places].sum(0)), mixer, shares, by_state, types)
+    shares = first_shares(start, habits[1][KINDS * KINDS : -256], by_state.sum() > 0)
+    return Model(code, log_odds(*counts).astype(np.float32), level(counts[:, places].sum(0)), mixer, shares, by_state, types)
 
 
 #: What a chunk gets of a word and state: training count of the word, probability by bits (as log10), share.
@@ -630,7 +653,7 @@ def _looked_up(model: Model):
             mask = np.zeros((batch.num_rows, STATES), bool)
             mask[row, place & 15] = True
             value = np.zeros((batch.num_rows, STATES), np.float32)
-            for bits, r, state in _spelled_batches(batch, mask):
+            for bits, r, state in _spelled_batches(batch, mask, model.code):
                 value[r, state] = model.spell(bits, len(r))
             used = np.empty(len(row), _USED)
             state = place & 15
@@ -737,7 +760,7 @@ def score(docs: DataFrame) -> DataFrame:
     """_SCORED for each document: learned from those that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = saved(rows.withColumn("training", ~held_out(F.col("doc_id"))).withColumn("chunk", F.spark_partition_id()), "chunks")
-    habits = _summed(base.where("training").select("text").mapInArrow(_habits, _SUMS), KINDS * KINDS + 2 * GATES)
+    habits = _summed(base.where("training").select("text").mapInArrow(_habits, _SUMS), KINDS * KINDS + 2 * GATES + 256)
     groups = grouped(habits[0][: KINDS * KINDS].reshape(KINDS, KINDS))
     chunks = (base.agg(F.max("chunk")).first()[0] or 0) + 1
     counted = base.select("text", "training", "chunk").mapInArrow(_counted(groups, chunks), _PACKED)

@@ -18,10 +18,15 @@ def test_every_training_document_and_word_is_learned(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
     lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert len(seen) == 1 + lmscore.ROUNDS
-    # tokens by gate; then bits by gate, as many as their words occur
+    # tokens by gate; then bits by gate, as many as their words occur: four for a frequent byte, else twelve
     assert seen[0][1][lmscore.KINDS**2 :][: lmscore.GATES].sum() == 4 * len(training)
+    code = lmscore.ranks(seen[0][0][-256:])
+    assert (code < lmscore.OTHER).sum() == lmscore.OTHER and code[ord(" ")] < 4
     for _, n in seen[1:]:
-        assert n[: lmscore.BIT_GATES].sum() == 8 * sum(len(w) + 1 for t in training for w in [*t.split(), "\n"])
+        assert n[: lmscore.BIT_GATES].sum() == sum(4 if code[b] < lmscore.OTHER else 12 for t in training for w in [*t.split(), "\n"] for b in w.encode() + b" ")
+
+
+CODE = lmscore.ranks(np.bincount(np.frombuffer(b"  eeetttaaoinshrdlu", np.uint8), minlength=256))
 
 
 def made_model(r):
@@ -32,7 +37,7 @@ def made_model(r):
     mixer.ones = np.minimum(mixer.ones, mixer.n)
     mixer.settle()
     places = slice(int(lmscore._FIRST[lmscore.PREFIX]), int(lmscore._FIRST[lmscore.PREFIX + 1]))
-    return lmscore.Model(lmscore.log_odds(*counts), lmscore.level(counts[:, places].sum(0)), mixer, None, np.ones(9), 1), counts
+    return lmscore.Model(CODE, lmscore.log_odds(*counts), lmscore.level(counts[:, places].sum(0)), mixer, None, np.ones(9), 1), counts
 
 
 def test_bits_against_plain_loops():
@@ -40,18 +45,19 @@ def test_bits_against_plain_loops():
     r = np.random.default_rng(1)
     model, counts = made_model(r)
     words, state = [b"the", b"a", "straße".encode(), b"\n", b"x" * 40], np.array([0, 3, 1, 8, 2])
-    bits = lmscore.spelled(words, state)
+    bits = lmscore.spelled(words, state, CODE)
     want, at = [], 0
     m = model.mixer
     for w in words:
         total = 0.0
         for place, byte in enumerate(w + b" "):
-            for d in range(8):
-                bit = byte >> (7 - d) & 1
+            fours = [CODE[byte]] if CODE[byte] < 15 else [15, byte >> 4, byte & 15]
+            for part, d in [(j, d) for j in range(len(fours)) for d in range(4)]:
+                bit = int(fours[part]) >> (3 - d) & 1
                 assert bits.bit[at] == bit
                 x = [math.log((counts[1][a[at]] + 0.4) / (counts[0][a[at]] + 0.4)) for a in bits.at] + [0.3]
                 seen = counts[0][bits.at[lmscore.PREFIX][at]] + counts[1][bits.at[lmscore.PREFIX][at]]
-                gate = (place > 0) * 8 + d + 16 * sum(seen >= v for v in lmscore.LEVELS)
+                gate = ((place > 0) * 3 + part) * 4 + d + 24 * sum(seen >= v for v in lmscore.LEVELS)
                 z = min(max(sum(a * b for a, b in zip(x, m.w[:, gate].tolist(), strict=True)), -8), 7.999)
                 z = (math.floor((z + 8) * m.FINE / 16) + 0.5) * 16 / m.FINE - 8
                 low = math.floor((z + 8) * m.BINS / 16)
@@ -70,18 +76,26 @@ def test_codes_are_probabilities():
     """After any word so far, the chances of all next bytes add up to one."""
     model, _ = made_model(np.random.default_rng(2))
     head = b"wo"
-    bits = lmscore.spelled([head + bytes([b]) for b in range(256)], np.full(256, 4))
+    words = [head + bytes([b]) for b in range(256)]
+    bits = lmscore.spelled(words, np.full(256, 4), CODE)
     x = [model.odds[at] for at in bits.at]
     gate = bits.gate + model.seen[bits.at[lmscore.PREFIX] - int(lmscore._FIRST[lmscore.PREFIX])]
-    each = model.mixer.scores(lmscore.with_bias(x), gate, bits.bit).reshape(256, 4, 8).sum(2, dtype=float)
-    assert math.isclose((10 ** each[:, len(head)]).sum(), 1, rel_tol=1e-4)
+    each = model.mixer.scores(lmscore.with_bias(x), gate, bits.bit).reshape(-1, 4).sum(1, dtype=float)
+    fours = lambda text: sum(1 if CODE[b] < 15 else 3 for b in text)
+    total, at = 0.0, 0
+    for w in words:
+        total += 10 ** each[at + fours(head) : at + fours(w)].sum()
+        at += fours(w + b" ")
+    # what is missing is the second code that frequent bytes have, and never use
+    assert 0.5 < total <= 1 + 1e-6
 
 
 def test_places_depend_on_what_precedes_only():
-    one, two = (lmscore.spelled([w], np.array([3])) for w in (b"prefix", b"prefer"))
+    one, two = (lmscore.spelled([w], np.array([3]), CODE) for w in (b"prefix", b"prefer"))
+    same = 4 * sum(1 if CODE[b] < 15 else 3 for b in b"pref")
     for a, b in zip(one.at, two.at, strict=True):
-        assert np.array_equal(a[:36], b[:36])
-    other = lmscore.spelled([b"prefix"], np.array([4]))
+        assert np.array_equal(a[: same + 1], b[: same + 1])
+    other = lmscore.spelled([b"prefix"], np.array([4]), CODE)
     assert [np.array_equal(a, b) for a, b in zip(one.at, other.at, strict=True)] == [True, True, True, False, True, False]
 
 
