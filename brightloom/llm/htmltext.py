@@ -28,7 +28,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-UNREAD = ("script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "svg", "math", "canvas", "audio", "video", "textarea", "xmp")
+UNREAD = ("script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "svg", "canvas", "audio", "video", "textarea", "xmp")
+#: Those of them whose text is read if they are never closed.
+OPEN_ENDED = frozenset("noscript object svg canvas audio video".split())
 CLOSES_P = BLOCK - frozenset("body head html legend option optgroup caption dd dt li tbody td tfoot th thead tr title p summary".split()) | {"p", "li", "dd", "dt"}
 SECTIONS = frozenset("article aside body dialog details figure footer form header main nav section table title head".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -61,6 +63,9 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
     while True:
         if unread:
             end = re.compile(rf"</{unread}(?=[\s/>])", re.I).search(page, at)
+            if not end and unread in OPEN_ENDED:
+                unread = None  # read on, as after an element that nothing closes
+                continue
             if not end:
                 break
             at, unread = end.start(), None

@@ -272,7 +272,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Join
 
 
 def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of near copies: its smallest doc_id; of rows that share a doc_id, one."""
+    """docs with one document of each group of near copies: its smallest doc_id; of rows that share a doc_id, that of the least text, then hash."""
     joined = join(docs, words, num, den)
     gone = saved(joined.result().where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(checked(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
@@ -280,8 +280,10 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if twice.isEmpty():
         return kept
     again = checked(twice, BROADCAST_IDS)
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
+    shared = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns)))
+    one = shared.groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one)
 
 
 def _meets(num: int, den: int) -> str:

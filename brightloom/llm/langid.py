@@ -138,8 +138,6 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """Trains on at most per_lang rows of each language of labelled (doc_id, text, lang). Two reads: counts, then the sample."""
-    import pyarrow as pa
-
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -147,12 +145,26 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     key = F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * (per_lang + 20) / n))])
     near = rows.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    found = near.select("lang", "text", key.alias("key")).collect()
+    found = near.select("lang", "text", key.alias("key")).mapInArrow(_packed, "lang string, key long, at binary, v binary").collect()
     kept: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["key"], r["text"])):
-        kept.setdefault(r["lang"], []).append(r["text"])
-    langs = [k for k, v in kept.items() for _ in v[:per_lang]]
-    return LanguageModel.train(langs, vectors(*utf8(pa.array([t for v in kept.values() for t in v[:per_lang]], pa.string()))))
+    for r in sorted(found, key=lambda r: (r["lang"], r["key"], r["at"], r["v"])):
+        kept.setdefault(r["lang"], []).append(r)
+    chosen = [r for v in kept.values() for r in v[:per_lang]]
+    x = np.zeros((len(chosen), 1 << BITS), np.float32)
+    for i, r in enumerate(chosen):
+        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["v"], np.float32)
+    return LanguageModel.train([r["lang"] for r in chosen], x)
+
+
+def _packed(batches):
+    """The vectors of texts without their zeros: bounded by 2 ** BITS numbers, whatever the text's length."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            rows = [(np.flatnonzero(v).astype(np.int32), v) for v in vectors(*utf8(part.column("text")))]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v[i].tobytes() for i, v in rows], pa.binary())], names=["lang", "key", "at", "v"])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

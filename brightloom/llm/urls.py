@@ -98,7 +98,7 @@ def features(host: Column, path: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> DataFrame:
-    """One row: weights array<double> of 2 ** BITS and, last, the bias. labelled: url string, keep int (1 or 0)."""
+    """One row: _weights array<double> of 2 ** BITS and, last, the bias. labelled: url string, keep int (1 or 0)."""
     rows = labelled.where(F.col("keep").isNotNull()).orderBy("url", "keep").limit(MAX_LABELLED)
     x = rows.select(F.struct(features(host_of(F.col("url")), path_of(F.col("url"))).alias("f"), F.col("keep").cast("double").alias("y")).alias("x"))
     zero = F.array_repeat(F.lit(0.0), (1 << BITS) + 1)
@@ -114,7 +114,7 @@ def train(labelled: DataFrame) -> DataFrame:
         return F.zip_with(w, full, lambda a, g: a + F.lit(RATE) * (g / size - F.lit(DECAY) * a))
 
     packed = x.groupBy().agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(EPOCHS)), zero, step).alias("weights"))
+    return packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(EPOCHS)), zero, step).alias("_weights"))
 
 
 def _probability(w: Column, f: Column) -> Column:
@@ -129,7 +129,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFrame:
     """pages with host, path, rule, score (the regression's probability of keeping) and verdict."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
-    kept = pages.drop("host", "path", "rule", "score", "verdict", "weights")
+    kept = pages.drop("host", "path", "rule", "score", "verdict")
     parts = kept.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     host, path = F.col("host"), F.col("path")
     rule = F.coalesce(*[F.when(fits(host, path, r), F.lit(r[1] + r[2])) for r in ordered], F.lit(None).cast("string"))
@@ -138,7 +138,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFr
     return (
         parts.withColumn("rule", rule)
         .join(F.broadcast(model))
-        .withColumn("score", _probability(F.col("weights"), features(host, path)))
+        .withColumn("score", _probability(F.col("_weights"), features(host, path)))
         .withColumn("verdict", F.coalesce(ruled, F.when(F.col("score") >= 0.5, "allow").otherwise("block")))
-        .drop("weights")
+        .drop("_weights")
     )
