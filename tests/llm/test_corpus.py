@@ -539,6 +539,39 @@ def test_pipeline(spark, tmp_path, rows, docs):
     assert all(100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2))
 
 
+def test_pipeline_against_plain_form(spark, rows, docs):
+    """Which documents and texts reach each stage: letters, near groups, repeated bytes and passages, copies of the mix."""
+    from brightloom.llm import stages
+
+    of = dict(stages.STAGES)
+    kept = of["language"](spark, docs, "")
+    texts = {r[0]: r[1] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == texts
+
+    near = of["near_copies"](spark, kept, "")
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = union_find(list(texts), pairs)
+    texts = {i: t for i, t in texts.items() if root[i] == i}
+    assert {r["doc_id"]: r["text"] for r in near.collect()} == texts
+
+    unique = of["repeated_passages"](spark, near, "")
+    left = {i: w[6] for (i, _), w in zip(texts.items(), removed(list(texts.values())), strict=True)}
+    left = {i: t if t != texts[i] else texts[i] for i, t in left.items() if t == texts[i] or re.search(r"[^\x20\x09-\x0D]", t)}
+    assert {r["doc_id"]: r["text"] for r in unique.collect()} == left
+    assert sum(left[i] != texts[i] for i in left) >= 3
+
+    mixture = of["source_mix"](spark, unique, "")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(unique).collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in mixture.collect()) == Counter({(i, left[i]): c for i, c in copies.items() if c})
+
+    out = of["encoded"](spark, mixture, "").collect()
+    encoder = pieces.Encoder(pieces.Vocabulary.load(queries.PIECES))
+    assert Counter(r["doc_id"] for r in out) == Counter({i: c for i, c in copies.items() if c})
+    for r in out:
+        assert encoder.decode(pieces._packed(tuple(r["ids"]))) == left[r["doc_id"]]
+
+
 # comparison SQL ----------------------------------------------------------------------------------------------------
 
 
