@@ -30,8 +30,8 @@ MOST = 3.0
 BUCKET_ROWS = 128
 #: Sources up to which their table is broadcast; above, it is joined with a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Documents up to which their copies are broadcast (16 bytes each).
-BROADCAST_COPIES = 1_000_000
+#: Documents up to which their copies are broadcast (about 100 bytes each).
+BROADCAST_COPIES = 200_000
 NEWTON_STEPS = 60
 #: Values that the second column may have; their system of equations is solved on the driver.
 MOST_VALUES = 1_000
