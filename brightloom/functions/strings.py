@@ -16,7 +16,6 @@ case("fn_string_code", "part", "p_partkey", ("a", "ascii(p_name)"), ("b", "chr(6
 case("fn_string_distance", "part", "p_partkey", ("a", "levenshtein(p_name, p_type)", I("levenshtein(p_name, p_type)")), ("b", "soundex('Robert')", "'R163'"), ("c", "luhn_check('79927398713')", "true"), ("d", "elt(2, p_name, p_type)", "p_type"), covers=fn("levenshtein soundex luhn_check elt"))
 case("fn_string_regex", "part", "p_partkey", ("a", "regexp_extract(p_brand, '([0-9]+)', 1)"), ("b", "regexp_replace(p_name, '[aeiou]', '_')", "regexp_replace(p_name, '[aeiou]', '_', 'g')"), ("c", "regexp_like(p_name, '^[rs]')", "regexp_matches(p_name, '^[rs]')"), ("d", "p_name rlike 'ge'", "regexp_matches(p_name, 'ge')"), ("e", "regexp_count(p_name, '[aeiou]')", I("len(regexp_extract_all(p_name, '[aeiou]'))")), ("f", "array_join(regexp_extract_all(p_name, '([a-z])[aeiou]', 1), '')", "array_to_string(regexp_extract_all(p_name, '([a-z])[aeiou]', 1), '')"), ("g", "regexp_substr(p_brand, '[0-9]+')", "regexp_extract(p_brand, '[0-9]+')"), ("h", "regexp_instr(p_brand, '[0-9]')", "7"), ("i", "p_name regexp 'red'", "regexp_matches(p_name, 'red')"), covers=fn("regexp_extract regexp_replace regexp_like rlike regexp_count regexp_extract_all regexp_substr regexp_instr regexp"))
 case("fn_string_split", "part", "p_partkey", ("a", "size(split(p_name, ' '))", I("len(string_split(p_name, ' '))")), ("b", "split(p_name, ' ')[0]", "string_split(p_name, ' ')[1]"), ("c", "array_join(split(p_name, '[aeiou]'), '|')", "array_to_string(string_split_regex(p_name, '[aeiou]'), '|')"), covers=fn("split"))
-case("fn_string_format", "orders", "o_orderkey", ("a", "format_string('%05d/%s', o_orderkey, o_orderstatus)", "lpad(cast(o_orderkey as varchar), 5, '0') || '/' || o_orderstatus"), ("b", "printf('%s-%s', o_orderstatus, o_orderpriority)", "o_orderstatus || '-' || o_orderpriority"), ("c", "format_number(o_orderkey * 1000 + 1234567, 0)", "format('{:,}', o_orderkey * 1000 + 1234567)"), where="o_orderkey < 3000", covers=fn("format_string printf format_number"))
-case("fn_string_format_whole", "orders", "o_orderkey", ("a", "format_string('%05d/%s', o_orderkey, o_orderstatus)", "lpad(cast(o_orderkey as varchar), cast(greatest(5, length(cast(o_orderkey as varchar))) as int), '0') || '/' || o_orderstatus"), ("b", "printf('%s-%s', o_orderstatus, o_orderpriority)", "o_orderstatus || '-' || o_orderpriority"), ("c", "format_number(o_orderkey * 1000 + 1234567, 0)", "format('{:,}', o_orderkey * 1000 + 1234567)"), covers=fn("format_string printf format_number"))
+case("fn_string_format", "orders", "o_orderkey", ("a", "format_string('%05d/%s', o_orderkey, o_orderstatus)", "lpad(cast(o_orderkey as varchar), cast(greatest(5, length(cast(o_orderkey as varchar))) as int), '0') || '/' || o_orderstatus"), ("b", "printf('%s-%s', o_orderstatus, o_orderpriority)", "o_orderstatus || '-' || o_orderpriority"), ("c", "format_number(o_orderkey * 1000 + 1234567, 0)", "format('{:,}', o_orderkey * 1000 + 1234567)"), covers=fn("format_string printf format_number"))
 case("fn_string_mask_number", "", "", ("a", "mask('AbCD123-@$#')", "'XxXXnnn-@$#'"), ("b", "to_number('$78.12', '$99.99')", "cast(78.12 as decimal(4,2))"), ("c", "to_char(78.12, '$99.99')", "'$78.12'"), ("d", "to_varchar(454, '999')", "'454'"), ("e", "cast(try_to_number('abc', '99') as int)", "cast(null as int)"), ("f", "cast(to_binary('abc', 'utf-8') as string)", "'abc'"), ("g", "try_to_binary('a!', 'base64') is null", "true"), ("h", "collation('x')", "'SYSTEM.BUILTIN.UTF8_BINARY'"), ("i", "'ABC' collate UTF8_LCASE = 'abc'", "true"), covers=fn("mask to_number to_char to_varchar try_to_number to_binary try_to_binary collation collate"))
 case("fn_predicates", "customer", "c_custkey", ("a", "c_name like '%7'"), ("b", "c_mktsegment ilike 'build%'"), ("c", "c_nationkey in (1, 2, 3)"), ("d", "c_acctbal between 0 and 1000"), ("e", "not (c_acctbal > 0)"), ("f", "! (c_custkey = 3)", "not (c_custkey = 3)"), ("g", "c_custkey == 5", "c_custkey = 5"), ("h", "nullif(c_nationkey, 2) is null"), ("i", "isnull(nullif(c_nationkey, 2))", "nullif(c_nationkey, 2) is null"), ("j", "isnotnull(nullif(c_nationkey, 2))", "nullif(c_nationkey, 2) is not null"), ("k", "nullif(c_nationkey, 2) <=> null", "nullif(c_nationkey, 2) is null"), ("l", "isnan(c_acctbal)", "isnan(c_acctbal)"), ("m", "c_acctbal >= 10 and c_acctbal <= 20 or c_custkey < 5"), ("n", "equal_null(nullif(c_nationkey, 2), null)", "nullif(c_nationkey, 2) is null"), covers=fn("like ilike in between not ! == isnull isnotnull <=> isnan and or < <= > >= = equal_null"))

@@ -38,8 +38,8 @@ sql("agg_first_last", "select o_custkey, min_by(o_orderkey, struct(o_totalprice,
     "select o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) as cheapest, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as dearest from orders group by o_custkey", covers="fn.min_by fn.max_by")
 sql("agg_first_any", "select o_orderstatus, first(s) as f, last(s) as l, any_value(s) as a, first_value(s) as fv, last_value(s) as lv from (select o_orderstatus, length(o_orderstatus) as s from orders) t group by o_orderstatus",
     "select o_orderstatus, cast(1 as int) as f, cast(1 as int) as l, cast(1 as int) as a, cast(1 as int) as fv, cast(1 as int) as lv from orders group by o_orderstatus", covers="fn.first fn.last fn.any_value fn.first_value fn.last_value")
-sql("agg_collect", "select o_custkey, array_join(transform(sort_array(collect_list(o_orderkey)), x -> cast(x as string)), ',') as orders_, array_join(sort_array(collect_set(o_orderstatus)), '') as statuses, size(array_agg(o_orderkey)) as n from orders where o_custkey < 300 group by o_custkey",
-    "select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as orders_, array_to_string(list_sort(list(distinct o_orderstatus)), '') as statuses, cast(len(list(o_orderkey)) as int) as n from orders where o_custkey < 300 group by o_custkey", covers="fn.collect_list fn.collect_set fn.array_agg object_hash_aggregate", cut=" where o_custkey < 300")
+sql("agg_collect", "select o_custkey, array_join(transform(sort_array(collect_list(o_orderkey)), x -> cast(x as string)), ',') as orders_, array_join(sort_array(collect_set(o_orderstatus)), '') as statuses, size(array_agg(o_orderkey)) as n from orders group by o_custkey",
+    "select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as orders_, array_to_string(list_sort(list(distinct o_orderstatus)), '') as statuses, cast(len(list(o_orderkey)) as int) as n from orders group by o_custkey", covers="fn.collect_list fn.collect_set fn.array_agg object_hash_aggregate")
 sql("agg_listagg", "select c_nationkey, listagg(distinct c_mktsegment, '|') within group (order by c_mktsegment) as segments from customer group by c_nationkey",
     "select c_nationkey, string_agg(distinct c_mktsegment, '|' order by c_mktsegment) as segments from customer group by c_nationkey", covers="fn.listagg")
 sql("agg_string_agg", "select n_regionkey, string_agg(n_name, ',') within group (order by n_nationkey) as names from nation group by n_regionkey",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..registry import frame, sql
 from ..tables import load
 
-sql("project_expressions", "select o_orderkey, o_totalprice * 2 as twice, o_orderkey + 1 as next_key, upper(o_orderstatus) as status, o_orderpriority as priority from orders where o_orderkey < 500", covers="project", cut=" where o_orderkey < 500")
+sql("project_expressions", "select o_orderkey, o_totalprice * 2 as twice, o_orderkey + 1 as next_key, upper(o_orderstatus) as status, o_orderpriority as priority from orders", covers="project")
 sql("filter_compound", "select c_custkey, c_acctbal from customer where (c_acctbal > 5000 or c_mktsegment = 'BUILDING') and not c_nationkey = 3 and c_name is not null", covers="filter predicate.and predicate.or predicate.not predicate.isnotnull")
+sql("filter_in_set", "select o_orderkey from orders where o_custkey % 40 in (1, 2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37) and o_orderpriority not in ('1-URGENT')", covers="expr.InSet predicate.in")
 sql("sort_nulls_multi", "select c_custkey, nullif(c_nationkey, 3) as nk, cast(row_number() over (order by nullif(c_nationkey, 3) desc nulls first, c_acctbal asc, c_custkey) as int) as place from customer order by nk desc nulls first, c_acctbal asc, c_custkey", covers="sort sort.nulls")
 sql("limit_offset", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25 offset 50", covers="limit.global limit.offset limit.local")
 sql("top_k", "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 50", covers="top_k limit.collect")
@@ -86,3 +87,36 @@ def cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transpose_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = load(spark, sf_dir, "region").select("r_name", "r_regionkey").transpose()
     return wide.select(F.lit("ASIA").alias("key"), F.col("ASIA").cast("int").alias("region"))
+
+
+@frame("sample_replacement", "select true as within, true as repeatable, true as repeated", "sample.replacement")
+def sample_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the rows, drawn with replacement: within four deviations of its expected size, the same with one seed, and some rows twice."""
+    rows = load(spark, sf_dir, "orders").select("o_orderkey")
+    drawn = rows.sample(True, 0.5, seed=5)
+    one = drawn.agg(F.count("*").alias("n"), F.sum(F.hash("*")).alias("h"), F.count_distinct("o_orderkey").alias("d"))
+    two = rows.sample(True, 0.5, seed=5).agg(F.count("*").alias("m"), F.sum(F.hash("*")).alias("g"))
+    both = one.join(two).join(rows.agg(F.count("*").alias("all")))
+    within = F.abs(F.col("n") - 0.5 * F.col("all")) < 4 * F.sqrt(0.5 * F.col("all"))
+    return both.select(within.alias("within"), ((F.col("n") == F.col("m")) & (F.col("h") == F.col("g"))).alias("repeatable"), (F.col("d") < F.col("n")).alias("repeated"))
+
+
+@frame("sample_bounds", "select o_orderkey, 1 as n from orders", "sample.bounds")
+def sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts between bounds of one random draw: each row is in one of them."""
+    parts = load(spark, sf_dir, "orders").select("o_orderkey").randomSplit([0.1, 0.2, 0.3, 0.4], seed=9)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.groupBy("o_orderkey").agg(F.count("*").cast("int").alias("n"))
+
+
+@frame("observe_metrics", "select count(*) as rows, max(o_totalprice) as top, count(distinct o_orderstatus) as statuses from orders", "metrics.observe")
+def observe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and the greatest price, observed while another result is computed; both come from one read."""
+    from pyspark.sql import Observation
+
+    seen = Observation("orders")
+    orders = load(spark, sf_dir, "orders").observe(seen, F.count(F.lit(1)).alias("rows"), F.max("o_totalprice").alias("top"))
+    n = orders.agg(F.count_distinct("o_orderstatus")).first()[0]
+    return spark.createDataFrame([(seen.get["rows"], seen.get["top"], n)], "rows long, top double, statuses long")

@@ -12,8 +12,8 @@ from ..registry import frame
 from ..tables import load
 
 
-@frame("udf_pandas_scalar_whole", "select o_orderkey, o_totalprice * 2 + 1 as v from orders", "udf.pandas udf.arrow_eval")
-def udf_pandas_scalar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@frame("udf_pandas_scalar", "select o_orderkey, o_totalprice * 2 + 1 as v from orders", "udf.pandas udf.arrow_eval")
+def udf_pandas_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def line(x: pd.Series) -> pd.Series:
         return x * 2 + 1
@@ -21,11 +21,6 @@ def udf_pandas_scalar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", line("o_totalprice").alias("v"))
 
 
-@frame("udf_pandas_scalar", "select o_orderkey, o_totalprice * 2 + 1 as v from orders where o_orderkey < 2000", "udf.pandas udf.arrow_eval")
-def udf_pandas_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return udf_pandas_scalar_whole(spark, sf_dir).where("o_orderkey < 2000")
-
-
 @frame("udf_arrow_scalar", "select p_partkey, cast(length(p_name) as bigint) as n from part", "udf.arrow")
 def udf_arrow_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.arrow_udf("long")
@@ -39,7 +34,7 @@ def udf_arrow_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame("udf_python", "select n_nationkey, n_name || '!' as v from nation", "udf.pickled")
 def udf_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shout = F.udf(lambda s: f"{s}!", "string", useArrow=True)
+    shout = F.udf(lambda s: f"{s}!", "string", useArrow=False)
     return load(spark, sf_dir, "nation").select("n_nationkey", shout("n_name").alias("v"))
 
 

@@ -76,3 +76,22 @@ def explain(df: DataFrame, run: bool = False) -> Report:
         out.pushed += re.findall(r"PushedFilters: (\[[^\]]*\])", line)
         out.read += re.findall(r"ReadSchema: (struct<.*?>)(?:$|,)", line)
     return out
+
+
+class PlanError(ValueError):
+    """A plan holds what a strict reading does not allow."""
+
+
+def strict(df: DataFrame, allowed: tuple[str, ...] = (), run: bool = False) -> Report:
+    """The report of df's plan; raises PlanError with the reasons if it names any operator that isn't allowed."""
+    found = explain(df, run)
+    against = [f"{k}: {why}" for k, why in found.reasons if k not in allowed]
+    if against:
+        raise PlanError("; ".join(sorted(set(against))))
+    return found
+
+
+def summary(df: DataFrame) -> dict:
+    """The figures of a report that a bench records."""
+    found = explain(df)
+    return {"shuffles": found.shuffles, "broadcasts": found.broadcasts, "generated": round(found.coverage, 2), "pushed": sum(p != "[]" for p in found.pushed), "notes": sorted({k for k, _ in found.reasons})}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ from ..tables import load
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    """A new path in the shared folder that spark.checkpoint.dir names; a local one only in local mode, where it may be unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="brightloom-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
@@ -120,3 +123,12 @@ def io_insert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "region").select("r_regionkey", "_metadata.file_name")
     return rows.agg(F.bool_and(F.col("file_name").endswith(".parquet")).alias("named"), F.count("*").alias("n"))
+
+
+@frame("io_partition_empty", "select n_nationkey, case when n_regionkey > 1 then n_name end as part from nation", "expr.Empty2Null write.partitioned")
+def io_partition_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty strings and nulls in the column that partitions a table: both come back as null."""
+    path = scratch(spark)
+    name = F.when(F.col("n_regionkey") > 1, F.col("n_name")).when(F.col("n_regionkey") == 1, F.lit(""))
+    load(spark, sf_dir, "nation").select("n_nationkey", name.alias("part")).write.partitionBy("part").parquet(path)
+    return spark.read.schema("n_nationkey int, part string").parquet(path)

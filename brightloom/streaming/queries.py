@@ -20,16 +20,22 @@ from ..tables import load
 WAIT_S = 300
 
 
+def in_parts(parts: list[DataFrame]) -> DataFrame:
+    """A stream of tables, one in each micro-batch, in their order."""
+    spark, path = parts[0].sparkSession, scratch(parts[0].sparkSession)
+    files = spark.sparkContext.defaultParallelism
+    for part in parts:
+        # files are taken in the order of their modification, as many as a part has
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files in the order of time, in three micro-batches."""
-    path = scratch(spark)
+    """The events table in the order of time, in three micro-batches or a few more."""
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     second = F.unix_seconds("ts")
     cuts = events.agg(F.percentile_approx(second, [0.33, 0.67])).first()[0] or [0, 0]
-    for part in (second <= cuts[0], (second > cuts[0]) & (second <= cuts[1]), second > cuts[1]):
-        # files are taken in the order of their modification
-        events.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return in_parts([events.where(part) for part in (second <= cuts[0], (second > cuts[0]) & (second <= cuts[1]), second > cuts[1])])
 
 
 def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -128,3 +134,35 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         query.stop()
         raise TimeoutError("the stream did not end")
     return spark.read.schema("event_type string, batch int").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+_THIRD = "(select cast(floor(epoch(min(ts))) as bigint) + (cast(floor(epoch(max(ts))) as bigint) - cast(floor(epoch(min(ts))) as bigint)) // 3 from events)"
+
+
+@frame("stream_late_data", f"select day, n from (select time_bucket(interval '1 day', ts) as day, count(*) as n from events where floor(epoch(ts)) > {_THIRD} group by 1) t where day < (select time_bucket(interval '1 day', max(ts)) from events)", "streaming.late_data")
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first third of the time comes last, two batches behind the watermark: its rows are dropped."""
+    events = load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    second = F.unix_seconds("ts")
+    first, last = events.agg(F.min(second), F.max(second)).first()
+    third = ((last or 0) - (first or 0)) // 3
+    cut, later = (first or 0) + third, (first or 0) + 2 * third
+    stream = in_parts([events.where((second > cut) & (second <= later)), events.where(second > later), events.where(second <= cut)])
+    counted = stream.withWatermark("ts", "0 seconds").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return drained(counted.select(F.col("window.start").alias("day"), "n")).select(F.col("day").cast("timestamp_ntz").alias("day"), "n")
+
+
+@frame("stream_update", "select event_type, count(*) as n from events group by event_type", "streaming.update")
+def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch writes the groups it changed; the last update of a group stands."""
+    out = scratch(spark)
+
+    def keep(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    counted = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    query = counted.writeStream.option("checkpointLocation", scratch(spark)).trigger(availableNow=True).outputMode("update").foreachBatch(keep).start()
+    if not query.awaitTermination(WAIT_S):
+        query.stop()
+        raise TimeoutError("the stream did not end")
+    return spark.read.schema("event_type string, n long, batch int").parquet(out).groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))

@@ -75,3 +75,32 @@ def test_dates_at_edges(spark):
     row = spark.sql("select date '2024-02-29' + interval 1 year as leap, date_sub(date '1970-01-01', 1) as before, unix_date(date '1969-12-31') as day").first()
     assert row["before"] == dt.date(1969, 12, 31) and row["day"] == -1
     assert row["leap"] in (dt.date(2025, 2, 28), dt.datetime(2025, 2, 28))
+
+
+def test_strict_plans_and_summaries(spark, tiny):
+    import pytest
+
+    from brightloom.plans import PlanError, strict, summary
+
+    orders = spark.read.parquet(f"{tiny}/orders.parquet")
+    assert strict(orders.groupBy("o_orderstatus").count()).shuffles == 1
+    pairs = orders.crossJoin(orders.select("o_custkey")).hint("shuffle_replicate_nl")
+    with pytest.raises(PlanError, match="every row|every pair|each row"):
+        strict(pairs)
+    found = summary(orders.where("o_orderkey > 5").groupBy("o_custkey").count())
+    assert found["shuffles"] == 1 and found["pushed"] == 1 and found["notes"] == []
+    one = orders.agg({"o_orderkey": "max"})
+    assert strict(one, allowed=("Exchange",)).shuffles == 1
+    with pytest.raises(PlanError, match="one task"):
+        strict(one)
+
+
+def test_usual_width_of_intervals(spark):
+    from brightloom.operators.joins import range_join, usual_width
+
+    spans = spark.createDataFrame([(i, i * 1.0, i * 1.0 + 2.0) for i in range(50)] + [(99, 5.0, 5.0)], "id int, lo double, hi double")
+    assert usual_width(spans, "lo", "hi") == 4.0 and usual_width(spans.where("false"), "lo", "hi") == 1.0
+    points = spark.createDataFrame([(k, k / 3) for k in range(160)], "p int, x double")
+    for width in (0.5, 4.0, 100.0):
+        got = {(r["p"], r["id"]) for r in range_join(points, spans, "x", "lo", "hi", width).collect()}
+        assert got == {(k, i) for k in range(160) for i in range(50) if i <= k / 3 < i + 2.0}
