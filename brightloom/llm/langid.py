@@ -67,14 +67,13 @@ def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps; y is 1 or -1."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = last = np.zeros(x1.shape[1], np.float32)
+    w = last = np.zeros(x.shape[1] + 1, np.float32)  # the bias comes last
     step = 1.0 / (1.0 / c + 2.0 * 2.0)
     for k in range(rounds):
         look = w + (k / (k + 3.0)) * (w - last)
-        gap = np.maximum(0, 1 - y * (x1 @ look))
-        last, w = w, look - np.float32(step) * (look / np.float32(c) - 2 * (x1.T @ (share * y * gap)))
+        pull = share * y * np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
+        last, w = w, look - np.float32(step) * (look / np.float32(c) - 2 * np.append(pull @ x, pull.sum()))
         w = w.astype(np.float32)
     return w[:-1], float(w[-1])
 
@@ -100,7 +99,7 @@ class LanguageModel:
         for g, a, b in pairs:
             of = labels if g else kinds
             rows = (of == a) | (of == b)
-            found.append(svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
+            found.append(svm(x if rows.all() else x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
         if not found:
             return cls(groups)
         return cls(groups, pairs, np.stack([w for w, _ in found], 1), np.array([b for _, b in found], np.float32))
@@ -150,9 +149,10 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     for r in sorted(found, key=lambda r: (r["lang"], r["key"], r["at"], r["v"])):
         kept.setdefault(r["lang"], []).append(r)
     chosen = [r for v in kept.values() for r in v[:per_lang]]
+    del found, kept
     x = np.zeros((len(chosen), 1 << BITS), np.float32)
     for i, r in enumerate(chosen):
-        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["v"], np.float32)
+        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
     return LanguageModel.train([r["lang"] for r in chosen], x)
 
 
@@ -163,7 +163,7 @@ def _packed(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            rows = [(np.flatnonzero(v).astype(np.int32), v) for v in vectors(*utf8(part.column("text")))]
+            rows = [(np.flatnonzero(v).astype(np.uint16), v) for v in vectors(*utf8(part.column("text")))]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v[i].tobytes() for i, v in rows], pa.binary())], names=["lang", "key", "at", "v"])
 
 
