@@ -38,7 +38,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), path, with_ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"), path, with_ids=False, with_nbest=True)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -438,6 +438,46 @@ def test_nbest_is_exact(encoder, trial):
     assert math.isclose(score, want[0][0]) and encoder.decode(packed) == text
 
 
+@pytest.mark.parametrize("trial", range(30))
+def test_nbest_ids_are_every_way(encoder, trial):
+    r = random.Random(trial)
+    text = "".join(r.choice("the an,. \nonß▁²") for _ in range(r.randint(1, 6)))
+    want = every_way(encoder, text)
+    score = {pieces._packed(ids): s for s, ids in want}
+    for n in (1, 4, 9):
+        packed, _, best = encoder.encode(text, n)
+        assert best[0][1] == packed and len({ids for _, ids in best}) == len(best) == min(n, len(want))
+        assert all(math.isclose(s, score[ids]) and encoder.decode(ids) == text for s, ids in best)
+
+
+def test_equal_ways_are_all_returned():
+    byte = list(range(256))
+    vocabulary = pieces.Vocabulary.of({p: (256 + i, -1.0) for i, p in enumerate(["▁", "a", "b", "c", "ab", "bc"])}, byte, [bytes([b]) for b in byte] + [b" ", b"a", b"b", b"c", b"ab", b"bc"])
+    for text in ("abc", "abc abc", "abc b abc"):
+        e = pieces.Encoder(vocabulary)
+        want = every_way(e, text)
+        _, _, best = e.encode(text, 4)
+        assert [s for s, _ in best] == [s for s, _ in want[:4]]
+        assert len({ids for _, ids in best}) == min(4, len(want)) and {ids for _, ids in best} <= {pieces._packed(ids) for _, ids in want}
+
+
+def test_words_measured_together(encoder):
+    r = random.Random(6)
+    words = {"".join(r.choice("the an,. \nonß▁²é日\U0001f600\x00") for _ in range(r.randint(1, 64))) for _ in range(3000)} | {" " * k for k in range(1, 65)}
+    alone = pieces.Encoder(encoder.v)
+    assert encoder.lattices.measured(list(words)) == {w: alone.word(w) for w in words}
+
+
+def test_query_returns_nbest_ids(spark, tiny, encoder):
+    got = queries.op6_sentencepiece(spark, tiny).collect()
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        ways = [pieces._packed(tuple(ids)) for ids in r["nbest_ids"]]
+        assert len(set(ways)) == len(ways) == len(r["nbest_scores"]) and len(ways[0]) == 4 * r["n_pieces"]
+        assert hashlib.sha256(ways[0]).hexdigest() == r["ids_sha256"] and {encoder.decode(w) for w in ways} == {text[r["doc_id"]]}
+
+
 def test_pieces(docs, rows, none):
     got = {r["doc_id"]: r for r in pieces.encode(docs, queries.PIECES, nbest=3).collect()}
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True) for r in got.values())
