@@ -12,7 +12,9 @@ each state and word of the corpus, in a table that grows with it, and not once f
 Three more experts know whole words: the share of a word among all training words of its state (with the corpus's share behind
 it), its share among the text's words so far, and its share among the words that followed the last one in the text so far.
 The four are mixed word by word. Each text has its own weights for them, chosen by a gate (did the text repeat itself
-just now), which start from what training texts teach and go on learning while the text is scored.
+just now), which start from what training texts teach and go on learning while the text is scored; no weight falls far below
+its start, so a new word after a long repetition is still foreseen. A word of over LONG bytes may also be told by its own bytes
+so far, with a chance of OWN. What is less likely than a double can hold stays a logarithm.
 
 All experts give probabilities of disjoint codes, so scores are log-probabilities of whole texts. Counts, weights, maps and
 groups cover all training documents and all their words: each partition learns online from all it has, weights are averaged
@@ -60,8 +62,11 @@ BIT_GATES, GATES = 96, 6
 PLACES_OF_ROW, PACKED_AT_ONCE = 4_096, 1_000_000
 #: Times that training has seen a prefix, as levels that choose weights.
 LEVELS = (1, 4, 32)
-#: How far a text's weights move with each word.
-RATE = 0.05
+#: How far a text's weights move with each word; every LEAST_EVERY words they are lifted to that share of their start.
+RATE, LEAST, LEAST_EVERY = 0.05, 0.01, 64
+#: Words of more bytes are also told by their own bytes, with this chance; numbers of bytes before that predict the next one there,
+#: and how much what is known without them counts.
+LONG, OWN, OWN_ORDERS, OWN_BACK = 32, 0.001, (0, 1, 3), (32.0, 2.0, 0.5)
 #: Training words that a state must have before its own shares weigh as much as the corpus's.
 BACKOFF = 2_000
 END_HASH = -1
@@ -251,6 +256,25 @@ def spelled(words: list[bytes], state: np.ndarray, code: np.ndarray) -> Bits:
 _POWERS = Powers()
 
 
+def own_spelling(word: bytes) -> float:
+    """log10 probability of a word and the space after it by counts of its own bytes so far, for each order of OWN_ORDERS; the orders' mean.
+
+    An order adds what it counted to the order 0 (and that to even chances). Counts begin anew every PIECE bytes.
+    """
+    data = np.frombuffer(word + b" ", np.uint8).astype(np.int64)
+    place, first = np.arange(len(data)) % PIECE, np.arange(0, len(data), PIECE)
+    total, less = [], np.full(len(data), 1 / 256)
+    for k, back in zip(OWN_ORDERS, OWN_BACK, strict=True):
+        context = np.zeros(len(data), np.int64)
+        for j in range(1, k + 1):
+            context[j:] |= data[:-j] << 8 * j
+        hits, many = _before(context | data, place, first), _before(context, place, first)
+        p = (np.minimum(hits, many) + back * less) / (many + back)
+        less = less if k else p
+        total.append(np.log(p).sum())
+    return float((np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10))
+
+
 def log_odds(n0: np.ndarray, n1: np.ndarray, prior: float = 0.4) -> np.ndarray:
     return np.log((n1 + np.float32(prior)) / (n0 + np.float32(prior)))
 
@@ -624,6 +648,15 @@ def _fit(vocabulary: DataFrame, habits: tuple[np.ndarray, np.ndarray], by_state:
     return Model(code, log_odds(*counts).astype(np.float32), level(counts[:, places].sum(0)), mixer, shares, by_state, types)
 
 
+def with_own(spelled: np.ndarray, words) -> np.ndarray:
+    """log10 probabilities (words x states) by bits, or with a chance of OWN by a long word's own bytes."""
+    out = spelled + math.log10(1 - OWN)
+    for i in np.flatnonzero(np.diff(utf8(words)[1]) > LONG).tolist():
+        own = own_spelling(words[i].as_py()) + math.log10(OWN)
+        out[i] = np.logaddexp(out[i] * math.log(10), own * math.log(10)) / math.log(10)
+    return out
+
+
 #: What a chunk gets of a word and state: training count of the word, probability by bits (as log10), share.
 _USED = np.dtype([("k", "<i8"), ("c", "<i8"), ("lp", "<f4"), ("share", "<f4")])
 
@@ -652,9 +685,10 @@ def _looked_up(model: Model):
             place = places.flatten().to_numpy()
             mask = np.zeros((batch.num_rows, STATES), bool)
             mask[row, place & 15] = True
-            value = np.zeros((batch.num_rows, STATES), np.float32)
+            value = np.zeros((batch.num_rows, STATES))
             for bits, r, state in _spelled_batches(batch, mask, model.code):
                 value[r, state] = model.spell(bits, len(r))
+            value = with_own(value, batch.column("word"))
             used = np.empty(len(row), _USED)
             state = place & 15
             used["k"], used["c"] = batch.column("h").to_numpy()[row] << 4 | state, counts.sum(1)[row]
@@ -668,6 +702,13 @@ def _looked_up(model: Model):
     return run
 
 
+def scaled(lp: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities of each token by all experts, scaled so that the greatest is 1; log10 of the scale). lp: the first expert's, as log10."""
+    most = np.max(rest, 0)
+    scale = np.maximum(lp, np.log10(most, where=most > 0, out=np.full(len(lp), -np.inf)))
+    return np.stack([10.0 ** (lp - scale), *(x * 10.0 ** np.minimum(-scale, 300) for x in rest)], 1), scale
+
+
 def expert_mix(p: np.ndarray, gate: np.ndarray, piece: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """log10 of the experts' mix (p: tokens x experts), all pieces side by side; each moves its own copy of the weights after each token."""
     if not len(p):
@@ -684,7 +725,12 @@ def expert_mix(p: np.ndarray, gate: np.ndarray, piece: np.ndarray, shares: np.nd
     edge = np.append(0, np.cumsum(np.bincount(place))).tolist()
     w = np.tile(shares, (len(first), 1))
     one, total = np.ones(p.shape[1]), np.empty(len(p))
-    for a, b in itertools.pairwise(edge):
+    least = np.tile(LEAST * shares, (len(first), 1))
+    for step, (a, b) in enumerate(itertools.pairwise(edge), 1):
+        if step % LEAST_EVERY == 0:
+            live = w[: (b - a) * len(shares)]
+            np.maximum(live, least[: len(live)], out=live)
+            live /= live.dot(one)[:, None]
         own = w.take(slot[a:b], 0)
         parts = own * p[a:b]
         sums = parts.dot(one)
@@ -737,7 +783,8 @@ def _scored(model: Model, groups: np.ndarray):
                     c = found["c"]
                     piece = _runs_of_pieces(t.doc)
                     own, pair, gate = own_shares(t.hash, piece)
-                    lp = expert_mix(np.stack([10.0 ** found["lp"].astype(float), found["share"], own, pair], 1), gate, piece, model.shares)
+                    p, scale = scaled(found["lp"].astype(float), found["share"].astype(float), own, pair)
+                    lp = expert_mix(p, gate, piece, model.shares) + scale
                     m = len(texts)
                     many = lambda w=None: np.bincount(t.doc, w, minlength=m)  # noqa: B023, E731
                     score = many(lp)

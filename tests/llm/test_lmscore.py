@@ -166,3 +166,42 @@ def test_scores_of_odd_rows(spark):
     assert len(empty) == 6 and all(x["score"] < 0 for x in empty)
     none = [tuple(x) for x in lmscore.score(spark.createDataFrame([(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).collect()]
     assert none and all(x[1] and x[3] == 0 and x[4] == 0 and math.isfinite(x[6]) for x in none)
+
+
+def test_held_out_words_that_no_double_can_hold(spark):
+    """Long words that training lacks are finite and near what their own bytes allow; so are words after them."""
+    known = [(i, "the quick brown fox jumps over the lazy dog and so on") for i in range(200)]
+    held = [i for i in range(1_000, 3_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    r = np.random.default_rng(4)
+    letters = bytes(r.integers(97, 113, 2_000).astype(np.uint8)).decode()
+    odd = [f"{letters} and so on", f"the {letters} {letters} lazy dog", "中文没有空格" * 100, "x" * 70_000, "lazy " * 20_000 + "quicksilver"]
+    got = {x["doc_id"]: x for x in lmscore.score(spark.createDataFrame(known + list(zip(held, [*odd, "lazy " * 20_000], strict=False)), "doc_id long, text string")).collect()}
+    score = [got[i]["score"] for i in held[:6]]
+    assert all(got[i]["held_out"] for i in held[:6]) and all(math.isfinite(x["score"]) for x in got.values())
+    # 16 letters: 1.2 digits each
+    assert -1.3 * 2_000 < score[0] < -1.15 * 2_000 and score[1] > 1.01 * score[0] - 20
+    assert score[2] > -120 and score[3] > -60
+    # the last word costs its spelling, whatever came before
+    assert score[5] - score[4] < 25
+
+
+def test_own_spelling_against_plain_loops():
+    for word in (b"abracadabra" * 5, b"x" * 90, bytes(range(33, 120)), "中文".encode() * 30):
+        data, want = word + b" ", []
+        for order in lmscore.OWN_ORDERS:
+            total = 0.0
+            for i, b in enumerate(data):
+                chance = lambda k, back, less: (sum(data[j] == b and data[max(j - k, 0) : j] == data[max(i - k, 0) : i] for j in range(i)) + back * less) / (sum(data[max(j - k, 0) : j] == data[max(i - k, 0) : i] for j in range(i)) + back)  # noqa: B023, E731
+                p = chance(0, lmscore.OWN_BACK[0], 1 / 256)
+                total += math.log10(p if order == 0 else chance(order, lmscore.OWN_BACK[lmscore.OWN_ORDERS.index(order)], p))
+            want.append(10**total)
+        assert math.isclose(lmscore.own_spelling(word), math.log10(sum(want) / 3), abs_tol=0.01)
+    # longer than a piece
+    assert -60 < lmscore.own_spelling(b"y" * 100_000) < 0
+
+
+def test_mix_of_experts_far_below_a_double():
+    lp, rest = np.array([-400.0, -2.0, -5_000.0]), [np.array(x) for x in ([0.0, 0.5, 0.25], [0.0, 0.0, 0.125], [0.0, 0.25, 0.0])]
+    p, scale = lmscore.scaled(lp, *rest)
+    got = lmscore.expert_mix(p, np.zeros(3, int), np.arange(3), np.full((1, 4), 0.25)) + scale
+    assert np.allclose(got, [math.log10(0.25) - 400, math.log10(0.25 * 0.76), math.log10(0.25 * 0.375)])
