@@ -104,3 +104,29 @@ def test_usual_width_of_intervals(spark):
     for width in (0.5, 4.0, 100.0):
         got = {(r["p"], r["id"]) for r in range_join(points, spans, "x", "lo", "hi", width).collect()}
         assert got == {(k, i) for k in range(160) for i in range(50) if i <= k / 3 < i + 2.0}
+
+
+def test_range_totals_against_plain_loops(spark):
+    from brightloom.operators.joins import range_totals
+
+    nan, inf = float("nan"), float("inf")
+    points = [(1, 0.0), (2, -0.0), (None, 0.0), (4, 2.5), (2**62, 2.5), (-(2**62), 1.0), (2**62 + 5, 9.0), (7, nan), (8, inf), (9, None), (None, 40.0), (3, -inf)]
+    spans = [(1, 0.0, 2.5), (1, -0.0, 1.0), (2, 2.5, 2.5), (3, 2.5, 0.0), (4, -inf, inf), (5, 9.0, nan), (6, None, 3.0), (7, 40.0, 41.0), (None, 2.5, 9.0), (9, 100.0, 200.0), (10, 9.0, 40.0)]
+    below = lambda a, b: False if a != a else True if b != b else a < b
+    want = {}
+    for k, a, b in spans:
+        for v, x in points:
+            if None not in (x, a, b) and not below(x, a) and below(x, b):
+                n, ids = want.get(k, (0, None))
+                want[k] = n + 1, ids if v is None else (ids or 0) + v
+    p, i = spark.createDataFrame(points, "v long, x double").repartition(3), spark.createDataFrame(spans, "k int, a double, b double").repartition(3)
+    assert {r["k"]: (r["n"], r["total"]) for r in range_totals(p, i, "x", "a", "b", "k", "v").collect()} == want
+    assert range_totals(p.where("false"), i, "x", "a", "b", "k", "v").count() == range_totals(p, i.where("false"), "x", "a", "b", "k", "v").count() == 0
+
+
+def test_range_totals_of_one_crowded_value(spark, tmp_path):
+    """400,000 points at one value in 100,000 equal intervals: 4e10 pairs, none of which may be made."""
+    spark.range(400_000).selectExpr("id as event_id", "20.5D as value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(100_000).selectExpr("id as o_orderkey", "100000D as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["join_range"](spark, str(tmp_path))
+    assert got.groupBy("n", "ids").count().collect() == [(400_000, 400_000 * 399_999 // 2, 100_000)]
