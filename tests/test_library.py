@@ -130,3 +130,25 @@ def test_range_totals_of_one_crowded_value(spark, tmp_path):
     spark.range(100_000).selectExpr("id as o_orderkey", "100000D as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalog.queries()["join_range"](spark, str(tmp_path))
     assert got.groupBy("n", "ids").count().collect() == [(400_000, 400_000 * 399_999 // 2, 100_000)]
+
+
+def test_theta_join_is_dealt_by_its_pairs(spark, tmp_path, monkeypatch):
+    """One file of suppliers, as large tables have: no task compares more than its share of the pairs."""
+    import duckdb
+
+    from brightloom.operators import joins
+    from brightloom.registry import REGISTRY
+
+    rows = spark.range(12_000).selectExpr("id as s_suppkey", "cast(nullif(id % 25, 3) as int) as s_nationkey", "if(id % 999 = 5, double('nan'), cast(id * 7919 % 3001 as double)) as s_acctbal")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    oracle = REGISTRY["join_theta"].oracle.replace("from supplier", "from s").replace("join supplier", "join s")
+    con = duckdb.connect()
+    con.execute(f"create table s as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    total = con.execute(f"select count(*), sum(lo * 31 + hi * hi) from ({oracle})").fetchone()
+    for most, node in ((1_000_000, "BroadcastNestedLoopJoin"), (1_000, "CartesianProduct")):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+        got = REGISTRY["join_theta"].build(spark, str(tmp_path))
+        assert explain(got).operators[node] == 1
+        parts = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.expr("lo * 31 + hi * hi")).alias("s")).collect()
+        assert (sum(r["n"] for r in parts), sum(r["s"] for r in parts)) == total
+        assert len(parts) >= 12_000**2 // joins.PAIRS_PER_TASK and max(r["n"] for r in parts) < total[0] / 3
