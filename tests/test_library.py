@@ -152,3 +152,14 @@ def test_theta_join_is_dealt_by_its_pairs(spark, tmp_path, monkeypatch):
         parts = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.expr("lo * 31 + hi * hi")).alias("s")).collect()
         assert (sum(r["n"] for r in parts), sum(r["s"] for r in parts)) == total
         assert len(parts) >= 12_000**2 // joins.PAIRS_PER_TASK and max(r["n"] for r in parts) < total[0] / 3
+
+
+def test_xml_files_are_bounded(spark, tmp_path):
+    """One partition of many customers becomes several files, as a task reads an XML file whole."""
+    from brightloom.sources.files import XML_ROWS
+
+    rows = spark.range(5 * XML_ROWS // 2).selectExpr("id as c_custkey", "concat('Customer <&> ', id) as c_name", "if(id % 7 = 0, null, cast(id % 25 as int)) as c_nationkey", "id / 8 as c_acctbal", "'BUILDING' as c_mktsegment")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()["io_xml"](spark, str(tmp_path))
+    assert len(got.inputFiles()) == 3 and got.rdd.getNumPartitions() == 3
+    assert got.exceptAll(rows).count() == 0 and got.count() == rows.count()
